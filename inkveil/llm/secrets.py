@@ -1,0 +1,141 @@
+"""Secret scans with Spark expressions only.
+
+Patterns find the known forms of secrets. Beyond them, candidate strings (long runs of key characters) are scanned with a
+sliding window: the counts of the window's characters change by one in and one out, the sum of c*log2(c) follows them, and the
+window is hot where its Shannon entropy reaches the limit of the candidate's character class. The hot windows' extent is the span,
+unless an allow-list pattern or an allowed string suppresses the candidate.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = (
+    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+#: kind, pattern of a match, group whose length counts, least length.
+#: AKIA… and hex runs are maximal, so the least length can stand in the pattern.
+BASE_KINDS = [("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]{12,}", 0, 16), ("hex", r"[0-9a-f]{32,}", 0, 32)]
+
+WINDOW = 24
+CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+#: class, pattern of the whole candidate, lowest entropy of a window in bits; the first class that fits counts.
+CLASSES = [("ent_hex", r"^[0-9a-fA-F]+$", 3.0), ("ent_alnum", r"^[A-Za-z0-9]+$", 3.9), ("ent_base64", r"^[A-Za-z0-9+/_=-]+$", 4.0)]
+#: Candidates that are no secrets: words, numbers, words in a path, UUIDs, documentation examples, one repeated character.
+ALLOWED = [
+    r"^[A-Z]?[a-z]+$|^[A-Z]+$|^[0-9]+$",
+    r"^[/_-]*[A-Za-z]+([/_-]+([A-Za-z]+|[0-9]+))*[/_=-]*$",
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"EXAMPLE|example",
+    r"^(.)\1+$",
+]
+KINDS = [k for k, *_ in BASE_KINDS] + [k for k, *_ in CLASSES]
+
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _quoted(pattern: str) -> str:
+    return "r'" + pattern.replace("'", "\\x27") + "'"
+
+
+def _walked(name: str, pattern: str, group: int = 0) -> list[Column]:
+    """Columns {name}_piece, _hit, _part: the texts between the matches of a pattern in column `text`, the matches, and a group of each.
+
+    split() and regexp_extract_all() walk the same leftmost, non-overlapping matches.
+    """
+    p = _quoted(pattern)
+    parts = {"piece": f"split(text, {p}, -1)", "hit": f"regexp_extract_all(text, {p}, 0)", "part": f"regexp_extract_all(text, {p}, {group})"}
+    return [F.expr(f"case when text rlike {p} then {e} else cast(array() as array<string>) end").alias(f"{name}_{k}") for k, e in parts.items()]
+
+
+def _matches(name: str, least: int, kind: int) -> Column:
+    """Spans of the matches whose group has `least` characters or more: offsets add up from pieces and matches."""
+    return F.expr(f"""
+        aggregate(
+          arrays_zip({name}_piece, {name}_hit, {name}_part),
+          struct(0 as at, cast(array() as {SPAN}) as spans),
+          (a, m) -> struct(
+            a.at + length(m.{name}_piece) + coalesce(length(m.{name}_hit), 0) as at,
+            if(m.{name}_hit is not null and length(m.{name}_part) >= {least},
+               concat(a.spans, array(struct(a.at + length(m.{name}_piece) as start, {kind} as kind, a.at + length(m.{name}_piece) + length(m.{name}_hit) as end))),
+               a.spans) as spans),
+          a -> a.spans)""")
+
+
+def _candidates() -> Column:
+    """Array of struct(start, s): the runs of key characters that no allow-list pattern suppresses."""
+    kept = " and ".join(f"not c.s rlike {_quoted(a)}" for a in ALLOWED)
+    return F.expr(f"""
+        filter(
+          aggregate(
+            arrays_zip(run_piece, run_hit),
+            struct(0 as at, cast(array() as array<struct<start:int,s:string>>) as found),
+            (a, m) -> struct(
+              a.at + length(m.run_piece) + coalesce(length(m.run_hit), 0) as at,
+              if(m.run_hit is not null, concat(a.found, array(struct(a.at + length(m.run_piece) as start, m.run_hit as s))), a.found) as found),
+            a -> a.found),
+          c -> {kept})""")
+
+
+def _hot(window: int) -> Column:
+    """For each candidate of column `found`: struct(start, kind, end) of its hot windows' extent, or null."""
+    kind = " ".join(f"when c.s rlike {_quoted(p)} then {len(BASE_KINDS) + k}" for k, (_, p, _) in enumerate(CLASSES))
+    limit = " ".join(f"when c.s rlike {_quoted(p)} then {low}D" for _, p, low in CLASSES)
+    plogp = lambda c: f"if({c} > 1, {c} * log2({c}), 0D)"
+    return F.expr(f"""
+        filter(transform(
+          transform(found, c -> struct(c.start as start, case {kind} end as kind, case {limit} end as low,
+                                       split(c.s, '') as ch, array_distinct(split(c.s, '')) as abc)),
+          c -> aggregate(
+            sequence(1, size(c.ch)),
+            struct(transform(c.abc, x -> 0) as n, 0D as s, cast(null as int) as first, cast(null as int) as last),
+            (a, j) -> aggregate(
+              array(struct(array_position(c.abc, c.ch[j - 1]) as enters,
+                           if(j > {window}, array_position(c.abc, c.ch[greatest(j - {window} - 1, 0)]), 0L) as leaves)),
+              a,
+              (b, m) -> aggregate(
+                array(struct(
+                  transform(b.n, (x, i) -> x + if(i + 1 = m.enters, 1, 0) - if(i + 1 = m.leaves, 1, 0)) as n,
+                  b.s + if(m.enters = m.leaves, 0D,
+                    {plogp('(b.n[cast(m.enters as int) - 1] + 1)')} - {plogp('b.n[cast(m.enters as int) - 1]')}
+                    + if(m.leaves > 0, {plogp('(b.n[cast(greatest(m.leaves, 1L) as int) - 1] - 1)')} - {plogp('b.n[cast(greatest(m.leaves, 1L) as int) - 1]')}, 0D)) as s)),
+                b,
+                (d, e) -> struct(
+                  e.n as n, e.s as s,
+                  if(j >= {window} and log2({window}D) - e.s / {window}D >= c.low - 1e-9D, coalesce(d.first, j - {window}), d.first) as first,
+                  if(j >= {window} and log2({window}D) - e.s / {window}D >= c.low - 1e-9D, j, d.last) as last))),
+            a -> if(a.last is null, null, struct(c.start + a.first as start, c.kind as kind, c.start + a.last as end)))),
+          x -> x is not null)""")
+
+
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
+    """One row a document: doc_id, base and spans (arrays of struct start, kind, end: code points, end exclusive; kind: index in KINDS).
+
+    base has the spans of the fixed forms, spans also those of hot windows, both by start, then kind. `allow` names strings that are
+    never secrets (they suppress candidates, not fixed forms). Null and empty texts have no spans; rows are independent
+    of each other, so that repeated rows and null ids are scanned alike, and an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    walks = [c for name, p, group, _ in BASE_KINDS for c in _walked(name, p, group)] + _walked("run", CANDIDATE)[:2]
+    rows = rows.select("doc_id", *walks)
+    base = F.concat(*[_matches(name, least, k) for k, (name, _, _, least) in enumerate(BASE_KINDS)])
+    found = _candidates()
+    if allow:
+        found = F.filter(found, lambda c: ~c["s"].isin(list(allow)))
+    rows = rows.select("doc_id", base.alias("base"), found.alias("found"))
+    rows = rows.select("doc_id", "base", F.when(F.size("found") > 0, _hot(window)).otherwise(F.array().cast(SPAN)).alias("more"))
+    return rows.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", "more")).alias("spans"))
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
