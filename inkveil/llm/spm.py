@@ -31,6 +31,8 @@ class Pieces:
     """The pieces of a model of type BPE with byte fallback, and what has been encoded by them so far (bounded)."""
 
     limit = 400_000
+    #: Chunks of more bytes are relaxed one by one instead of all at once.
+    long = 512
 
     def __init__(self, path: str):
         import sentencepiece
@@ -43,83 +45,148 @@ class Pieces:
         self.id_of = {model.id_to_piece(i): i for i in range(size) if not model.is_byte(i) and not special(i)}
         self.text_of = {i: p for p, i in self.id_of.items()}
         self.rank = {p: -model.get_score(i) for p, i in self.id_of.items()}
-        self.bytes_of = [b""] * size
+        shown = [b""] * size
         for p, i in self.id_of.items():
-            self.bytes_of[i] = p.replace(SPACE, " ").encode()
+            shown[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte_ids.items():
-            self.bytes_of[i] = bytes([b])
+            shown[i] = bytes([b])
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_at = np.cumsum([0, *map(len, shown)])
         # where a piece has a blank after another character, chunks would cut it: the text is one chunk then
         cuts = not any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cuts else r"(?s).+")
         self.ids = np.array(sorted(self.id_of.values()), np.int64)
         self.words, self.lengths = _words_of([self.text_of[i].encode() for i in self.ids.tolist()])
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.forget()
+        self.pairs, self.fit = np.zeros(1, np.int64), np.zeros(1, bool)
 
-    def merged(self, text: str) -> list[str]:
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # chunk: where its ids are
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def merged(self, parts: list[str]) -> list[str]:
         """The merges of the model: of all neighbours that make a piece, the best one (then the leftmost) first."""
-        parts = list(text)
-        while len(parts) > 1:
-            at = min(range(len(parts) - 1), key=lambda k: self.rank.get(parts[k] + parts[k + 1], np.inf))
-            if parts[at] + parts[at + 1] not in self.rank:
+        ranks = [self.rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            low = min(ranks)
+            if low == np.inf:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            k = ranks.index(low)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = self.rank.get(parts[k - 1] + parts[k], np.inf)
+            if k < len(ranks):
+                ranks[k] = self.rank.get(parts[k] + parts[k + 1], np.inf)
         return parts
 
-    def may_follow(self, before: int, piece: int) -> bool:
-        key = before, piece
-        if key not in self.follows:
-            if len(self.follows) > 2 * self.limit:
-                self.follows.clear()
-            name = lambda i: chr(i - FOREIGN) if i >= FOREIGN else self.text_of[i]
-            both = [name(piece)] if before < 0 else [name(before), name(piece)]
-            self.follows[key] = self.merged("".join(both)) == both
-        return self.follows[key]
-
-    def final(self, piece: int) -> tuple[int, ...]:
-        """A foreign character becomes its bytes."""
-        if piece < FOREIGN:
-            return (piece,)
-        if not self.byte_ids:
-            return (self.unknown,)
-        return tuple(self.byte_ids[b] for b in chr(piece - FOREIGN).encode("utf-8", "surrogatepass"))
-
-    def encoded(self, texts: list[str]) -> list[list[str]]:
-        """The chunks of each text; `known` has the ids of all of them."""
+    def name(self, piece: int) -> str:
+        return chr(piece - FOREIGN) if piece >= FOREIGN else self.text_of[piece]
+
+    def may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """For each pair: whether merging the characters of both (before -1: of the piece alone) ends in just these."""
+        keys = (before + 1) << 32 | piece
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        new = np.sort(keys[self.pairs[at] != keys])
+        if len(new):
+            new = new[np.append(True, new[1:] != new[:-1])]
+            fits = []
+            for k in new.tolist():
+                a, b = (k >> 32) - 1, k & 0xFFFFFFFF
+                both = [self.name(b)] if a < 0 else [self.name(a), self.name(b)]
+                fits.append(self.merged(list("".join(both))) == both)
+            if len(self.pairs) > 10 * self.limit:
+                self.pairs, self.fit = np.zeros(1, np.int64), np.zeros(1, bool)
+                return self.may_follow(before, piece)
+            spot = np.searchsorted(self.pairs, new)
+            self.pairs, self.fit = np.insert(self.pairs, spot, new), np.insert(self.fit, spot, fits)
+            at = np.searchsorted(self.pairs, keys)
+        return self.fit[at]
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
         chunks = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > self.limit:
-            self.known.clear()
-        new = list(set(chain.from_iterable(chunks)) - self.known.keys())
+            self.forget()
+        new = list(set(chain.from_iterable(chunks)).difference(self.known))
         if new:
             self.relax(new)
-        return chunks
+        count = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, int(count.sum()))
+        size = self.at[which + 1] - self.at[which]
+        before = np.append(0, np.cumsum(size))
+        return self.flat[_ranges(self.at[which], size)], before[np.append(0, np.cumsum(count))]
 
     def relax(self, chunks: list[str]) -> None:
-        foreign = sorted(ord(c) for c in set().union(*chunks) if c not in self.id_of)
+        foreign = sorted(ord(c) for c in set("".join(chunks)) if c not in self.id_of)
         raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
         words, lengths = _words_of([chr(c).encode("utf-8", "surrogatepass") for c in foreign], self.words.shape[1])
         start, end, piece = occurrences(
             raw, np.concatenate([self.words, words]), np.concatenate([self.lengths, lengths]), np.append(self.ids, np.array(foreign, np.int64) + FOREIGN)
         )
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-        first = np.cumsum(size) - size
-        bounds = np.searchsorted(start, np.append(first, first[-1] + size[-1])).tolist()
-        start, end, piece = start.tolist(), end.tolist(), piece.tolist()
-        for k, chunk in enumerate(chunks):
-            at, stop = int(first[k]), int(first[k] + size[k] - 1)
-            reached: dict[int, tuple[int, int]] = {at: (-1, -1)}  # position: last piece and its start
-            for e in range(bounds[k], bounds[k + 1]):
-                if (s := start[e]) in reached and (t := end[e]) not in reached and self.may_follow(reached[s][0], piece[e]):
-                    reached[t] = piece[e], s
-            path = []
-            while stop != at:
-                last, stop = reached[stop]
-                path.append(last)
-            self.known[chunk] = tuple(chain.from_iterable(map(self.final, reversed(path))))
-
-    def decoded(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        first = np.cumsum(size + 1) - size - 1
+        # at every position: the last piece of the path to it (-1: a chunk's start, -2: not reached) and where that began
+        last, back = np.full(int(first[-1] + size[-1]) + 2, -2, np.int64), np.zeros(int(first[-1] + size[-1]) + 2, np.int64)
+        last[first] = -1
+        of = np.repeat(np.arange(len(chunks)), size + 1)[start]
+        short = size[of] <= self.long
+        offset = (start - first[of])[short].astype(np.int16)
+        order = np.flatnonzero(short)[np.argsort(offset, kind="stable")]
+        bounds = np.searchsorted(np.sort(offset), np.arange(self.long + 1, dtype=np.int16))
+        edges = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+        long = np.flatnonzero(~short)
+        if len(long):  # one step for each position that has edges
+            long = long[np.argsort(start[long], kind="stable")]
+            edges += np.split(long, np.flatnonzero(np.diff(start[long])) + 1)
+        for e in edges:
+            e = e[last[start[e]] > -2]
+            e = e[self.may_follow(last[start[e]], piece[e])] if len(e) else e
+            last[end[e]], back[end[e]] = piece[e], start[e]
+        # from the ends back to the starts, all chunks together
+        owner, step, found = [], [], []
+        live, at = np.arange(len(chunks)), first + size
+        while len(live):
+            owner.append(live)
+            step.append(np.full(len(live), -len(step)))
+            found.append(last[at])
+            at = back[at]
+            live, at = live[at > first[live]], at[at > first[live]]
+        owner, step, found = np.concatenate(owner), np.concatenate(step), np.concatenate(found)
+        order = np.lexsort((step, owner))
+        owner, found = owner[order], found[order]
+        # foreign characters become bytes
+        far = np.flatnonzero(found >= FOREIGN)
+        if len(far):
+            spelled = [self.spelled(x) for x in found[far].tolist()]
+            times = np.ones(len(found), np.int64)
+            times[far] = list(map(len, spelled))
+            places = np.repeat(np.append(0, np.cumsum(times))[far], times[far])
+            inside = _ranges(np.zeros(len(far), np.int64), times[far])
+            owner, found = np.repeat(owner, times), np.repeat(found, times)
+            found[places + inside] = list(chain.from_iterable(spelled))
+        base, total = len(self.known), len(self.flat)
+        self.known.update(zip(chunks, range(base, base + len(chunks)), strict=True))
+        self.flat = np.append(self.flat, found.astype(np.int32))
+        self.at = np.append(self.at, total + np.cumsum(np.bincount(owner, minlength=len(chunks))))
+
+    def spelled(self, piece: int) -> list[int]:
+        if not self.byte_ids:
+            return [self.unknown]
+        return [self.byte_ids[b] for b in chr(piece - FOREIGN).encode("utf-8", "surrogatepass")]
+
+    def decoded(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """The texts of ids in a row; text k has those from starts[k] to starts[k + 1]."""
+        size = self.shown_at[ids + 1] - self.shown_at[ids]
+        data = self.shown[_ranges(self.shown_at[ids], size)].tobytes()
+        at = np.append(0, np.cumsum(size))[starts].tolist()
+        texts = (data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for `size` numbers, of every start."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 def _words_of(texts: list[bytes], width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +218,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(texts: list[bytes], words: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and id of every occurrence of every piece in the texts, joined by zero bytes; by start, then end."""
+    """Start, end and id of every occurrence of every piece in the texts, joined by zero bytes."""
     text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     n, width = len(text), words.shape[1]
     order, head = suffix_array(text, 8 * width)
@@ -177,11 +244,8 @@ def occurrences(texts: list[bytes], words: np.ndarray, lengths: np.ndarray, ids:
     low, high = border(False), border(True)
     count = high - low
     which = np.repeat(np.arange(len(words)), count)
-    inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    start = order[low[which] + inside]
-    end = start + lengths[which]
-    sort = np.lexsort((end, start))
-    return start[sort], end[sort], ids[which][sort]
+    start = order[_ranges(low, count)]
+    return start, start + lengths[which], ids[which]
 
 
 @lru_cache(2)
@@ -193,14 +257,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], text_col: str, path: str) -> Ite
     model = pieces(path)
     for batch in batches:
         texts = [t or "" for t in batch.column(text_col).to_pylist()]
-        chunks = model.encoded(texts)
-        ids = [list(chain.from_iterable(map(model.known.__getitem__, c))) for c in chunks]
-        back = [model.decoded(i) == t for i, t in zip(ids, texts, strict=True)]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])))
+        ids, starts = model.encoded(texts)
+        back = [a == b for a, b in zip(model.decoded(ids, starts), texts, strict=True)]
         kept = [c for c in zip(batch.schema.names, batch.columns, strict=True) if c[0] not in ("piece_ids", "n_pieces", "round_trip")]
         names, columns = map(list, zip(*kept, strict=True))
-        columns += [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(np.diff(ends).astype(np.int64)), pa.array(back, pa.bool_())]
+        columns += [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)), pa.array(np.diff(starts)), pa.array(back, pa.bool_())]
         yield pa.RecordBatch.from_arrays(columns, names=[*names, "piece_ids", "n_pieces", "round_trip"])
 
 
@@ -211,7 +272,7 @@ def encoded(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataF
     A text with the character U+2581, which the model uses for blanks, decodes with blanks. `path` is a model file that
     every executor has. Rows are independent of each other; an empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 2000, 4)
     rows = docs.drop("piece_ids", "n_pieces", "round_trip")
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInArrow(partial(_encoded, text_col=text_col, path=path), f"{fields}, piece_ids array<int>, n_pieces long, round_trip boolean")
@@ -220,14 +281,17 @@ def encoded(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataF
 def _decoded(batches: Iterator[pa.RecordBatch], ids_col: str, path: str) -> Iterator[pa.RecordBatch]:
     model = pieces(path)
     for batch in batches:
-        texts = [None if i is None else model.decoded(i) for i in batch.column(ids_col).to_pylist()]
+        rows = batch.column(ids_col).to_pylist()
+        starts = np.cumsum([0, *(len(r or ()) for r in rows)])
+        texts = model.decoded(np.fromiter(chain.from_iterable(r or () for r in rows), np.int64, int(starts[-1])), starts)
+        texts = [None if r is None else t for r, t in zip(rows, texts, strict=True)]
         names = [n for n in batch.schema.names if n != "decoded"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
 
 def decoded(encodings: DataFrame, ids_col: str = "piece_ids", path: str = MODEL) -> DataFrame:
     """The columns of `encodings` and `decoded`: the text of the piece ids; null for null ids, bytes that are no UTF-8 as U+FFFD."""
-    bounded_batches(encodings.sparkSession)
+    bounded_batches(encodings.sparkSession, 2000, 4)
     rows = encodings.drop("decoded")
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInArrow(partial(_decoded, ids_col=ids_col, path=path), f"{fields}, decoded string")
