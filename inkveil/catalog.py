@@ -1,17 +1,573 @@
-"""Registry of the queries of the redaction engine and their DuckDB counterparts."""
+"""Registry of the queries of the redaction engine and their DuckDB counterparts.
+
+The tables hold no Chinese text, so rules for it run on text that SQL derives from `orders` (one text for each row).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import tempfile
+import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkveil.functions import packs, spans
+from inkveil.functions.packs import g1, g2, g3_text
+from inkveil.functions.rules import RulePack
+from inkveil.operators import boxes, counts, detect, pixels
+from inkveil.operators import spans as span_ops
+from inkveil.plans import batch, report
+from inkveil.sources import files, ooxml
+from inkveil.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+NAMES, BANKS = ["汪晶晶", "王伟", "李静", "张宇轩"], ["福建海峡银行", "福州三山支行", "中国工商银行"]
+
+
+def zh_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a line of a banking form for every order."""
+    pick = lambda words, key: F.get(F.array(*map(F.lit, words)), (F.col(key) % len(words)).cast("int"))
+    text = F.concat(
+        F.lit("经办人："), pick(NAMES, "o_custkey"), F.lit("，日期 "), F.date_format("o_orderdate", "yyyy年M月d日"),
+        F.lit(" ，手机 "), (F.lit(13800000000) + F.col("o_custkey")).cast("string"), F.lit(" ，邮箱 u"), F.col("o_custkey").cast("string"),
+        F.lit("@bank.com ，身份证 11010119900101"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.lit(" ，"), pick(BANKS, "o_orderkey"),
+        F.lit("，密码："), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("，更新 "), F.date_format("o_orderdate", "yyyy-MM-dd"),
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+_ZH = """zh as (select o_orderkey as doc_id, concat('经办人：', (['汪晶晶','王伟','李静','张宇轩'])[cast(o_custkey % 4 as int)+1],
+ '，日期 ', strftime(o_orderdate,'%Y年%-m月%-d日'), ' ，手机 ', cast(13800000000 + o_custkey as varchar),
+ ' ，邮箱 u', cast(o_custkey as varchar), '@bank.com ，身份证 11010119900101', lpad(cast(o_orderkey % 10000 as varchar),4,'0'),
+ ' ，', (['福建海峡银行','福州三山支行','中国工商银行'])[cast(o_orderkey % 3 as int)+1], '，密码：', lpad(cast(o_orderkey as varchar),6,'0'),
+ '，更新 ', strftime(o_orderdate,'%Y-%m-%d')) as text from orders)"""
+_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+_IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+_MAC = r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b"
+_ID18 = r"([^0-9A-Za-z])[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]([^0-9A-Za-z])"
+
+
+def _sub(text: str, pattern: str, mask: str) -> str:
+    return f"regexp_replace({text}, '{pattern}', '{mask}', 'g')"
+
+
+def _zh_sql(expression: str) -> str:
+    return f"with {_ZH} select doc_id, {expression} as redacted from zh"
+
+
+def _redacted(rows: DataFrame, pack: RulePack, text: str = "text", key: str = "doc_id") -> DataFrame:
+    return rows.select(key, pack.apply(F.col(text)).alias("redacted"))
+
+
+# ---- single rules
+
+
+@query(f"select doc_id, {_sub('text', _EMAIL, 'XXXXX@XXXXX')} as redacted from documents")
+def redact_email(spark, sf_dir):
+    return _redacted(table(spark, sf_dir, "documents"), g2().only("email"))
+
+
+@query(f"select doc_id, {_sub('text', _IP, 'X.X.X.X')} as redacted from documents")
+def redact_ipv4(spark, sf_dir):
+    return _redacted(table(spark, sf_dir, "documents"), g2().only("ipv4"))
+
+
+_MAC_TEXT = "'port AA:bb:0C:1d:EE:' || lpad(upper(to_hex(l_orderkey % 256)), 2, '0') || ' up ' || l_linenumber"
+
+
+@query(f"select l_orderkey, l_linenumber, {_sub(_MAC_TEXT, _MAC, 'XX:XX:XX:XX:XX:XX')} as redacted from lineitem")
+def redact_mac(spark, sf_dir):
+    text = F.concat(F.lit("port AA:bb:0C:1d:EE:"), F.lpad(F.hex(F.col("l_orderkey") % 256), 2, "0"), F.lit(" up "), F.col("l_linenumber").cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", g2().only("mac").apply(text).alias("redacted"))
+
+
+@query(rf"select doc_id, {_sub('text', chr(92) + 'b' + chr(92) + 'd{16,19}' + chr(92) + 'b', 'X' * 16)} as redacted from documents")
+def redact_card16_19(spark, sf_dir):
+    return _redacted(table(spark, sf_dir, "documents"), g1().only("card"))
+
+
+@query(f"select page_id, {_sub('html', _EMAIL, 'XXXXX@XXXXX')} as redacted from pages")
+def redact_email_markup(spark, sf_dir):
+    return _redacted(table(spark, sf_dir, "pages"), g2().only("email"), "html", "page_id")
+
+
+@query(_zh_sql(_sub("text", _ID18, rf"\1{'X' * 18}\2")))
+def redact_id18(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g2().only("id18"))
+
+
+@query(_zh_sql(_sub("text", r"([^0-9A-Za-z])1[3-9]\d{9}([^0-9A-Za-z])", rf"\1{'X' * 11}\2")))
+def redact_mobile(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g2().only("mobile"))
+
+
+@query("with " + _ZH + ", t as (select doc_id, replace(text, ' ，手机 ', '，手机') as text from zh) select doc_id, " + _sub("text", r"([^0-9])1[3-9]\d{9}([^0-9])", rf"\1{'X' * 11}\2") + " as redacted from t")
+def redact_mobile_strict_digits(spark, sf_dir):
+    rows = zh_docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" ，手机 "), F.lit("，手机")))
+    return _redacted(rows, g2(strict_digits=True).only("mobile"))
+
+
+@query(_zh_sql(_sub("text", r"\d{4}年\d{1,2}月\d{1,2}日", "YYYY年MM月DD日")))
+def redact_dates_cn(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g2().only("date_cn"))
+
+
+_RANGE = "strftime(o_orderdate,'%Y年%-m月%-d日') || '至' || strftime(o_orderdate + interval 3 day,'%Y年%-m月%-d日')"
+
+
+@query("select o_orderkey as doc_id, 'YYYY年MM月DD日至YYYY年MM月DD日' as redacted from orders")
+def redact_date_ranges(spark, sf_dir):
+    text = F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("至"), F.date_format(F.date_add("o_orderdate", 3), "yyyy年M月d日"))
+    return _redacted(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), g2().only("range_cn"))
+
+
+@query("select event_id, 'day ' || strftime(ts, '%Y-%m-%d') || ' at YYYY/MM/DD' as redacted from events")
+def redact_dates_eol(spark, sf_dir):
+    text = F.concat(F.lit("day "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" at "), F.date_format("ts", "yyyy/MM/dd"))
+    return table(spark, sf_dir, "events").select("event_id", g2().only("date_slash", "date_dash").apply(text).alias("redacted"))
+
+
+@query("select event_id, 'YYYY/MM/DD ~ YYYY/MM/DD' as redacted from events")
+def redact_date_ranges_eol(spark, sf_dir):
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" ~ "), F.date_format(F.date_add("ts", 2), "yyyy-MM-dd"))
+    return table(spark, sf_dir, "events").select("event_id", g2().only("range_slash", "range_dash").apply(text).alias("redacted"))
+
+
+@query(_zh_sql(_sub("text", r"密码：\d{6,}", "******")))
+def redact_password(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g2().only("password_cn", "pwd", "passwd", "passphrase_cn", "pin"))
+
+
+@query(_zh_sql("replace(replace(text, '福建海峡银行', 'XX银行'), '中国工商银行', 'XX银行')"))
+def redact_bank(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g2().only("bank"))
+
+
+@query("select o_orderkey as doc_id, (['XX分行营业部','XX支行','XX分行','晋江支行'])[cast(o_orderkey % 4 as int)+1] || o_orderkey as redacted from orders")
+def redact_branch_keep_suffix(spark, sf_dir):
+    names = F.array(*map(F.lit, ["福州分行营业部", "漳州云霄支行", "厦门分行", "晋江支行"]))
+    text = F.concat(F.get(names, (F.col("o_orderkey") % 4).cast("int")), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), g2().only("branch").apply(text).alias("redacted"))
+
+
+@query("select o_orderkey as doc_id, (['在XX分行','、XX支行 ','总行分行人员','a支行'])[cast(o_orderkey % 4 as int)+1] as redacted from orders where o_orderkey % 4 > 0 union all select o_orderkey, ' XX营业部' from orders where o_orderkey % 4 = 0")
+def redact_bare_branch(spark, sf_dir):
+    text = F.get(F.array(*map(F.lit, [" 营业部", "、支行 ", "总行分行人员", "a支行"])), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), g2().only("bare_branch").apply(text).alias("redacted"))
+
+
+_NAMED = _sub("text", "汪晶晶|王伟|李静|张宇轩", "XXX")
+
+
+# the name rule alone takes the suffix of a branch for a name; in the whole pack the branch rule comes before it
+@query(_zh_sql(_sub("text", "汪晶晶|王伟|李静|张宇轩|支行", "XXX")))
+def redact_names_g2(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g2().only("name_a", "name_b"))
+
+
+@query(_zh_sql(_NAMED))
+def redact_names_g3(spark, sf_dir):
+    return zh_docs(spark, sf_dir).select("doc_id", packs.names_g3(F.col("text")).alias("redacted"))
+
+
+@query("select o_orderkey as doc_id, (['XXX XXX','经办人：XXX','XXX XXX a张三','合作：ok'])[cast(o_orderkey % 4 as int)+1] as redacted from orders")
+def redact_names_g1(spark, sf_dir):
+    text = F.get(F.array(*map(F.lit, ["张三 欧阳小明", "经办人：李四", "王五 公司 a张三", "合作：ok"])), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), g1().only("name").apply(text).alias("redacted"))
+
+
+# ---- chains
+
+
+@query(
+    f"select doc_id, {_sub(_sub(_sub('text', _EMAIL, 'XXXXX@XXXXX'), _IP, 'X.X.X.X'), _MAC, 'XX:XX:XX:XX:XX:XX')} as redacted,"
+    f" len(regexp_extract_all(text, '{_EMAIL}')) as n_email, len(regexp_extract_all(text, '{_IP}')) as n_ipv4, len(regexp_extract_all(text, '{_MAC}')) as n_mac from documents"
+)
+def chain_ascii_g2(spark, sf_dir):
+    pack = g2().only("email", "ipv4", "mac")
+    n = [r.count(F.col("text")).cast("long").alias(f"n_{r.rule_id}") for r in pack.rules]
+    return table(spark, sf_dir, "documents").select("doc_id", pack.apply_if_matched(F.col("text")).alias("redacted"), *n)
+
+
+_CHAIN = _sub("text", _EMAIL, "XXXXX@XXXXX")
+_CHAIN = _sub(_CHAIN, _ID18, rf"\1{'X' * 18}\2")
+_CHAIN = _sub(_CHAIN, r"([^0-9A-Za-z])1[3-9]\d{9}([^0-9A-Za-z])", rf"\1{'X' * 11}\2")
+_CHAIN = _sub(_CHAIN, r"\d{4}年\d{1,2}月\d{1,2}日", "YYYY年MM月DD日")
+_CHAIN = _sub(_CHAIN, "福建海峡银行|中国工商银行", "XX银行")
+_CHAIN = _sub(_CHAIN, "福州三山支行", "XX支行")
+_CHAIN = _sub(_CHAIN, r"密码：\d{6,}", "******")
+_CHAIN = _sub(_CHAIN, "汪晶晶|王伟|李静|张宇轩", "XXX")
+
+
+@query(_zh_sql(_CHAIN))
+def chain_g2_full(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g2())
+
+
+@query()
+def chain_g1_full(spark, sf_dir):
+    return _redacted(zh_docs(spark, sf_dir), g1())
+
+
+@query()
+def chain_g3_full(spark, sf_dir):
+    return zh_docs(spark, sf_dir).select("doc_id", packs.redact(F.col("text"), "g3").alias("redacted"))
+
+
+@query()
+def one_pass_g3(spark, sf_dir):
+    return zh_docs(spark, sf_dir).select("doc_id", spans.redact_once(F.col("text"), g3_text()).alias("redacted"))
+
+
+_CARD = _sub("text", r"([^0-9A-Za-z])\d{16,19}([^0-9A-Za-z])", rf"\1{'X' * 16}\2")
+_IDS = _sub("text", _ID18, rf"\1{'X' * 18}\2")
+
+
+@query(f"with {_ZH} select doc_id, {_sub(_IDS, r'([^0-9A-Za-z])\d{16,19}([^0-9A-Za-z])', rf'\1{"X" * 16}\2')} as id_first, {_sub(_CARD, _ID18, rf'\1{"X" * 18}\2')} as card_first from zh")
+def chain_order_matters(spark, sf_dir):
+    pack = g1()
+    rule = {r.rule_id: r for r in pack.rules}
+    ordered = lambda *ids: RulePack("x", tuple(rule[i] for i in ids)).apply(F.col("text"))
+    return zh_docs(spark, sf_dir).select("doc_id", ordered("id18", "card").alias("id_first"), ordered("card", "id18").alias("card_first"))
+
+
+@query("select o_orderkey as doc_id, (['总体组 x','需求组 x','XXXX x','有限公司 x'])[cast(o_orderkey % 4 as int)+1] as redacted from orders")
+def protect_restore_g1(spark, sf_dir):
+    text = F.concat(F.get(F.array(*map(F.lit, ["总体组", "需求组", "测试组", "有限公司"])), (F.col("o_orderkey") % 4).cast("int")), F.lit(" x"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), g1().only("org").apply(text).alias("redacted"))
+
+
+@query("select doc_id, replace(replace(text, 'password', '[word]'), 'the', 'THE') as redacted from documents")
+def custom_literal_rule(spark, sf_dir):
+    pack = g2().only().with_literal("the", "THE").with_literal("password", "[word]")
+    return _redacted(table(spark, sf_dir, "documents"), pack)
+
+
+@query("select o_orderkey as doc_id, (['清单如下','营运计财部','计财财务部','XXX'])[cast(o_orderkey % 4 as int)+1] as redacted from orders")
+def post_fix_literals(spark, sf_dir):
+    text = F.get(F.array(*map(F.lit, ["清XXX下", "营运XXX部", "XXX务部", "XXX"])), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), RulePack("r", (), repairs=g2().repairs).apply(text).alias("redacted"))
+
+
+@query("select o_orderkey as doc_id, (['应为XXXX年XX月XX日前','报告应为YYYY年MM月DD日前','报告必须为XXXX年XX月XX日'])[cast(o_orderkey % 3 as int)+1] as redacted from orders")
+def post_fix_date_context(spark, sf_dir):
+    prefix = F.get(F.array(*map(F.lit, ["应为", "报告应为", "报告必须为"])), (F.col("o_orderkey") % 3).cast("int"))
+    text = F.concat(prefix, F.date_format("o_orderdate", "yyyy年M月d日"), F.when(F.col("o_orderkey") % 3 < 2, "前").otherwise(""))
+    return _redacted(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), g2())
+
+
+# ---- counts, audits
+
+
+_COUNT = f"""c as (select *, len(regexp_extract_all(text, '{_EMAIL}')) as e, len(regexp_extract_all(text, '{_IP}')) as i, len(regexp_extract_all(text, '{_MAC}')) as m from documents),
+l as (select lang, 'email' as rule_id, 'EMAIL' as category, e as n from c union all select lang, 'ipv4', 'IP', i from c union all select lang, 'mac', 'MAC', m from c)"""
+
+
+@query(f"with {_COUNT} select rule_id, category, cast(sum(n) as bigint) as n from l where n > 0 group by all")
+def count_by_rule(spark, sf_dir):
+    return counts.by_rule(table(spark, sf_dir, "documents"), g2().only("email", "ipv4", "mac"))
+
+
+@query(f"with {_COUNT} select lang, rule_id, category, cast(sum(n) as bigint) as n from l where n > 0 group by all")
+def count_by_rule_lang(spark, sf_dir):
+    return counts.by_rule(table(spark, sf_dir, "documents"), g2().only("email", "ipv4", "mac"), "text", "lang")
+
+
+@query(f"with {_COUNT} select rule_id, category, cast(sum(n) as bigint) as n from l where n > 0 group by all order by n desc, rule_id limit 2")
+def top_labels(spark, sf_dir):
+    return count_by_rule(spark, sf_dir).orderBy(F.desc("n"), "rule_id").limit(2)
+
+
+@query(f"with r as (select doc_id, {_sub('text', _EMAIL, 'XXXXX@XXXXX')} as redacted, text from documents) select doc_id, redacted from r where redacted <> text")
+def changed_only(spark, sf_dir):
+    return counts.changed(table(spark, sf_dir, "documents"), g2().only("email")).select("doc_id", "redacted")
+
+
+@query(f"with r as (select {_sub('text', _IP, 'X.X.X.X')} as t from documents) select 'ipv4' as rule_id, 'IP' as category, cast(sum(len(regexp_extract_all(t, '{_IP}'))) as bigint) as n from r having sum(len(regexp_extract_all(t, '{_IP}'))) > 0")
+def residual_audit(spark, sf_dir):
+    return counts.residual(table(spark, sf_dir, "documents"), g2().only("ipv4"))
+
+
+_RESULTS = """r as (select '/in/f' || o_orderkey || '.' || (['docx','xlsx','pdf','PNG'])[cast(o_custkey % 4 as int)+1] as input_path,
+  case o_orderstatus when 'F' then 'success' when 'O' then 'failed' else 'skipped' end as status, 'e' || o_orderkey as error, o_custkey as at,
+  o_custkey as duration_ms, o_orderkey % 50 as entities_count, o_orderkey * 10 as file_size from orders),
+k as (select *, (['word','excel','pdf','image'])[cast(duration_ms % 4 as int)+1] as file_type from r)"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result row for every order."""
+    ending = F.get(F.array(*map(F.lit, ["docx", "xlsx", "pdf", "PNG"])), (F.col("o_custkey") % 4).cast("int"))
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("/in/f"), F.col("o_orderkey").cast("string"), F.lit("."), ending).alias("input_path"), status.alias("status"), F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("error"),
+        F.col("o_custkey").alias("at"), F.col("o_custkey").alias("duration_ms"), (F.col("o_orderkey") % 50).alias("entities_count"), (F.col("o_orderkey") * 10).alias("file_size"),
+    )
+
+
+@query(f"with {_RESULTS} select count(*) as n_total, count(*) filter (status='success') as n_success, count(*) filter (status='failed') as n_failed, count(*) filter (status='skipped') as n_skipped, cast(sum(duration_ms) as bigint) as duration_ms, cast(sum(entities_count) filter (status='success') as bigint) as entities, cast(sum(file_size) as bigint) as bytes from r")
+def result_stats_global(spark, sf_dir):
+    return report.totals(results(spark, sf_dir))
+
+
+@query(f"with {_RESULTS} select file_type, count(*) as n, cast(sum(entities_count) as bigint) as entities, cast(sum(file_size) as bigint) as bytes from k where status = 'success' group by 1")
+def result_stats_by_type(spark, sf_dir):
+    return report.by_type(results(spark, sf_dir))
+
+
+@query(f"with {_RESULTS} select count(*) filter (status='success') as n_done, count(*) filter (status='failed') as n_failed, count(*) as n_total from r")
+def status_summary(spark, sf_dir):
+    return resume.summary(results(spark, sf_dir).select("input_path", "status", "error", "at"))
+
+
+@query(f"with {_RESULTS} select input_path as path from r where status <> 'success'")
+def resume_pending(spark, sf_dir):
+    rows = results(spark, sf_dir)
+    return resume.pending(rows.select(F.col("input_path").alias("path")), rows.select("input_path", "status", "error", "at"))
+
+
+@query(f"with {_RESULTS} select input_path as path, '/out/' || regexp_replace(replace(input_path, '/in/', ''), '\\.([a-zA-Z]+)$', '_脱敏.\\1') as output_path, case when status = 'success' then 'skipped' else 'pending' end as status from r")
+def skip_existing(spark, sf_dir):
+    rows = results(spark, sf_dir)
+    tasks = rows.select(F.col("input_path").alias("path"), files.output_path(F.col("input_path"), "/out").alias("output_path"))
+    there = rows.filter("status = 'success'").select(files.output_path(F.col("input_path"), "/out/").alias("path"))
+    return resume.without_output(tasks, there).select("path", "output_path", "status")
+
+
+@query(f"with {_RESULTS} select input_path as path, file_type from k where file_type in ('word', 'image')")
+def type_routing(spark, sf_dir):
+    return files.routed(results(spark, sf_dir).select(F.col("input_path").alias("path")), ["word", "image"])
+
+
+@query("select o_orderkey as doc_id, 'XX银行' || '_XXXX/XX/XX_XXXXXXXXXXX.docx' as name from orders")
+def filename_redact(spark, sf_dir):
+    name = F.concat(F.lit("中国银行_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_"), (F.lit(13800000000) + F.col("o_custkey")).cast("string"), F.lit(".docx"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), packs.filename_g3(name).alias("name"))
+
+
+@query("select s_suppkey, case when length(s_name) > 4 then s_name[1:4] || '****' else '****' end as shown from supplier")
+def mask_preview(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", detect.preview(F.col("s_name")).alias("shown"))
+
+
+@query("select o_orderkey, case when b < 1024 then printf('%.1f B', b / 1.0) when b < 1048576 then printf('%.1f KB', b / 1024.0) else printf('%.1f MB', b / 1048576.0) end as size from (select o_orderkey, o_orderkey * 512 as b from orders)")
+def format_size(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", files.readable_size(F.col("o_orderkey") * 512).alias("size"))
+
+
+@query("select l_orderkey, l_returnflag as label, count(*) * 2 as n from lineitem group by all")
+def merge_counts_map(spark, sf_dir):
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    maps = flags.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("m"))
+    return maps.select("l_orderkey", F.explode(counts.merged_maps(F.col("m"), F.col("m"))).alias("label", "n"))
+
+
+# ---- spans and structure
+
+
+@query("with p as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as node_idx, unnest(string_split(text, chr(10))) as text from documents) select doc_id, cast(node_idx as int) as node_idx, cast(coalesce(sum(length(text) + 1) over (partition by doc_id order by node_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as start, length(text) as n_chars from p")
+def paragraph_offsets(spark, sf_dir):
+    paras = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("node_idx", "text"))
+    return span_ops.offsets(paras, ["doc_id"], ["node_idx"], separator=1).select("doc_id", "node_idx", "start", F.length("text").cast("long").alias("n_chars"))
+
+
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that overlap here and there, from the lines of an order."""
+    start = (F.col("l_linenumber") * 4 + F.col("l_partkey") % 3).cast("int")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_suppkey") % 7).cast("int").alias("end"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("replacement"))
+
+
+_SPANS = "s as (select l_orderkey as doc_id, cast(l_linenumber * 4 + l_partkey % 3 as int) as start, cast(l_linenumber * 4 + l_partkey % 3 + l_suppkey % 7 as int) as \"end\", 'r' || l_linenumber as replacement from lineitem)"
+
+
+@query(f"""with {_SPANS}, o as (select *, max("end") over (partition by doc_id order by start, "end" desc, replacement rows between unbounded preceding and 1 preceding) as high from s where "end" > start),
+i as (select *, sum(case when high is null or start >= high then 1 else 0 end) over (partition by doc_id order by start, "end" desc, replacement) as island from o)
+select doc_id, min(start) as start, max("end") as "end", arg_min(replacement, (start, -"end", replacement)) as replacement from i group by doc_id, island""")
+def merge_spans(spark, sf_dir):
+    return span_ops.merged(line_spans(spark, sf_dir), ["doc_id"])
+
+
+@query()
+def greedy_spans(spark, sf_dir):
+    grouped = line_spans(spark, sf_dir).filter("end > start").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("s"))
+    return grouped.select("doc_id", F.inline(spans.greedy(spans.by_start(F.col("s")))))
+
+
+@query(f"""with {_SPANS}, n as (select o_orderkey as doc_id, k as node_idx, k * 8 as node_start, k * 8 + 8 as node_end from orders, (select unnest([0, 1, 2, 3]) as k))
+select s.doc_id, start, "end", replacement, node_idx, start - node_start as local_start, "end" - node_start as local_end from s join n on s.doc_id = n.doc_id and start >= node_start and "end" <= node_end""")
+def span_node_join(spark, sf_dir):
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*map(F.lit, range(4)))).alias("node_idx"))
+    nodes = nodes.withColumn("start", F.col("node_idx") * 8).withColumn("end", F.col("start") + 8)
+    return span_ops.in_nodes(line_spans(spark, sf_dir), nodes, ["doc_id"]).drop("node_start", "node_end")
+
+
+@query("select o_orderkey as doc_id, o_orderpriority[1:1] || '<a>' || o_orderpriority[4:5] || '<b>' || o_orderpriority[7:] as redacted from orders")
+def apply_spans(spark, sf_dir):
+    cut = F.expr("array(struct(1 as start, 3 as end, '<a>' as replacement), struct(5 as start, 6 as end, '<b>' as replacement))")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), spans.applied(F.col("o_orderpriority"), cut).alias("redacted"))
+
+
+@query()
+def redistribute_runs(spark, sf_dir):
+    nodes = zh_docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "，", -1)).alias("node_idx", "text"))
+    nodes = span_ops.offsets(nodes, ["doc_id"], ["node_idx"])
+    cuts = nodes.groupBy("doc_id").agg(F.max("end").alias("n")).select("doc_id", F.lit(6).alias("start"), F.lit(20).alias("end"), F.lit("###").alias("replacement"))
+    return span_ops.redistributed(nodes, cuts, ["doc_id"], ["node_idx"]).select("doc_id", "node_idx", "text")
+
+
+@query()
+def batch_pack_200(spark, sf_dir):
+    paras = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para", "text"))
+    return span_ops.packed(paras, ["doc_id"], "para")
+
+
+@query("with c as (select doc_id, text, unnest(range(0, greatest(length(text) - 201, 0) + 1, 5800)) as s from documents) select doc_id, cast(s / 5800 as int) as chunk, substr(text, s + 1, 6000) as chunk_text from c")
+def overlapping_chunks(spark, sf_dir):
+    return span_ops.chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk", "chunk_text")
+
+
+# ---- detection
+
+
+_ROLES = "select o_orderkey as doc_id, (['汪晶晶','王伟','李静','张宇轩'])[cast(o_custkey % 4 as int)+1] as name from orders"
+
+
+@query(f"with r as ({_ROLES}) select doc_id, name as text, 'role_word' as source from r union all select doc_id, name, 'role_word' from r")
+def role_word_names(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("o_custkey") % 4).cast("int"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("一、总行联系人："), name, F.lit("。审核人 "), name, F.lit("，副行长：总行。")).alias("text"))
+    return detect.role_names(docs).select("doc_id", "text", "source")
+
+
+@query("select o_orderkey as doc_id, text, replacement from (select o_orderkey, strftime(o_orderdate,'%Y年%-m月%-d日') || '至' || strftime(o_orderdate,'%Y年%-m月%-d日') as text, 'YYYY年MM月DD日至YYYY年MM月DD日' as replacement from orders)")
+def detect_date_ranges(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy年M月d日")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("有效期 "), day, F.lit("至"), day, F.lit(" 止")).alias("text"))
+    return detect.date_ranges(docs).select("doc_id", "text", "replacement")
+
+
+@query()
+def detect_all_layers(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("经办人："), F.lit("联系人：")))
+    return detect.detected(docs)
+
+
+@query(f"with {_ZH} select doc_id, text as para from zh")
+def prescreen_paragraphs(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n无\nplain line\n"), F.col("text")))
+    return detect.prescreened(docs)
+
+
+@query("select event_id, event_type as text, 0.9::double as confidence from events")
+def llm_json_parse(spark, sf_dir):
+    answer = F.concat(F.when(F.col("event_id") % 2 == 0, "ok ```json\n").otherwise("found: "), F.lit('{"entities":[{"text":"'), F.col("event_type"), F.lit('","replacement":null,"category":"c","confidence":0.9}]}'), F.when(F.col("event_id") % 2 == 0, "\n```").otherwise(" done"))
+    rows = table(spark, sf_dir, "events").select("event_id", detect.parsed_entities(answer).alias("e"))
+    return rows.select("event_id", F.inline("e")).select("event_id", "text", "confidence")
+
+
+@query("select doc_id, replace(replace(text, 'password', '***'), 'pass', '+') as redacted from documents")
+def entities_longest_first(spark, sf_dir):
+    found = F.expr("array(struct('pass' as text, '+' as replacement), struct('password' as text, '***' as replacement), struct('the' as text, cast(null as string) as replacement))")
+    return table(spark, sf_dir, "documents").select("doc_id", detect.entities_replaced(F.col("text"), found).alias("redacted"))
+
+
+@query()
+def manifest_json(spark, sf_dir):
+    return report.manifests(detect_all_layers(spark, sf_dir))
+
+
+@query("select category, count(*) as n from (select 'NAME' as category from orders union all select 'DATE' from orders where false) group by 1")
+def category_counts(spark, sf_dir):
+    return report.categories(detect_all_layers(spark, sf_dir))
+
+
+# ---- boxes and pictures
+
+
+@query("select event_id, greatest(x - 3, 0) as x1, greatest(y - 3, 0) as y1, least(x + w + 3, 640) as x2, least(y + 15, 480) as y2 from (select event_id, cast(user_id % 640 as int) as x, cast(event_id % 480 as int) as y, cast(event_id % 37 as int) as w from events) where least(x + w + 3, 640) > greatest(x - 3, 0) and least(y + 15, 480) > greatest(y - 3, 0)")
+def ocr_boxes_pad_clamp(spark, sf_dir):
+    one = lambda c: F.array(c.cast("int"))
+    images = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("img"), F.array("event_type").alias("text"), one(F.col("user_id") % 640).alias("left"), one(F.col("event_id") % 480).alias("top"), one(F.col("event_id") % 37).alias("width"), one(F.lit(12)).alias("height")
+    )
+    box = boxes.padded(F.col("left"), F.col("top"), F.col("width"), F.col("height"), 3, F.lit(640), F.lit(480))
+    return boxes.ocr_rows(images).select(F.col("img").alias("event_id"), box.alias("b")).filter("b is not null").select("event_id", "b.*")
+
+
+@query()
+def merge_boxes(spark, sf_dir):
+    x, y = (F.col("l_linenumber") * 60 + F.col("l_partkey") % 40).cast("int"), (F.col("l_suppkey") % 30).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), (y + 12).alias("y2")).alias("b"))
+    return rows.groupBy("l_orderkey").agg(F.collect_list("b").alias("bs")).select("l_orderkey", F.inline(boxes.merged(F.col("bs"))))
+
+
+@query("select vec_id, cast(192 as bigint) as n_bytes from embeddings")
+def mosaic_pictures(spark, sf_dir):
+    pixel = F.expr("transform(embedding, x -> chr(cast(abs(x) * 1000 as int) % 128))")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"),
+        F.encode(F.repeat(F.array_join(pixel, ""), F.lit(3)), "ISO-8859-1").alias("data"), F.expr("array(struct(1 as x1, 1 as y1, 6 as x2, 6 as y2))").alias("boxes"),
+    )
+    return pixels.mask(rows).select(F.col("origin").cast("long").alias("vec_id"), F.length("data").cast("long").alias("n_bytes"))
+
+
+# ---- documents and streams
+
+
+def _as_docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    for frame in frames:
+        out = []
+        for text in frame["text"]:
+            made = io.BytesIO()
+            with zipfile.ZipFile(made, "w") as archive:
+                runs = "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in (text[:9], text[9:]))
+                archive.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body><w:p>{runs}</w:p></w:body></w:document>')
+            out.append(made.getvalue())
+        yield pd.DataFrame({"path": frame["path"], "content": out})
+
+
+@query(f"with {_ZH} select '/in/' || doc_id || '.docx' as path, {_CHAIN} as redacted from zh")
+def ooxml_round_trip(spark, sf_dir):
+    made = zh_docs(spark, sf_dir).select(F.format_string("/in/%d.docx", "doc_id").alias("path"), "text").mapInPandas(_as_docx, "path string, content binary")
+    done = ooxml.rewritten(made, batch.redacted_nodes(ooxml.nodes(made)))
+    listed = F.sort_array(F.collect_list(F.struct("node_idx", "text")))
+    return ooxml.nodes(done).groupBy("path").agg(F.array_join(F.transform(listed, lambda n: n["text"]), "").alias("redacted"))
+
+
+@query(f"select doc_id, {_sub('text', _EMAIL, 'XXXXX@XXXXX')} as redacted from documents")
+def stream_available_now(spark, sf_dir):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema.simpleString().removeprefix("struct<").removesuffix(">")
+    resume.redact_available(spark, f"{sf_dir}/documents.parquet*", schema.replace(":", " "), lambda b: _redacted(b, g2().only("email")), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("doc_id", "redacted")
