@@ -14,7 +14,7 @@ from inkveil.llm.common import stored, words
 
 DIMENSIONS = ("source", "lang", "topic")
 #: topic and the pattern that gives it to a text; the first that fits counts, `prose` is the rest.
-TOPICS = [("legal", r"(?i)licen[cs]e|copyright"), ("contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]|\+1 \("), ("data", r"[0-9]{6}")]
+TOPICS = [("legal", r"(?i)licen[cs]e|copyright"), ("contact", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]|\+1 \("), ("data", r"[0-9]{6}")]
 #: Cells up to this number are broadcast (about 100 bytes each); more are joined by a salted shuffle.
 BROADCAST_CELLS = 50_000
 SALTS = 64
