@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import bounded_batches, partitions, stored
+from inkveil.llm.common import bounded_batches, give_back, partitions, stored
 from inkveil.llm.shingles import U, WordHashes, mix, shingled, split
 
 FEATURES_BITS = 18
@@ -113,6 +113,8 @@ def _signatures(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.D
             prints = [int((mix(h + U(s)) * count).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2)]
             rows.append((doc, *prints, float(w.sum()), keys.astype(np.int64), (name & U(0xFF)).astype(np.uint8).tobytes()))
         yield pd.DataFrame(rows, columns=["id", "f1", "f2", "weight", "keys", "sig"])
+    cache.clear()
+    give_back()
 
 
 def linked(ids: np.ndarray, sig: np.ndarray, weight: np.ndarray, threshold: float) -> set[tuple[int, int]]:
@@ -194,6 +196,7 @@ def _linked_buckets(frames: Iterator[pd.DataFrame], threshold: float, edges: boo
             yield pairs(found)
         if edges:
             yield border(carry)
+    give_back()
 
 
 def candidates(signatures: DataFrame, threshold: float) -> DataFrame:
@@ -224,6 +227,9 @@ def _verified(frames: Iterator[pd.DataFrame], size: int, threshold: float, idf)
         sides = zip(frame["a"], frame["text_a"], frame["b"], frame["text_b"], strict=True)
         like = np.array([weighted_jaccard(of(a, s), of(b, t)) for a, s, b, t in sides], float)
         yield frame.loc[like >= threshold, ["a", "b"]]
+    cache.clear()
+    known.clear()
+    give_back()
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:

@@ -11,7 +11,7 @@ U = np.uint64
 class WordHashes(dict):
     """64-bit hash of each word met, bounded in size."""
 
-    limit = 1_000_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

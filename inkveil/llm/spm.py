@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import bounded_batches
+from inkveil.llm.common import bounded_batches, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -30,7 +30,9 @@ FOREIGN = 1 << 24
 class Pieces:
     """The pieces of a model of type BPE with byte fallback, and what has been encoded by them so far (bounded)."""
 
-    limit = 400_000
+    limit = 300_000
+    #: Chunks that are indexed and relaxed together.
+    together = 60_000
     #: Chunks of more bytes are relaxed one by one instead of all at once.
     long = 512
 
@@ -109,8 +111,8 @@ class Pieces:
         if len(self.known) > self.limit:
             self.forget()
         new = list(set(chain.from_iterable(chunks)).difference(self.known))
-        if new:
-            self.relax(new)
+        for k in range(0, len(new), self.together):
+            self.relax(new[k : k + self.together])
         count = np.fromiter(map(len, chunks), np.int64, len(chunks))
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, int(count.sum()))
         size = self.at[which + 1] - self.at[which]
@@ -263,6 +265,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], text_col: str, path: str) -> Ite
         names, columns = map(list, zip(*kept, strict=True))
         columns += [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)), pa.array(np.diff(starts)), pa.array(back, pa.bool_())]
         yield pa.RecordBatch.from_arrays(columns, names=[*names, "piece_ids", "n_pieces", "round_trip"])
+    model.forget()
+    give_back()
 
 
 def encoded(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFrame:
