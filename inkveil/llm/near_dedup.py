@@ -8,6 +8,8 @@
    (a maximum spanning forest and the nearest texts) become candidates: their number is in proportion to the rows, whatever the bucket's size.
    Stretches and partitions overlap by some rows, so that the parts of a bucket stay connected.
 4. Candidates are verified by the weighted Jaccard similarity of the whole texts; connected components of verified links are the classes.
+5. Texts that share a bucket and are in different classes after that are compared with each other in blocks, and every such pair
+   that its samples do not rule out is verified too: step 3 saves work and decides nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ K = BANDS * ROWS
 LEAST_SHARED = 18
 NEAREST = 3
 STRETCH, OVERLAP = 256, 4
+#: Rows of a block in step 5.
+BLOCK = 1024
 #: Ids up to this number (16 bytes each) are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -211,6 +215,72 @@ def candidates(signatures: DataFrame, threshold: float) -> DataFrame:
     return found.filter("b is not null").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
+def _crossing(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Pairs (smaller id first) of rows of one cell in different classes that weights and samples do not rule out."""
+
+    def crossing(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, group, weight = (rows[c].to_numpy() for c in ("id", "class", "weight"))
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), K)
+        asks = rows["asks"].to_numpy(bool)
+        asking = np.flatnonzero(asks)
+        asked = np.arange(len(rows)) if rows["chunk"].iloc[0] < 0 else np.flatnonzero(~asks)
+        a, b = [], []
+        for at in range(0, len(asking), 64):
+            part = asking[at : at + 64]
+            low = np.minimum(weight[part][:, None], weight[asked][None, :])
+            high = np.maximum(weight[part][:, None], weight[asked][None, :])
+            i, j = np.nonzero((group[part][:, None] != group[asked][None, :]) & (low >= threshold * high * (1 - 1e-9)))
+            i, j = part[i], asked[j]
+            for cut in range(0, len(i), 1 << 16):
+                x, y = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
+                like = (sig[x] == sig[y]).sum(1) >= LEAST_SHARED
+                a.append(ids[x[like]])
+                b.append(ids[y[like]])
+        if not a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    carry = None
+    for frame in frames:
+        rows = frame if carry is None else pd.concat([carry, frame], ignore_index=True)
+        if not len(rows):
+            continue
+        cell = rows[["key", "block", "chunk"]].to_numpy()
+        starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
+        carry = rows[starts[-1] :]
+        found = [crossing(rows[s:e]) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+        if found:
+            yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
+    if carry is not None:
+        a, b = crossing(carry)
+        yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+    give_back()
+
+
+def unsettled(signatures: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs a < b that share a bucket, are in different classes, and may be similar.
+
+    In every bucket with several classes, the rows outside its largest class are compared with all its rows. Both sides are dealt
+    into blocks of about `BLOCK` rows, and a cell holds one block of each, so that a large bucket spreads over many tasks.
+    """
+    of = grouped.select(F.col("node").alias("id"), "class")
+    rows = signatures.join(of, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "weight", "sig", F.explode("keys").alias("key"))
+    counts = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("total")).filter("total > top.n")
+    mixed = mixed.select("key", F.col("top.class").alias("top"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / BLOCK).cast("int").alias("chunks"))
+    one = F.lit(1)
+    cell = lambda block, chunk, asks: F.struct(block.cast("int").alias("block"), chunk.cast("int").alias("chunk"), asks.alias("asks"))
+    asks = F.col("class") != F.col("top")
+    asked = F.transform(F.sequence(one, "blocks"), lambda k: cell(k, F.pmod(F.xxhash64("id", F.lit(2)), "chunks") + 1, F.lit(False)))
+    asking = F.transform(F.sequence(one, "chunks"), lambda k: cell(F.pmod(F.xxhash64("id", F.lit(3)), "blocks") + 1, k, F.lit(True)))
+    none = F.array(cell(one, one, F.lit(True)))
+    cells = F.when(F.col("chunks") == 1, F.array(cell(one, F.lit(-1), asks))).otherwise(F.concat(asked, F.when(asks, asking).otherwise(F.slice(none, 1, 0))))
+    dealt = rows.join(mixed, "key").select("key", "id", "class", "weight", "sig", F.explode(cells).alias("cell")).select("key", "cell.*", "id", "class", "weight", "sig")
+    dealt = dealt.repartition(partitions(signatures.sparkSession), "key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+    return dealt.mapInPandas(partial(_crossing, threshold=threshold), "a long, b long").distinct()
+
+
 def _verified(frames: Iterator[pd.DataFrame], size: int, threshold: float, idf) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
     known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -274,21 +344,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     # copies: one representative for each multiset of shingles
     groups = signatures.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = stored(signatures.select("id", "f1", "f2").join(groups.filter("n > 1"), ["f1", "f2"]).select("id", "rep").distinct(), "copies")
-    alone = signatures.join(copies.filter("id != rep").select("id"), "id", "left_anti").dropDuplicates(["id"])
-    pairs = stored(candidates(alone, threshold), "pairs")
+    alone = stored(signatures.join(copies.filter("id != rep").select("id"), "id", "left_anti").dropDuplicates(["id"]), "representatives")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        picked = known.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "id", "left_semi")
+        texts = stored(picked, "texts")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        return both.mapInPandas(partial(_verified, size=size, threshold=threshold, idf=idf), "a long, b long")
 
-    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    picked = known.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "id", "left_semi")
-    texts = stored(picked, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = both.mapInPandas(partial(_verified, size=size, threshold=threshold, idf=idf), "a long, b long")
+    pairs = stored(candidates(alone, threshold), "pairs")
     same = copies.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    grouped = components(links.unionByName(same))
+    grouped = components(verified(pairs).unionByName(same))
+    rest = stored(unsettled(alone, grouped, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
+
+    # links of the rest join whole classes
+    class_of = lambda end: grouped.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
+    joins = verified(rest).join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
+    joined = components(joins.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")))
+    if joined.count() <= BROADCAST_IDS:
+        joined = F.broadcast(joined)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    found = ids.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    class_id = F.coalesce("class", "doc_id")
-    return found.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
-
+    found = ids.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("node"))
+    class_id = F.coalesce("class", "node")
+    return found.join(joined, "node", "left").select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of one document of each class, with the columns of `docs`."""

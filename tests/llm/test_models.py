@@ -96,6 +96,35 @@ def test_samples_agree_with_the_similarity():
     assert (near_dedup.samples(*a) == near_dedup.samples(*a)).all()
 
 
+def test_unsettled_compares_all_classes_of_a_bucket(spark, monkeypatch):
+    """Every pair across classes, once, with blocks smaller than the bucket; pairs of one class and unlike ones are left out."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, near_dedup.K)
+    rows, sigs = [], {}
+    for i in range(40):
+        sig = np.where(rng.random(near_dedup.K) < rng.choice([0.2, 0.6]), rng.integers(0, 256, near_dedup.K), base).astype(np.uint8)
+        sigs[i] = sig
+        rows.append((i, 10.0 + i / 10, bytearray(sig.tobytes()), [7, 100 + i % 3]))
+    signatures = spark.createDataFrame(rows, "id long, weight double, sig binary, keys array<long>")
+    group = {i: 0 for i in range(12)}
+    grouped = spark.createDataFrame(list(group.items()), "node long, class long")
+    got = sorted((r.a, r.b) for r in near_dedup.unsettled(signatures, grouped, 0.8).collect())
+    want = [
+        (a, b) for a in range(40) for b in range(a + 1, 40)
+        if group.get(a, a) != group.get(b, b) and (10 + a / 10) >= 0.8 * (10 + b / 10) and (sigs[a] == sigs[b]).sum() >= near_dedup.LEAST_SHARED
+    ]
+    assert got == want and want
+
+
+def test_links_outside_the_spanning_forest_are_kept(spark, monkeypatch):
+    """Classes do not depend on which candidates the forest takes: with none of them, the result is the same."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    idf = near_dedup.inverse_frequencies(docs.select("text"))
+    monkeypatch.setattr(near_dedup, "candidates", lambda signatures, threshold: spark.createDataFrame([], "a long, b long"))
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == brute_classes(corpus(), idf)
+
+
 def test_stretch_spans_a_large_bucket():
     """A bucket over many stretches and batches stays connected."""
     n = 3000
