@@ -9,7 +9,7 @@
    Stretches and partitions overlap by some rows, so that the parts of a bucket stay connected.
 4. Candidates are verified by the weighted Jaccard similarity of the whole texts; connected components of verified links are the classes.
 5. Texts that share a bucket and are in different classes after that are compared with each other in blocks, and every such pair
-   that its samples do not rule out is verified too: step 3 saves work and decides nothing.
+   that its samples do not rule out is verified there too: step 3 saves work and decides nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ K = BANDS * ROWS
 LEAST_SHARED = 18
 NEAREST = 3
 STRETCH, OVERLAP = 256, 4
-#: Rows of a block in step 5.
+#: Rows of a block in step 5, where a row of more than 512 shingles counts as several.
 BLOCK = 1024
 #: Ids up to this number (16 bytes each) are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -215,70 +215,137 @@ def candidates(signatures: DataFrame, threshold: float) -> DataFrame:
     return found.filter("b is not null").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
-def _crossing(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Pairs (smaller id first) of rows of one cell in different classes that weights and samples do not rule out."""
+def _sets(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.DataFrame]:
+    """Distinct shingles and weights of each text."""
+    cache = WordHashes()
+    for frame in frames:
+        sets = [(h.tobytes(), weights(h, n, idf.value).tobytes()) for h, n in (shingled(cache.of(split(t)), size) for t in frame["text"])]
+        yield pd.DataFrame({"id": frame["id"], "shingles": [h for h, _ in sets], "weights": [w for _, w in sets]})
+    cache.clear()
+    give_back()
+
+
+class Cell:
+    """Rows of a block that are compared with the rows of another block of the same bucket."""
 
-    def crossing(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids, group, weight = (rows[c].to_numpy() for c in ("id", "class", "weight"))
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), K)
+    def __init__(self, rows: pd.DataFrame, threshold: float):
+        self.threshold, self.rows = threshold, rows
+        self.ids, self.group, self.weight = (rows[c].to_numpy() for c in ("id", "class", "weight"))
+        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), K)
         asks = rows["asks"].to_numpy(bool)
-        asking = np.flatnonzero(asks)
-        asked = np.arange(len(rows)) if rows["chunk"].iloc[0] < 0 else np.flatnonzero(~asks)
+        self.asking = np.flatnonzero(asks)
+        self.asked = np.arange(len(rows)) if rows["chunk"].iloc[0] < 0 else np.flatnonzero(~asks)
+
+    def possible(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of rows in different classes that weights and samples do not rule out, in parts."""
+        for at in range(0, len(self.asking), 64):
+            part = self.asking[at : at + 64]
+            low = np.minimum(self.weight[part][:, None], self.weight[self.asked][None, :])
+            high = np.maximum(self.weight[part][:, None], self.weight[self.asked][None, :])
+            i, j = np.nonzero((self.group[part][:, None] != self.group[self.asked][None, :]) & (low >= self.threshold * high * (1 - 1e-9)))
+            i, j = part[i], self.asked[j]
+            like = (self.sig[i] == self.sig[j]).sum(1) >= LEAST_SHARED
+            yield i[like], j[like]
+
+    def doubtful(self) -> pd.DataFrame:
+        """The rows that have a possible partner."""
+        found = np.zeros(len(self.ids), bool)
+        for i, j in self.possible():
+            found[i] = found[j] = True
+        return pd.DataFrame({"id": np.unique(self.ids[found])})
+
+    def links(self) -> pd.DataFrame:
+        """Pairs (smaller id first) of similar texts, each in the first of the buckets that it shares."""
+        keys = np.array(self.rows["keys"].tolist(), np.int64)
+        key = self.rows["key"].iloc[0]
+        lengths = np.array([len(x) // 8 for x in self.rows["shingles"]])
+        ends = np.cumsum(lengths)
+        at = np.unique(np.frombuffer(b"".join(self.rows["shingles"]), np.uint64), return_inverse=True)[1]
+        w = np.frombuffer(b"".join(self.rows["weights"]), np.float64)
+        places, values = np.split(at, ends[:-1]), np.split(w, ends[:-1])
+        mine = np.zeros(at.max() + 1)
         a, b = [], []
-        for at in range(0, len(asking), 64):
-            part = asking[at : at + 64]
-            low = np.minimum(weight[part][:, None], weight[asked][None, :])
-            high = np.maximum(weight[part][:, None], weight[asked][None, :])
-            i, j = np.nonzero((group[part][:, None] != group[asked][None, :]) & (low >= threshold * high * (1 - 1e-9)))
-            i, j = part[i], asked[j]
-            for cut in range(0, len(i), 1 << 16):
-                x, y = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-                like = (sig[x] == sig[y]).sum(1) >= LEAST_SHARED
-                a.append(ids[x[like]])
-                b.append(ids[y[like]])
-        if not a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = np.concatenate(a), np.concatenate(b)
-        return np.minimum(a, b), np.maximum(a, b)
-
-    carry = None
+        for i, j in self.possible():
+            common = keys[i] == keys[j]
+            first = keys[i, common.argmax(1)] == key
+            i, j = i[first], j[first]
+            for x in np.unique(i):
+                others = j[i == x]
+                mine[places[x]] = values[x]
+                for cut in range(0, len(others), 256):
+                    some = others[cut : cut + 256]
+                    shared = np.minimum(mine[np.concatenate([places[y] for y in some])], np.concatenate([values[y] for y in some]))
+                    low = np.add.reduceat(shared, np.append(0, np.cumsum(lengths[some])[:-1]))
+                    some = some[low >= self.threshold * (self.weight[x] + self.weight[some] - low)]
+                    a += [self.ids[x]] * len(some)
+                    b += list(self.ids[some])
+                mine[places[x]] = 0
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
+
+
+def _by_cell(frames: Iterator[pd.DataFrame], threshold: float, verify: bool) -> Iterator[pd.DataFrame]:
+    carry: list[pd.DataFrame] = []
+
+    def result(rows: pd.DataFrame) -> pd.DataFrame:
+        cell = Cell(rows, threshold)
+        return cell.links() if verify else cell.doubtful()
+
     for frame in frames:
-        rows = frame if carry is None else pd.concat([carry, frame], ignore_index=True)
-        if not len(rows):
+        if not len(frame):
             continue
-        cell = rows[["key", "block", "chunk"]].to_numpy()
-        starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
-        carry = rows[starts[-1] :]
-        found = [crossing(rows[s:e]) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-        if found:
-            yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
-    if carry is not None:
-        a, b = crossing(carry)
-        yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        place = frame[["key", "block", "chunk"]].to_numpy()
+        starts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+        if carry and (carry[-1][["key", "block", "chunk"]].to_numpy()[-1] != place[0]).any():
+            starts = np.append(0, starts)
+        if len(starts):
+            head = pd.concat([*carry, frame[: starts[0]]]) if carry else frame[: starts[0]]
+            found = [result(rows) for rows in (head, *(frame[s:e] for s, e in zip(starts[:-1], starts[1:], strict=True))) if len(rows)]
+            carry = [frame[starts[-1] :]]
+            if found:
+                yield pd.concat(found).drop_duplicates()
+        else:
+            carry.append(frame)
+    if carry:
+        yield result(pd.concat(carry))
     give_back()
 
 
-def unsettled(signatures: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs a < b that share a bucket, are in different classes, and may be similar.
-
-    In every bucket with several classes, the rows outside its largest class are compared with all its rows. Both sides are dealt
-    into blocks of about `BLOCK` rows, and a cell holds one block of each, so that a large bucket spreads over many tasks.
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, class, cost, ...) dealt into cells: in every bucket with several classes, the rows outside its largest class
+    meet all its rows. Both sides are dealt into blocks of about `BLOCK` in cost, and a cell holds one block of each, so that a large
+    bucket spreads over many tasks.
     """
-    of = grouped.select(F.col("node").alias("id"), "class")
-    rows = signatures.join(of, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "weight", "sig", F.explode("keys").alias("key"))
-    counts = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("total")).filter("total > top.n")
+    counts = rows.groupBy("key", "class").agg(F.sum("cost").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     mixed = mixed.select("key", F.col("top.class").alias("top"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / BLOCK).cast("int").alias("chunks"))
     one = F.lit(1)
-    cell = lambda block, chunk, asks: F.struct(block.cast("int").alias("block"), chunk.cast("int").alias("chunk"), asks.alias("asks"))
+
+    def cell(block, chunk, asks):
+        return F.struct(block.cast("int").alias("block"), chunk.cast("int").alias("chunk"), asks.alias("asks"))
+
     asks = F.col("class") != F.col("top")
     asked = F.transform(F.sequence(one, "blocks"), lambda k: cell(k, F.pmod(F.xxhash64("id", F.lit(2)), "chunks") + 1, F.lit(False)))
     asking = F.transform(F.sequence(one, "chunks"), lambda k: cell(F.pmod(F.xxhash64("id", F.lit(3)), "blocks") + 1, k, F.lit(True)))
-    none = F.array(cell(one, one, F.lit(True)))
-    cells = F.when(F.col("chunks") == 1, F.array(cell(one, F.lit(-1), asks))).otherwise(F.concat(asked, F.when(asks, asking).otherwise(F.slice(none, 1, 0))))
-    dealt = rows.join(mixed, "key").select("key", "id", "class", "weight", "sig", F.explode(cells).alias("cell")).select("key", "cell.*", "id", "class", "weight", "sig")
-    dealt = dealt.repartition(partitions(signatures.sparkSession), "key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
-    return dealt.mapInPandas(partial(_crossing, threshold=threshold), "a long, b long").distinct()
+    cells = F.when(F.col("chunks") == 1, F.array(cell(one, F.lit(-1), asks))).when(asks, F.concat(asked, asking)).otherwise(asked)
+    dealt = rows.join(mixed, "key").select(*rows.columns, F.explode(cells).alias("cell")).select(*rows.columns, "cell.*")
+    return dealt.repartition(partitions(rows.sparkSession), "key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+
+
+def unsettled(known: DataFrame, signatures: DataFrame, grouped: DataFrame, size: int, threshold: float, idf) -> DataFrame:
+    """All links a < b between texts that share a bucket and are in different classes.
+
+    A first pass finds by their samples the texts that may have such a link. The second compares their whole sets of shingles; only
+    links leave a cell, so that many texts of a bucket that are almost similar enough do not make many rows.
+    """
+    of = grouped.select(F.col("node").alias("id"), "class")
+    placed = stored(signatures.join(of, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "weight", "sig", "keys"), "placed")
+    rows = placed.select("id", "class", "weight", "sig", F.lit(1).alias("cost"), F.explode("keys").alias("key"))
+    doubtful = stored(in_cells(rows).mapInPandas(partial(_by_cell, threshold=threshold, verify=False), "id long").distinct(), "doubtful")
+    few = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_IDS else doubtful
+    sets = known.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(partial(_sets, size=size, idf=idf), "id long, shingles binary, weights binary")
+    held = stored(placed.join(sets, "id"), "sets")
+    rows = held.select("*", F.greatest(F.lit(1), F.expr("length(shingles) div 4096")).alias("cost"), F.explode("keys").alias("key"))
+    return in_cells(rows).mapInPandas(partial(_by_cell, threshold=threshold, verify=True), "a long, b long").distinct()
 
 
 def _verified(frames: Iterator[pd.DataFrame], size: int, threshold: float, idf) -> Iterator[pd.DataFrame]:
@@ -346,21 +413,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     copies = stored(signatures.select("id", "f1", "f2").join(groups.filter("n > 1"), ["f1", "f2"]).select("id", "rep").distinct(), "copies")
     alone = stored(signatures.join(copies.filter("id != rep").select("id"), "id", "left_anti").dropDuplicates(["id"]), "representatives")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        picked = known.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "id", "left_semi")
-        texts = stored(picked, "texts")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.mapInPandas(partial(_verified, size=size, threshold=threshold, idf=idf), "a long, b long")
-
     pairs = stored(candidates(alone, threshold), "pairs")
+
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    picked = known.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "id", "left_semi")
+    texts = stored(picked, "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = both.mapInPandas(partial(_verified, size=size, threshold=threshold, idf=idf), "a long, b long")
     same = copies.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    grouped = components(verified(pairs).unionByName(same))
-    rest = stored(unsettled(alone, grouped, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
+    grouped = components(links.unionByName(same))
+    rest = stored(unsettled(known, alone, grouped, size, threshold, idf), "rest")
 
     # links of the rest join whole classes
     class_of = lambda end: grouped.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
-    joins = verified(rest).join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
+    joins = rest.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
     joined = components(joins.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")))
     if joined.count() <= BROADCAST_IDS:
         joined = F.broadcast(joined)

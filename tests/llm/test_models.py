@@ -97,24 +97,31 @@ def test_samples_agree_with_the_similarity():
 
 
 def test_unsettled_compares_all_classes_of_a_bucket(spark, monkeypatch):
-    """Every pair across classes, once, with blocks smaller than the bucket; pairs of one class and unlike ones are left out."""
+    """With all texts in one bucket and blocks smaller than it, exactly the similar pairs across classes are found."""
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, near_dedup.K)
-    rows, sigs = [], {}
+    monkeypatch.setattr(near_dedup, "LEAST_SHARED", 0)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
     for i in range(40):
-        sig = np.where(rng.random(near_dedup.K) < rng.choice([0.2, 0.6]), rng.integers(0, 256, near_dedup.K), base).astype(np.uint8)
-        sigs[i] = sig
-        rows.append((i, 10.0 + i / 10, bytearray(sig.tobytes()), [7, 100 + i % 3]))
+        words = list(base)
+        for _ in range(i % 6):
+            words[rng.randrange(150)] = f"x{rng.randrange(1000)}"
+        texts[i] = " ".join(words)
+    idf = np.ones(1 << near_dedup.FEATURES_BITS, np.float32)
+    cache, sets = WordHashes(), {}
+    for i, text in texts.items():
+        h, n = shingled(cache.of(split(text)))
+        sets[i] = h, near_dedup.weights(h, n, idf)
+    rows = [(i, float(s[1].sum()), bytearray(near_dedup.K), [7, 100 + i % 3] + [1000 * i + k for k in range(10)]) for i, s in sets.items()]
     signatures = spark.createDataFrame(rows, "id long, weight double, sig binary, keys array<long>")
     group = {i: 0 for i in range(12)}
     grouped = spark.createDataFrame(list(group.items()), "node long, class long")
-    got = sorted((r.a, r.b) for r in near_dedup.unsettled(signatures, grouped, 0.8).collect())
-    want = [
-        (a, b) for a in range(40) for b in range(a + 1, 40)
-        if group.get(a, a) != group.get(b, b) and (10 + a / 10) >= 0.8 * (10 + b / 10) and (sigs[a] == sigs[b]).sum() >= near_dedup.LEAST_SHARED
-    ]
-    assert got == want and want
+    known = spark.createDataFrame(list(texts.items()), "id long, text string")
+    found = near_dedup.unsettled(known, signatures, grouped, 5, 0.8, spark.sparkContext.broadcast(idf))
+    want = [(a, b) for a in range(40) for b in range(a + 1, 40) if group.get(a, a) != group.get(b, b) and near_dedup.weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    assert sorted((r.a, r.b) for r in found.collect()) == want
+    assert 50 < len(want) < 700
 
 
 def test_links_outside_the_spanning_forest_are_kept(spark, monkeypatch):
