@@ -215,12 +215,12 @@ def candidates(signatures: DataFrame, threshold: float) -> DataFrame:
     return found.filter("b is not null").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
-def _sets(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.DataFrame]:
-    """Distinct shingles and weights of each text."""
+def _sets(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Distinct shingles of each text and how often each occurs."""
     cache = WordHashes()
     for frame in frames:
-        sets = [(h.tobytes(), weights(h, n, idf.value).tobytes()) for h, n in (shingled(cache.of(split(t)), size) for t in frame["text"])]
-        yield pd.DataFrame({"id": frame["id"], "shingles": [h for h, _ in sets], "weights": [w for _, w in sets]})
+        sets = [shingled(cache.of(split(t)), size) for t in frame["text"]]
+        yield pd.DataFrame({"id": frame["id"], "shingles": [h.tobytes() for h, _ in sets], "times": [n.astype(np.int32).tobytes() for _, n in sets]})
     cache.clear()
     give_back()
 
@@ -254,14 +254,15 @@ class Cell:
             found[i] = found[j] = True
         return pd.DataFrame({"id": np.unique(self.ids[found])})
 
-    def links(self) -> pd.DataFrame:
+    def links(self, idf: np.ndarray) -> pd.DataFrame:
         """Pairs (smaller id first) of similar texts, each in the first of the buckets that it shares."""
         keys = np.array(self.rows["keys"].tolist(), np.int64)
         key = self.rows["key"].iloc[0]
         lengths = np.array([len(x) // 8 for x in self.rows["shingles"]])
         ends = np.cumsum(lengths)
-        at = np.unique(np.frombuffer(b"".join(self.rows["shingles"]), np.uint64), return_inverse=True)[1]
-        w = np.frombuffer(b"".join(self.rows["weights"]), np.float64)
+        h = np.frombuffer(b"".join(self.rows["shingles"]), np.uint64)
+        at = np.unique(h, return_inverse=True)[1]
+        w = weights(h, np.frombuffer(b"".join(self.rows["times"]), np.int32), idf)
         places, values = np.split(at, ends[:-1]), np.split(w, ends[:-1])
         mine = np.zeros(at.max() + 1)
         a, b = [], []
@@ -283,12 +284,13 @@ class Cell:
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
 
 
-def _by_cell(frames: Iterator[pd.DataFrame], threshold: float, verify: bool) -> Iterator[pd.DataFrame]:
+def _by_cell(frames: Iterator[pd.DataFrame], threshold: float, idf=None) -> Iterator[pd.DataFrame]:
+    """Of each cell the doubtful rows or, given the frequencies, the links."""
     carry: list[pd.DataFrame] = []
 
     def result(rows: pd.DataFrame) -> pd.DataFrame:
         cell = Cell(rows, threshold)
-        return cell.links() if verify else cell.doubtful()
+        return cell.doubtful() if idf is None else cell.links(idf.value)
 
     for frame in frames:
         if not len(frame):
@@ -327,8 +329,11 @@ def in_cells(rows: DataFrame) -> DataFrame:
     asked = F.transform(F.sequence(one, "blocks"), lambda k: cell(k, F.pmod(F.xxhash64("id", F.lit(2)), "chunks") + 1, F.lit(False)))
     asking = F.transform(F.sequence(one, "chunks"), lambda k: cell(F.pmod(F.xxhash64("id", F.lit(3)), "blocks") + 1, k, F.lit(True)))
     cells = F.when(F.col("chunks") == 1, F.array(cell(one, F.lit(-1), asks))).when(asks, F.concat(asked, asking)).otherwise(asked)
-    dealt = rows.join(mixed, "key").select(*rows.columns, F.explode(cells).alias("cell")).select(*rows.columns, "cell.*")
-    return dealt.repartition(partitions(rows.sparkSession), "key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+    return rows.join(mixed, "key").select(*rows.columns, F.explode(cells).alias("cell")).select(*rows.columns, "cell.*")
+
+
+def by_cell(placed: DataFrame) -> DataFrame:
+    return placed.repartition(partitions(placed.sparkSession), "key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
 
 
 def unsettled(known: DataFrame, signatures: DataFrame, grouped: DataFrame, size: int, threshold: float, idf) -> DataFrame:
@@ -340,12 +345,14 @@ def unsettled(known: DataFrame, signatures: DataFrame, grouped: DataFrame, size:
     of = grouped.select(F.col("node").alias("id"), "class")
     placed = stored(signatures.join(of, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "weight", "sig", "keys"), "placed")
     rows = placed.select("id", "class", "weight", "sig", F.lit(1).alias("cost"), F.explode("keys").alias("key"))
-    doubtful = stored(in_cells(rows).mapInPandas(partial(_by_cell, threshold=threshold, verify=False), "id long").distinct(), "doubtful")
+    doubtful = stored(by_cell(in_cells(rows)).mapInPandas(partial(_by_cell, threshold=threshold), "id long").distinct(), "doubtful")
     few = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_IDS else doubtful
-    sets = known.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(partial(_sets, size=size, idf=idf), "id long, shingles binary, weights binary")
+    sets = known.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(partial(_sets, size=size), "id long, shingles binary, times binary")
     held = stored(placed.join(sets, "id"), "sets")
-    rows = held.select("*", F.greatest(F.lit(1), F.expr("length(shingles) div 4096")).alias("cost"), F.explode("keys").alias("key"))
-    return in_cells(rows).mapInPandas(partial(_by_cell, threshold=threshold, verify=True), "a long, b long").distinct()
+    rows = held.select("id", "class", F.greatest(F.lit(1), F.expr("length(shingles) div 4096")).alias("cost"), F.explode("keys").alias("key"))
+    # the sets join the rows only after most buckets have gone
+    cells = in_cells(rows).join(held.drop("class"), "id")
+    return by_cell(cells).mapInPandas(partial(_by_cell, threshold=threshold, idf=idf), "a long, b long").distinct()
 
 
 def _verified(frames: Iterator[pd.DataFrame], size: int, threshold: float, idf) -> Iterator[pd.DataFrame]:
