@@ -1,19 +1,23 @@
-"""URL filters: fixed host and path rules, then association rules that Spark's FP-growth mines from labels.
+"""URL filters: fixed host and path rules, then association rules mined from labels.
 
-Every labelled URL is a transaction of its tokens, plus the item BLOCK where its label is bad. Rules {tokens} -> BLOCK with enough
+Every labelled URL is a transaction of its tokens. Rules {tokens} -> bad with enough
 support and confidence, and without a shorter rule that is as confident, are stored in an inverted index under
 their rarest token. A page looks up its tokens there and is blocked if all tokens of a rule found are among its own.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import ascii_lower
+from inkveil.llm.common import ascii_lower, stored
 
-BLOCK = "=block"
 #: action, host, path.
 RULES = [
     ("block", "com", "/en/"),
@@ -53,22 +57,105 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         F.concat(F.lit("ext:"), F.regexp_extract(path, r"(\.[A-Za-z0-9]+|/)$", 1)),
         F.concat(F.lit("part:"), F.when(text.contains("#"), "fragment").otherwise("none")),
     )
-    return F.when(host != "", F.array_distinct(F.concat(single, F.slice(F.array_sort(F.array_distinct(keys)), 1, 6)))).otherwise(F.array().cast("array<string>"))
+    return F.when(host != "", F.array_distinct(F.concat(single, keys))).otherwise(F.array().cast("array<string>"))
+
+
+def _counted(frames: Iterator[pd.DataFrame], sets: np.ndarray) -> Iterator[pd.DataFrame]:
+    """For each itemset (a row of `sets`) and each later item: how many urls have all of them, and how many of these are bad."""
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for frame in frames:
+        lengths = frame["items"].map(len).to_numpy(np.int64)
+        if not lengths.sum():
+            continue
+        item = np.concatenate(frame["items"].to_numpy()).astype(np.int64)
+        row = np.repeat(np.arange(len(frame)), lengths)
+        count = frame[["n", "bad"]].to_numpy(np.int64)
+        order = np.argsort(item, kind="stable")
+        present, starts = np.unique(item[order], return_index=True)
+        rows_of = dict(zip(present.tolist(), np.split(row[order], starts[1:]), strict=True))
+        ends = np.cumsum(lengths)
+        known: dict[tuple[int, ...], np.ndarray] = {}
+
+        def rows_with(items: tuple[int, ...]) -> np.ndarray:
+            if len(items) == 1:
+                return rows_of.get(items[0], np.zeros(0, np.int64))
+            if items[:-1] not in known:
+                known.clear()  # the sets are sorted: those of one beginning follow each other
+                known[items[:-1]] = rows_with_all(items[:-1])
+            return np.intersect1d(known[items[:-1]], rows_of.get(items[-1], np.zeros(0, np.int64)), assume_unique=True)
+
+        def rows_with_all(items: tuple[int, ...]) -> np.ndarray:
+            rows = rows_of.get(items[0], np.zeros(0, np.int64))
+            for i in items[1:]:
+                rows = np.intersect1d(rows, rows_of.get(i, np.zeros(0, np.int64)), assume_unique=True)
+            return rows
+
+        for k, items in enumerate(sets.tolist()):
+            rows = rows_with(tuple(items))
+            if not len(rows):
+                continue
+            size = lengths[rows]
+            at = np.repeat(ends[rows] - np.cumsum(size), size) + np.arange(size.sum())
+            later = item[at] > items[-1]
+            extra, place = np.unique(item[at][later], return_inverse=True)
+            both = np.repeat(count[rows], size, 0)[later]
+            sums = np.zeros((len(extra), 2), np.int64)
+            np.add.at(sums, place, both)
+            for e, n in zip(extra.tolist(), sums, strict=True):
+                found[k, e] = found[k, e] + n if (k, e) in found else n
+    yield pd.DataFrame([(k, e, *map(int, n)) for (k, e), n in found.items()], columns=["k", "item", "n", "bad"])
+
+
+def itemsets(urls: DataFrame, singles: list[tuple[int, int]], least: int) -> dict[tuple[int, ...], tuple[int, int]]:
+    """How many urls have the items, and how many of these are bad, of every itemset that a rule may need, level by level.
+
+    urls: items (sorted array of numbers), n, bad; singles: n and bad of each item. Needed are itemsets with `least` bad urls at
+    least of which no part has the same urls (else that part is a rule as confident) and no part has bad urls alone (nothing is more confident).
+    """
+    found = {(i,): x for i, x in enumerate(singles) if x[1] >= least}
+    level = found
+    while level:
+        sets = sorted(x for x, (n, bad) in level.items() if bad < n)
+        if not sets:
+            break
+        held = set(sets)
+        counts = urls.mapInPandas(partial(_counted, sets=np.array(sets)), "k int, item int, n long, bad long")
+        counts = counts.groupBy("k", "item").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("bad") >= least)
+        level = {}
+        for k, item, n, bad in counts.toPandas().itertuples(index=False):
+            items = (*sets[k], item)
+            parts_of = [items[:j] + items[j + 1 :] for j in range(len(items))]
+            if all(x in held and found[x][0] > n for x in parts_of):
+                level[items] = n, bad
+        found = found | level
+    return found
 
 
 def mined(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10) -> DataFrame | None:
     """Rules from rows (tokens, bad): rule_tokens, confidence, support, anchor; None where fewer than `min_count` urls are labelled.
 
     A rule needs the support and at least `min_count` urls, so that a few labels do not make rules of single pages.
-    A transaction has at most 14 items, so at most 2^14 / min_support itemsets are frequent, whatever the size of the input.
+    Tokens without that support are counted and left out first: no rule can have them. What remains of a url has no bound of its own,
+    but only itemsets that may be a rule or part of one are followed. They and their counts are held by the driver.
     """
-    items = labelled.filter(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    labelled_urls = items.count()
+    spark = labelled.sparkSession
+    rows = stored(labelled.filter(F.size("tokens") > 0).select("tokens", F.col("bad").cast("int").alias("bad")), "labelled")
+    labelled_urls, bad_urls = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     if labelled_urls < min_count:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / labelled_urls), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK))).filter(F.col("lift") > 1)
-    rules = rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
+    least = max(min_count, math.ceil(min_support * labelled_urls - 1e-9))
+    tokens_of = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    # the rarest first: their itemsets have the fewest urls. What all urls have says nothing
+    singles = [tuple(r) for r in tokens_of.filter((F.col("bad") >= least) & (F.col("n") < labelled_urls)).orderBy("n", "token").collect()]
+    names = [t for t, _, _ in singles]
+    number = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "token string, item int")
+    numbered = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "bad", F.explode("tokens").alias("token")).join(F.broadcast(number), "token")
+    numbered = numbered.groupBy("id", "bad").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    urls = stored(numbered.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "itemised")
+    found = itemsets(urls, [(n, bad) for _, n, bad in singles], least)
+    confident = [([names[i] for i in x], bad / n, bad / labelled_urls, names[x[0]]) for x, (n, bad) in found.items() if bad / n >= min_confidence and bad * labelled_urls > bad_urls * n]
+    rules = spark.createDataFrame(confident, "rule_tokens array<string>, confidence double, support double, anchor string")
+    rules = rules.withColumn("rule_tokens", F.array_sort("rule_tokens"))
     # a rule goes where a more general one is as confident: the general one's rows then contain all of its own
     general = rules.select(F.col("rule_tokens").alias("g"), F.col("confidence").alias("gc"), F.element_at("rule_tokens", 1).alias("key"))
     special = rules.withColumn("key", F.explode("rule_tokens"))
@@ -78,10 +165,7 @@ def mined(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         .select("rule_tokens")
         .distinct()
     )
-    rules = rules.join(beaten, "rule_tokens", "left_anti")
-    singles = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    ranked = rules.withColumn("token", F.explode("rule_tokens")).join(singles, "token")
-    return ranked.groupBy("rule_tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
+    return rules.join(beaten, "rule_tokens", "left_anti")
 
 
 def judged(
@@ -107,15 +191,14 @@ def judged(
     else:
         # posting lists by anchor: bounded like the rules themselves
         index = found.groupBy("anchor").agg(F.collect_list(F.struct("confidence", "rule_tokens")).alias("posting"))
-        urls = rows.select("tokens").distinct()
         hits = (
-            urls.withColumn("anchor", F.explode("tokens"))
+            rows.select("url", "tokens", F.explode("tokens").alias("anchor"))
             .join(F.broadcast(index), "anchor")
-            .select("tokens", F.array_max(F.transform(F.filter("posting", lambda r: F.size(F.array_except(r["rule_tokens"], F.col("tokens"))) == 0), lambda r: r["confidence"])).alias("c"))
+            .select("url", F.array_max(F.transform(F.filter("posting", lambda r: F.size(F.array_except(r["rule_tokens"], F.col("tokens"))) == 0), lambda r: r["confidence"])).alias("c"))
             .filter("c is not null")
-            .groupBy("tokens").agg(F.max("c").alias("confidence"))
+            .groupBy("url").agg(F.max("c").alias("confidence"))
         )
-        rows = rows.join(hits, "tokens", "left")
+        rows = rows.join(hits, "url", "left")
         best = F.col("confidence")
     return rows.select(
         F.col("id").alias("page_id"), "host", "path", rule.alias("rule"),

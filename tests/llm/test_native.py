@@ -1,7 +1,9 @@
 """The operators made of Spark expressions, against plain Python over the same rows."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
 
 import pytest
@@ -173,6 +175,33 @@ def test_url_mining_finds_the_bad_combination(spark):
     assert all((v == "block") == (k % 4 == 0) for k, v in got.items()) and len(got) == 400
 
 
+def test_url_mining_sees_every_query_key(spark):
+    keys = "&".join(f"a{k}=1" for k in range(6))
+    rows = [(k, f"http://h{k}.io/?{keys}&{'z_aff' if k % 4 == 0 else 'z_ok'}=1") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judged(pages, labels, rules=[]).collect()}
+    assert {k for k, v in got.items() if v == "block"} == set(range(0, 200, 4))
+
+
+def test_url_mining_against_all_itemsets(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        items = {x for x in "abcdefgh" if rng.random() < 0.4} | {"all"}
+        items |= {"b2"} if "b" in items else set()
+        rows.append((sorted(items), rng.random() < 0.2 + 0.3 * ("a" in items) + 0.4 * ({"c", "d"} <= items)))
+    got = {tuple(r.rule_tokens): (r.confidence, r.support) for r in urls.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    bad_share, every = sum(b for _, b in rows) / 400, {}
+    for size in range(1, 8):
+        for x in itertools.combinations(["a", "all", "b", "b2", *"cdefgh"], size):
+            fits = [b for items, b in rows if set(x) <= set(items)]
+            if sum(fits) >= 10 and sum(fits) / len(fits) >= 0.6 and sum(fits) / len(fits) > bad_share:
+                every[x] = sum(fits) / len(fits), sum(fits) / 400
+    best = {x: v for x, v in every.items() if not any(set(y) < set(x) and w[0] >= v[0] for y, w in every.items())}
+    assert got == best and any(len(x) > 2 for x in best)
+
+
 def test_mixing_meets_the_targets(spark):
     rows = [(k, f"w{k} x y", "a" if k % 3 else "b", None if k % 5 == 0 else "en", "?") for k in range(3000)] + [(None, None, "c", "en", "?"), (9999, "", "c", "fr", "?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, weight string")
