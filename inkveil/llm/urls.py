@@ -8,11 +8,7 @@ their rarest token. A page looks up its tokens there and is blocked if all token
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +41,11 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: scheme, host, its last label and its first label, first path part, ending of the path, keys of the query."""
+    """Distinct tokens: scheme, host, its last label, its first label and every label, first path part and every path part, ending of the path, keys of the query."""
     text = F.coalesce(url.cast("string"), F.lit(""))
     keys = F.transform(F.regexp_extract_all(text, F.lit(r"[?&]([^=&#?]+)="), F.lit(1)), lambda k: F.concat(F.lit("key:"), k))
+    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("label:"), x))
+    steps = F.transform(F.array_remove(F.split(path, "/"), ""), lambda x: F.concat(F.lit("path:"), x))
     single = F.array(
         F.concat(F.lit("scheme:"), F.substring_index(text, "://", 1)),
         F.concat(F.lit("host:"), host),
@@ -57,53 +55,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         F.concat(F.lit("ext:"), F.regexp_extract(path, r"(\.[A-Za-z0-9]+|/)$", 1)),
         F.concat(F.lit("part:"), F.when(text.contains("#"), "fragment").otherwise("none")),
     )
-    return F.when(host != "", F.array_distinct(F.concat(single, keys))).otherwise(F.array().cast("array<string>"))
-
-
-def _counted(frames: Iterator[pd.DataFrame], sets: np.ndarray) -> Iterator[pd.DataFrame]:
-    """For each itemset (a row of `sets`) and each later item: how many urls have all of them, and how many of these are bad."""
-    found: dict[tuple[int, int], np.ndarray] = {}
-    for frame in frames:
-        lengths = frame["items"].map(len).to_numpy(np.int64)
-        if not lengths.sum():
-            continue
-        item = np.concatenate(frame["items"].to_numpy()).astype(np.int64)
-        row = np.repeat(np.arange(len(frame)), lengths)
-        count = frame[["n", "bad"]].to_numpy(np.int64)
-        order = np.argsort(item, kind="stable")
-        present, starts = np.unique(item[order], return_index=True)
-        rows_of = dict(zip(present.tolist(), np.split(row[order], starts[1:]), strict=True))
-        ends = np.cumsum(lengths)
-        known: dict[tuple[int, ...], np.ndarray] = {}
-
-        def rows_with(items: tuple[int, ...]) -> np.ndarray:
-            if len(items) == 1:
-                return rows_of.get(items[0], np.zeros(0, np.int64))
-            if items[:-1] not in known:
-                known.clear()  # the sets are sorted: those of one beginning follow each other
-                known[items[:-1]] = rows_with_all(items[:-1])
-            return np.intersect1d(known[items[:-1]], rows_of.get(items[-1], np.zeros(0, np.int64)), assume_unique=True)
-
-        def rows_with_all(items: tuple[int, ...]) -> np.ndarray:
-            rows = rows_of.get(items[0], np.zeros(0, np.int64))
-            for i in items[1:]:
-                rows = np.intersect1d(rows, rows_of.get(i, np.zeros(0, np.int64)), assume_unique=True)
-            return rows
-
-        for k, items in enumerate(sets.tolist()):
-            rows = rows_with(tuple(items))
-            if not len(rows):
-                continue
-            size = lengths[rows]
-            at = np.repeat(ends[rows] - np.cumsum(size), size) + np.arange(size.sum())
-            later = item[at] > items[-1]
-            extra, place = np.unique(item[at][later], return_inverse=True)
-            both = np.repeat(count[rows], size, 0)[later]
-            sums = np.zeros((len(extra), 2), np.int64)
-            np.add.at(sums, place, both)
-            for e, n in zip(extra.tolist(), sums, strict=True):
-                found[k, e] = found[k, e] + n if (k, e) in found else n
-    yield pd.DataFrame([(k, e, *map(int, n)) for (k, e), n in found.items()], columns=["k", "item", "n", "bad"])
+    return F.when(host != "", F.array_distinct(F.concat(single, labels, steps, keys))).otherwise(F.array().cast("array<string>"))
 
 
 def itemsets(urls: DataFrame, singles: list[tuple[int, int]], least: int) -> dict[tuple[int, ...], tuple[int, int]]:
@@ -112,22 +64,27 @@ def itemsets(urls: DataFrame, singles: list[tuple[int, int]], least: int) -> dic
     urls: items (sorted array of numbers), n, bad; singles: n and bad of each item. Needed are itemsets with `least` bad urls at
     least of which no part has the same urls (else that part is a rule as confident) and no part has bad urls alone (nothing is more confident).
     """
-    found = {(i,): x for i, x in enumerate(singles) if x[1] >= least}
-    level = found
-    while level:
-        sets = sorted(x for x, (n, bad) in level.items() if bad < n)
-        if not sets:
-            break
-        held = set(sets)
-        counts = urls.mapInPandas(partial(_counted, sets=np.array(sets)), "k int, item int, n long, bad long")
-        counts = counts.groupBy("k", "item").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("bad") >= least)
-        level = {}
-        for k, item, n, bad in counts.toPandas().itertuples(index=False):
+    found = {(i,): x for i, x in enumerate(singles)}
+    sets = [x for x, (n, bad) in found.items() if bad < n]
+    numbers = [(-1, i, k) for k, (i,) in enumerate(sets)]
+    # a row for each open itemset of a url, with the url's later items
+    now = urls.select(F.lit(-1).alias("set"), F.col("items").alias("rest"), "n", "bad")
+    while numbers:
+        opened = F.broadcast(urls.sparkSession.createDataFrame(numbers, "set int, item int, next int"))
+        longer = now.select("set", "rest", "n", "bad", F.explode("rest").alias("item")).join(opened, ["set", "item"])
+        longer = longer.select(F.col("next").alias("set"), F.filter("rest", lambda x: x > F.col("item")).alias("rest"), "n", "bad")
+        now = stored(longer.filter(F.size("rest") > 0).groupBy("set", "rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "itemsets")
+        counts = now.select("set", "n", "bad", F.explode("rest").alias("item")).groupBy("set", "item").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        held, later, numbers = set(sets), [], []
+        for k, item, n, bad in counts.filter(F.col("bad") >= least).select("set", "item", "n", "bad").collect():
             items = (*sets[k], item)
             parts_of = [items[:j] + items[j + 1 :] for j in range(len(items))]
             if all(x in held and found[x][0] > n for x in parts_of):
-                level[items] = n, bad
-        found = found | level
+                found[items] = n, bad
+                if bad < n:
+                    numbers.append((k, item, len(later)))
+                    later.append(items)
+        sets = later
     return found
 
 

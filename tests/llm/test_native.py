@@ -184,6 +184,14 @@ def test_url_mining_sees_every_query_key(spark):
     assert {k for k, v in got.items() if v == "block"} == set(range(0, 200, 4))
 
 
+@pytest.mark.parametrize("bad, good", [("http://s{0}.m{0}.casino.p{0}.io/{0}", "http://s{0}.m{0}.garden.p{0}.io/{0}"), ("http://h{0}.io/d{0}/ads/{0}", "http://h{0}.io/d{0}/art/{0}")])
+def test_url_mining_sees_middle_labels_and_later_path_parts(spark, bad, good):
+    pages = spark.createDataFrame([(k, (good if k % 4 else bad).format(k)) for k in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.page_id for r in urls.judged(pages, labels, rules=[]).filter("verdict = 'block'").collect()}
+    assert got == set(range(0, 200, 4))
+
+
 def test_url_mining_against_all_itemsets(spark):
     rng = random.Random(4)
     rows = []
