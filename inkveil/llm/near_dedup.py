@@ -1,6 +1,7 @@
 """MinHash near-deduplication: improved consistent weighted sampling over TF-IDF shingles.
 
-1. The document frequency of every shingle is counted over all texts in `FEATURES` hashed buckets (a table of fixed size).
+1. The document frequency of every shingle is counted over all texts. Those of 2 or more are stored in the shared folder as sorted
+   arrays, which workers memory-map; a shingle that is not there is in one text.
 2. Each text gets K consistent weighted samples, banded by `ROWS`; texts with one multiset of shingles share a fingerprint and
    go on as one representative.
 3. The rows of a band's buckets are range-partitioned and sorted, so that a large bucket spreads over many tasks. Inside it every
@@ -14,7 +15,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -22,10 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import bounded_batches, give_back, partitions, stored
+from inkveil.llm import arrays
+from inkveil.llm.common import bounded_batches, give_back, partitions, shared_dir, stored
+from inkveil.llm.lm import _BLOB, _dealt, _merged, _shard_of
 from inkveil.llm.shingles import U, WordHashes, mix, shingled, split
 
+#: Where weights are given as an array, it has one for each of so many leading bits of a shingle's hash.
 FEATURES_BITS = 18
+#: Shingles that a task counts or weighs at once.
+FLUSH, AT_ONCE = 1_000_000, 200_000
 BANDS, ROWS = 12, 3
 K = BANDS * ROWS
 #: Samples of K that two texts of similarity 0.8 share with a probability above 0.99999.
@@ -44,34 +52,115 @@ _GAMMA = -np.log(_draw.random(1 << 16) * _draw.random(1 << 16)).astype(np.float3
 _LOG_GAMMA = np.log(-np.log(_draw.random(1 << 16) * _draw.random(1 << 16))).astype(np.float32)
 
 
-def _frequencies(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    total, cache, docs = np.zeros(1 << FEATURES_BITS, np.int64), WordHashes(), 0
+@dataclass(frozen=True)
+class Frequencies:
+    """Where the shingles of two or more texts are, and the number of texts with shingles."""
+
+    folder: str
+    shards: int
+    filled: frozenset[int]
+    docs: int
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """IDF of sorted distinct shingles: 1 + ln((N+1)/(df+1)) / ln(N+2), between 1 and 2."""
+        df = np.ones(len(h), np.int64)
+        shard = _shard_of(h, self.shards)
+        borders = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+        for at, end in zip(np.append(0, borders), np.append(borders, len(h)), strict=True) if len(h) else ():
+            if (s := int(shard[at])) in self.filled:
+                own, mine = arrays.load(self.folder, f"shingle-{s}"), h[at:end]
+                place = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+                df[at:end] = np.where(own[place] == mine, arrays.load(self.folder, f"texts-{s}")[place], 1)
+        return np.clip(1 + np.log((self.docs + 1) / (df + 1)) / np.log(self.docs + 2), 1, 2).astype(np.float32)
+
+
+def _frequencies(frames: Iterator[pd.DataFrame], size: int, shards: int) -> Iterator[pd.DataFrame]:
+    cache, docs = WordHashes(), 0
+    kept, waiting, length = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        new = np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)
+        waiting.clear()
+        return arrays.summed(np.concatenate([kept[0], new[0]]), np.concatenate([kept[1], new[1]])) if len(kept[0]) else new
+
     for frame in frames:
-        found = [shingled(cache.of(split(t)), size)[0] for t in frame["text"]]
-        docs += sum(len(x) > 0 for x in found)
-        if found:
-            total += np.bincount((np.concatenate(found) >> U(64 - FEATURES_BITS)).astype(np.int64), minlength=len(total))
-    met = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": np.append(met, -1).astype(np.int32), "n": np.append(total[met], docs)})
+        for text in frame["text"]:
+            h = shingled(cache.of(split(text)), size)[0]
+            docs += len(h) > 0
+            waiting.append(h)
+            length += len(h)
+            if length > FLUSH:
+                kept, length = gathered(), 0
+                if len(kept[0]) > 3 * FLUSH:
+                    yield _dealt(*kept, _shard_of(kept[0], shards))
+                    kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    kept = gathered()
+    yield _dealt(*kept, _shard_of(kept[0], shards))
+    yield pd.DataFrame({"shard": [-1], "keys": [None], "counts": [None], "stats": [[docs]]})
+    cache.clear()
+    del kept
+    give_back()
+
+
+def _frequency_shard(group: pd.DataFrame, folder: str) -> pd.DataFrame:
+    if group["shard"].iloc[0] < 0:
+        shard, stats = -1, sum(int(x[0]) for x in group["stats"])
+    else:
+        shard, h, n = _merged(group)
+        h, n = h[n > 1], n[n > 1]
+        stats = len(h)
+        if stats:
+            arrays.save(folder, f"shingle-{shard}", h)
+            arrays.save(folder, f"texts-{shard}", n.astype(np.uint32) if n.max() < 2**32 else n)
+    give_back()
+    return pd.DataFrame({"shard": [shard], "keys": [None], "counts": [None], "stats": [[stats]]})
 
 
-def inverse_frequencies(texts: DataFrame, size: int = 5) -> np.ndarray:
-    """IDF by hashed bucket, from all rows: 1 + ln((N+1)/(df+1)) / ln(N+1), between 1 and 2.
+def inverse_frequencies(texts: DataFrame, size: int = 5) -> Frequencies:
+    """Counts in how many texts each shingle is, from all rows, and writes the counts of 2 or more to the shared folder."""
+    spark = texts.sparkSession
+    shards = max(16, partitions(spark))
+    folder = f"{shared_dir(spark)}/shingles-{uuid.uuid4().hex}"
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # all shingles are dealt out: their files go when they are counted
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        counted = texts.mapInPandas(partial(_frequencies, size=size, shards=shards), _BLOB)
+        merged = counted.groupBy("shard").applyInPandas(partial(_frequency_shard, folder=folder), _BLOB)
+        found = {r.shard: r.stats[0] for r in merged.select("shard", "stats").collect()}
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+    docs = found.pop(-1, 0)
+    return Frequencies(folder, shards, frozenset(s for s, n in found.items() if n), docs)
+
+
+def _idf(h: np.ndarray, idf: Frequencies | np.ndarray) -> np.ndarray:
+    return idf.of(h) if isinstance(idf, Frequencies) else idf[(h >> U(64 - FEATURES_BITS)).astype(np.int64)]
 
-    The result has 2^FEATURES_BITS numbers whatever the input. Buckets fill as the corpus grows; the weights then approach each other.
-    """
-    counts = texts.mapInPandas(partial(_frequencies, size=size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df, docs = np.zeros(1 << FEATURES_BITS), 0.0
-    for bucket, n in zip(counts["bucket"].to_numpy(), counts["n"].to_numpy(), strict=True):
-        if bucket < 0:
-            docs = float(n)
-        else:
-            df[bucket] = n
-    return np.clip(1 + np.log((docs + 1) / (df + 1)) / np.log(docs + 2), 1, 2).astype(np.float32)
 
+def weights(h: np.ndarray, n: np.ndarray, idf: Frequencies | np.ndarray) -> np.ndarray:
+    """Of sorted distinct shingles that occur n times."""
+    return (1 + np.log(n)) * _idf(h, idf)
 
-def weights(h: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(n)) * idf[(h >> U(64 - FEATURES_BITS)).astype(np.int64)]
+
+def weighted(texts: Iterable[str | None], size: int, cache: WordHashes, idf: Frequencies | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shingles of each text, how often each occurs, and weights; frequencies are looked up for many texts together."""
+    waiting, length = [], 0
+
+    def out() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        distinct, at = np.unique(np.concatenate([h for h, _ in waiting]), return_inverse=True)
+        found = np.split(_idf(distinct, idf)[at], np.cumsum([len(h) for h, _ in waiting])[:-1])
+        for (h, n), x in zip(waiting, found, strict=True):
+            yield h, n, (1 + np.log(n)) * x
+
+    for text in texts:
+        waiting.append(shingled(cache.of(split(text)), size))
+        length += len(waiting[-1][0])
+        if length > AT_ONCE:
+            yield from out()
+            waiting, length = [], 0
+    if waiting:
+        yield from out()
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -105,11 +194,9 @@ def _signatures(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.D
     cache = WordHashes()
     for frame in frames:
         rows = []
-        for doc, text in zip(frame["id"], frame["text"], strict=True):
-            h, n = shingled(cache.of(split(text)), size)
+        for doc, (h, n, w) in zip(frame["id"], weighted(frame["text"], size, cache, idf.value), strict=True):
             if len(h) == 0:
                 continue
-            w = weights(h, n, idf.value)
             name = samples(h, w)
             bands = name.reshape(BANDS, ROWS)
             keys = mix(mix(mix(bands[:, 0] + np.arange(BANDS, dtype=np.uint64)) + bands[:, 1]) + bands[:, 2])
@@ -254,15 +341,15 @@ class Cell:
             found[i] = found[j] = True
         return pd.DataFrame({"id": np.unique(self.ids[found])})
 
-    def links(self, idf: np.ndarray) -> pd.DataFrame:
+    def links(self, idf: Frequencies | np.ndarray) -> pd.DataFrame:
         """Pairs (smaller id first) of similar texts, each in the first of the buckets that it shares."""
         keys = np.array(self.rows["keys"].tolist(), np.int64)
         key = self.rows["key"].iloc[0]
         lengths = np.array([len(x) // 8 for x in self.rows["shingles"]])
         ends = np.cumsum(lengths)
         h = np.frombuffer(b"".join(self.rows["shingles"]), np.uint64)
-        at = np.unique(h, return_inverse=True)[1]
-        w = weights(h, np.frombuffer(b"".join(self.rows["times"]), np.int32), idf)
+        distinct, at = np.unique(h, return_inverse=True)
+        w = (1 + np.log(np.frombuffer(b"".join(self.rows["times"]), np.int32))) * _idf(distinct, idf)[at]
         places, values = np.split(at, ends[:-1]), np.split(w, ends[:-1])
         mine = np.zeros(at.max() + 1)
         a, b = [], []
@@ -357,22 +444,13 @@ def unsettled(known: DataFrame, signatures: DataFrame, grouped: DataFrame, size:
 
 def _verified(frames: Iterator[pd.DataFrame], size: int, threshold: float, idf) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def of(doc: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if doc not in known:
-            if len(known) > 200:
-                known.clear()
-            h, n = shingled(cache.of(split(text)), size)
-            known[doc] = h, weights(h, n, idf.value)
-        return known[doc]
-
     for frame in frames:
-        sides = zip(frame["a"], frame["text_a"], frame["b"], frame["text_b"], strict=True)
-        like = np.array([weighted_jaccard(of(a, s), of(b, t)) for a, s, b, t in sides], float)
+        texts = dict(zip(frame["a"], frame["text_a"], strict=True)) | dict(zip(frame["b"], frame["text_b"], strict=True))
+        known = {doc: (h, w) for doc, (h, _, w) in zip(texts, weighted(texts.values(), size, cache, idf.value), strict=True)}
+        like = np.array([weighted_jaccard(known[a], known[b]) for a, b in zip(frame["a"], frame["b"], strict=True)], float)
         yield frame.loc[like >= threshold, ["a", "b"]]
     cache.clear()
-    known.clear()
+    known = {}
     give_back()
 
 

@@ -79,6 +79,18 @@ def test_near_on_documents(spark):
     assert got == brute_classes(rows, near_dedup.inverse_frequencies(docs.select("text")))
 
 
+def test_near_weights_are_those_of_exact_frequencies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    idf, cache = near_dedup.inverse_frequencies(docs), WordHashes()
+    sets = [shingled(cache.of(split(r.text))) for r in docs.collect()]
+    df = Counter(x for h, _ in sets for x in h.tolist())
+    texts = sum(len(h) > 0 for h, _ in sets)
+    for h, n in sets:
+        want = [(1 + math.log(k)) * (1 + math.log((texts + 1) / (df[x] + 1)) / math.log(texts + 2)) for x, k in zip(h.tolist(), n.tolist(), strict=True)]
+        assert near_dedup.weights(h, n, idf) == pytest.approx(want, rel=1e-6)
+    assert max(df.values()) > 2 and near_dedup.weights(np.array([12345], np.uint64), np.ones(1), idf)[0] == pytest.approx(1 + math.log((texts + 1) / 2) / math.log(texts + 2), rel=1e-6)
+
+
 def test_near_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b\nc d e  f"), (3, "q" * 300_000)], "doc_id long, text string")
     got = sorted((tuple(r) for r in near_dedup.classes(docs).collect()), key=str)
