@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import urllib.parse
 import uuid
 
 import numpy as np
 
+#: Bytes of arrays that a worker keeps where they cannot be memory-mapped.
+HELD = 256 << 20
 _open: dict[tuple[str, str], np.ndarray] = {}
 
 
@@ -18,45 +20,50 @@ def _local(uri: str) -> str | None:
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array under its final name in one step: a task that runs twice leaves the same file."""
-    path = _local(folder)
+    """Writes an array aside and moves it to its final name: a task that is killed leaves no torn file, one that runs twice the same file."""
+    path, part = _local(folder), f".{name}-{uuid.uuid4().hex}.npy"
     if path is not None:
         os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{name}-{uuid.uuid4().hex}.npy"
-        np.save(part, array)
-        os.replace(part, f"{path}/{name}.npy")
+        np.save(f"{path}/{part}", array)
+        os.replace(f"{path}/{part}", f"{path}/{name}.npy")
         return
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    with tempfile.TemporaryFile() as part:
-        np.save(part, array)
-        part.seek(0)
-        with store.open_output_stream(f"{path}/{name}.npy") as out:
-            while block := part.read(1 << 22):
-                out.write(block)
+    data = io.BytesIO()
+    np.save(data, array)
+    with store.open_output_stream(f"{path}/{part}") as out:
+        out.write(data.getbuffer())
+    if store.get_file_info(f"{path}/{name}.npy").type == fs.FileType.File:
+        store.delete_file(f"{path}/{name}.npy")
+    store.move(f"{path}/{part}", f"{path}/{name}.npy")
 
 
 def load(folder: str, name: str) -> np.ndarray:
-    """Memory-maps an array, once for each worker process; from a store without files, a local copy of it."""
-    if (folder, name) not in _open:
-        if len(_open) > 20_000:
-            _open.clear()
+    """Memory-maps an array, once for each worker process. From a store without files (no mount) it is read into memory, HELD bytes at most at a time."""
+    key = folder, name
+    if key not in _open:
         path = _local(folder)
         if path is not None:
-            _open[folder, name] = np.load(f"{path}/{name}.npy", mmap_mode="r")
+            if len(_open) > 20_000:
+                _open.clear()
+            _open[key] = np.load(f"{path}/{name}.npy", mmap_mode="r")
         else:
             from pyarrow import fs
 
             store, path = fs.FileSystem.from_uri(folder)
-            with tempfile.NamedTemporaryFile(suffix=".npy") as copy:
-                with store.open_input_stream(f"{path}/{name}.npy") as source:
-                    while block := source.read(1 << 22):
-                        copy.write(block)
-                copy.flush()
-                _open[folder, name] = np.load(copy.name, mmap_mode="r")
-    return _open[folder, name]
+            with store.open_input_stream(f"{path}/{name}.npy") as source:
+                array = np.load(io.BytesIO(source.read()))
+            if sum(a.nbytes for a in _open.values()) + array.nbytes > HELD:
+                _open.clear()
+            _open[key] = array
+    return _open[key]
+
+
+def smallest(numbers: np.ndarray) -> np.ndarray:
+    """The numbers (none negative) in the smallest unsigned type that holds them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
 
 
 def packed(numbers: np.ndarray) -> bytes:

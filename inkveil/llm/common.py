@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -37,17 +38,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def run_dir(spark: SparkSession) -> str:
+    """The folder of all tables and models that this application writes; `clear` drops it."""
+    return f"{shared_dir(spark)}/inkveil-{spark.sparkContext.applicationId}"
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a path; one that is not there is left alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables and models that the operators wrote in this application: call it when their results have been saved."""
+    discard(spark, run_dir(spark))
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = path or fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 4000, megabytes: int = 8) -> None:
-    """Bounds what a Python worker gets at once, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    """Bounds what a Python worker gets at once, whatever the length of the texts. The session's limits are only ever lowered."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
+        now = re.sub(r"(?i)b$", "", spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+#: A key with at least one of so many rows is hot: there are no more hot keys than that, so that they can be broadcast.
+HOT_SHARE = 1000
+
+
+def joined_by_key(rows: DataFrame, one: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of stored `rows` with a stored table that has one row for each key and, in column `size`, about how many rows the key has.
+
+    Hot keys (at most HOT_SHARE) are broadcast, so that a key with a third of all rows is joined where its rows are; the others are shuffled.
+    """
+    total = one.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    cut = max(HOT_SHARE, total // HOT_SHARE)
+    hot, rest = one.filter(F.col(size) >= cut), one.filter(F.col(size) < cut)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
 
 
 def fold(id_col: Column, mod: int = 5) -> Column:
