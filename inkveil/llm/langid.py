@@ -16,20 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import bounded_batches, fold
+from inkveil.llm.common import bounded_batches, fold, stored
 
 BITS = 16
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 ROUNDS = 15
+#: Languages whose tables (2^BITS floats each) are collected and broadcast; more stop the job.
+MOST_LANGUAGES = 100
 #: Nats of log-likelihood that one more language must gain, for each ln(trigrams).
 PENALTY = 3.0
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """For each code point below 2^17: itself if it is a letter, else 0 (what lies above counts as letters of their own)."""
-    return np.array([k if chr(k).isalpha() else 0 for k in range(1 << 17)], np.uint32)
+    """For each code point: itself if it is a letter, else 0."""
+    return np.array([k if chr(k).isalpha() else 0 for k in range(0x110000)], np.uint32)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +39,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(points < 1 << 17, _letters()[np.minimum(points, (1 << 17) - 1)], points)
+    points = _letters()[points]
     x = points[(points != 0) | np.append(True, points[:-1] != 0)].astype(np.uint64)  # one blank between words
     if len(x) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -62,9 +64,13 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learned(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and the log-probability of every bucket in each, from columns lang and text.
 
-    2^BITS numbers for each language, whatever the input. Without labelled rows there are no languages.
+    2^BITS numbers for each language, whatever the input, for MOST_LANGUAGES at most. Without labelled rows there are no languages.
     """
-    counts = labelled.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = stored(labelled.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    found = counts.select("lang").distinct().count()
+    if found > MOST_LANGUAGES:
+        raise ValueError(f"{found} distinct languages: more than {MOST_LANGUAGES} do not fit a broadcast table")
+    counts = counts.toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((len(langs), 1 << BITS), SMOOTHING)
     table[np.searchsorted(langs, counts["lang"].to_numpy().astype(str)) if langs else [], counts["bucket"].to_numpy()] += counts["n"].to_numpy()
@@ -101,22 +107,25 @@ def inferred(bucket: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[list
     return [chosen[i] for i in order], share[order]
 
 
-def _judged(texts: Iterable[str | None], langs: list[str], table: np.ndarray) -> list[tuple[str, float, str]]:
+def _judged(texts: Iterable[str | None], langs: list[str], table: np.ndarray) -> list[tuple[str, float, str, bool]]:
+    """lang_pred, score, langs, and whether the languages explain the text better than noise, in which all trigrams are alike."""
     rows = []
     for text in texts:
         bucket, n = grams(text)
         if len(bucket) == 0 or not langs:
-            rows.append((UNDETERMINED, 0.0, ""))
+            rows.append((UNDETERMINED, 0.0, "", False))
             continue
         chosen, share = inferred(bucket, n, table)
-        rows.append((langs[chosen[0]], float(min(share[0], 1.0)), ",".join(f"{langs[k]}:{s:.2f}" for k, s in zip(chosen, share, strict=True))))
+        like = np.log(share @ np.exp(table[chosen][:, bucket].astype(np.float64))) @ n
+        said = ",".join(f"{langs[k]}:{s:.2f}" for k, s in zip(chosen, share, strict=True))
+        rows.append((langs[chosen[0]], float(min(share[0], 1.0)), said, bool(like > -BITS * np.log(2) * n.sum())))
     return rows
 
 
 def _predicted(frames: Iterator[pd.DataFrame], langs: list[str], table) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = _judged(frame["text"], langs, table.value)
-        yield pd.DataFrame(rows, columns=["lang_pred", "score", "langs"]).assign(doc_id=frame["doc_id"].to_numpy(), held_out=frame["held_out"].to_numpy())
+        yield pd.DataFrame([r[:3] for r in rows], columns=["lang_pred", "score", "langs"]).assign(doc_id=frame["doc_id"].to_numpy(), held_out=frame["held_out"].to_numpy())
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out_fold: int) -> DataFrame:
@@ -149,15 +158,20 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return found.select("doc_id", "held_out", "lang_pred", "score", "langs")
 
 
-def _accepted(batches: Iterator[pa.RecordBatch], text_col: str, langs: list[str], table, least: float) -> Iterator[pa.RecordBatch]:
+def _accepted(batches: Iterator[pa.RecordBatch], text_col: str, langs: list[str], table) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         judged = _judged(batch.column(text_col).to_pylist(), langs, table.value)
-        yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in judged], pa.bool_()))
+        yield batch.filter(pa.array([lang != UNDETERMINED and known for lang, _, _, known in judged], pa.bool_()))
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_fold: int = 0, least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose language is determined with a proportion of `least` or more."""
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_fold: int = 0) -> DataFrame:
+    """The rows, with all their columns, whose languages are determined: the set found, of one or of several languages, explains the text
+    better than noise (every trigram as likely as any other).
+
+    Null and empty texts and texts without a letter go, as do all where there is nothing to learn from. Null ids and languages take part; repeated rows
+    are judged alike; an empty table gives no rows. Columns may have any name.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     langs, table = _fitted(_labelled(docs, id_col, text_col, lang_col, held_out_fold))
-    return docs.mapInArrow(partial(_accepted, text_col=text_col, langs=langs, table=spark.sparkContext.broadcast(table), least=least), docs.schema)
+    return docs.mapInArrow(partial(_accepted, text_col=text_col, langs=langs, table=spark.sparkContext.broadcast(table)), docs.schema)
