@@ -1,6 +1,6 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turn structs are collected and sorted, adjacent turns of one role become one block, and
+A conversation's turn structs are collected and sorted, adjacent turns of one role are sliced into one block (an array of turns), and
 blocks are concatenated: ``<|im_start|>role\\ntext<|im_end|>\\n``, with ``<|turn|>`` between the texts
 of a block. In roles and texts ``&`` becomes ``&amp;`` and ``<|`` becomes ``&lt;|`` (in roles also a line feed
 ``&nl;``), so that a control string in the output is always the template's own and every text can be read back.
@@ -37,29 +37,45 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     (nulls first); repeated rows are formatted as often as they occur. A null role or text counts as empty; rows of a null conv_id are
     one conversation. An empty table gives no rows. A conversation becomes one string, so it must be below 2 GB.
     """
-    turn = F.struct(F.col(turn_col).alias("turn"), escaped_role(F.coalesce(F.col(role_col), F.lit(""))).alias("role"), escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    sorted_turns = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    # what stands before each text: a separator inside a block, else the end of the block before and a new header
-    opened = F.transform(
-        "turns",
-        lambda t, i: F.struct(
-            F.when((i > 0) & (F.get("turns", i - 1)["role"] == t["role"]), F.lit(TURN))
-            .otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), t["role"], F.lit("\n")))
-            .alias("before"),
-            t["text"].alias("text"),
-            (t["role"] == loss_role).alias("loss"),
-        ),
-    )
-    pieces = sorted_turns.select("conv_id", opened.alias("pieces"))
-    text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"])), ""), F.lit(END))
-    spans = F.expr("""
-        aggregate(pieces,
-          struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as spans),
-          (a, p) -> struct(
-            a.at + length(p.before) + length(p.text) as at,
-            if(p.loss, concat(a.spans, array(struct(a.at + length(p.before) as start, a.at + length(p.before) + length(p.text) as end))), a.spans) as spans),
-          a -> a.spans)""")
-    return pieces.select("conv_id", text.alias("formatted"), spans.alias("loss"))
+    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chats = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    shown = F.transform("turns", lambda t: F.struct(escaped_role(t["role"]).alias("role"), escaped(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss")))
+    chats = chats.select("conv_id", shown.alias("turns"), _where("turns", lambda role, before: role != before).alias("opens"))
+    # adjacent turns of one role become one block: the slice from where it opens to where the next one does
+    blocks = F.transform("opens", lambda at, k: F.slice("turns", at + 1, F.coalesce(F.get("opens", k + 1), F.size("turns")) - at))
+    header = lambda b: F.concat(F.lit(START), F.get(b, 0)["role"], F.lit("\n"))
+    text = F.array_join(F.transform(blocks, lambda b: F.concat(header(b), F.array_join(F.transform(b, lambda t: t["text"]), TURN), F.lit(END))), "")
+    # characters before each text: a separator inside a block, else the end of the block before and a header
+    before = lambda t, i: F.when((i > 0) & (F.get("turns", i - 1)["role"] == t["role"]), len(TURN)).otherwise(F.when(i > 0, len(END)).otherwise(0) + len(START) + F.length(t["role"]) + 1)
+    lengths = F.transform("turns", lambda t, i: F.struct(before(t, i).alias("before"), (before(t, i) + F.length(t["text"])).alias("all"), t["loss"].alias("loss")))
+    chats = chats.select("conv_id", text.alias("formatted"), lengths.alias("lengths"))
+    chats = chats.select("conv_id", "formatted", "lengths", _sums(F.transform("lengths", lambda x: x["all"])).alias("starts"))
+    spans = F.transform("lengths", lambda x, i: F.when(x["loss"], F.struct((F.get("starts", i) + x["before"]).alias("start"), (F.get("starts", i) + x["all"]).alias("end"))))
+    return chats.select("conv_id", "formatted", F.array_compact(spans).alias("loss"))
+
+
+def _where(turns: str, differs) -> Column:
+    """Places of the turns whose role differs from the one before (the first has none before)."""
+    places = F.transform(turns, lambda t, i: F.when((i == 0) | differs(t["role"], F.get(turns, i - 1)["role"]), i))
+    return F.array_compact(places)
+
+
+def _sums(numbers: Column, part: int = 128) -> Column:
+    """For each number the sum of those before it. Sums of parts are added first, so that the work does not grow with the square of the length
+    (an array that grows in a fold would be copied at every step)."""
+    one = F.lit(0)
+    total = lambda xs: F.aggregate(xs, one, lambda a, x: a + x)
+
+    def by_part(xs: Column) -> Column:
+        count = F.ceil(F.size(xs) / part).cast("int")
+        return F.when(F.size(xs) > 0, F.transform(F.sequence(one, count - 1), lambda k: total(F.slice(xs, k * part + 1, F.lit(part))))).otherwise(F.array().cast("array<int>"))
+
+    def before(xs: Column, parts: Column) -> Column:
+        heads = F.transform(parts, lambda _, k: total(F.slice(parts, F.lit(1), k)))
+        joined = lambda heads: F.transform(xs, lambda _, i: F.get(heads, F.floor(i / part).cast("int")) + total(F.slice(xs, F.floor(i / part).cast("int") * part + 1, i % part)))
+        return F.get(F.transform(F.array(heads), joined), 0)
+
+    return F.get(F.transform(F.array(numbers), lambda xs: F.get(F.transform(F.array(by_part(xs)), lambda parts: before(xs, parts)), 0)), 0)
 
 
 def parsed(formatted_text: Column) -> Column:
