@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import arrays
-from inkveil.llm.common import bounded_batches, give_back, partitions, shared_dir, stored
+from inkveil.llm.common import bounded_batches, discard, fresh, give_back, joined_by_key, partitions, stored
 from inkveil.llm.lm import _BLOB, _dealt, _merged, _shard_of
 from inkveil.llm.shingles import U, WordHashes, mix, shingled, split
 
@@ -46,10 +45,13 @@ BLOCK = 1024
 BROADCAST_IDS = 500_000
 
 _draw = np.random.Generator(np.random.PCG64(20240229))
-_A, _B, _C = (_draw.integers(0, 2**64, K, dtype=np.uint64) | U(1) for _ in range(3))
+_A, _B = (_draw.integers(0, 2**64, K, dtype=np.uint64) | U(1) for _ in range(2))
 #: 65 536 draws of Gamma(2, 1), from which a hash picks.
 _GAMMA = -np.log(_draw.random(1 << 16) * _draw.random(1 << 16)).astype(np.float32)
 _LOG_GAMMA = np.log(-np.log(_draw.random(1 << 16) * _draw.random(1 << 16))).astype(np.float32)
+#: Elements that are sampled together, and the buffers for them.
+TILE = 512
+_tile = [np.empty((TILE, K), kind) for kind in (np.uint64, np.int64, np.float32, np.float32, np.float32, np.float32)]
 
 
 @dataclass(frozen=True)
@@ -120,7 +122,7 @@ def inverse_frequencies(texts: DataFrame, size: int = 5) -> Frequencies:
     """Counts in how many texts each shingle is, from all rows, and writes the counts of 2 or more to the shared folder."""
     spark = texts.sparkSession
     shards = max(16, partitions(spark))
-    folder = f"{shared_dir(spark)}/shingles-{uuid.uuid4().hex}"
+    folder = fresh(spark, "shingles")
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # all shingles are dealt out: their files go when they are counted
     before = spark.conf.get(clean, None)
     spark.conf.set(clean, "true")
@@ -173,36 +175,70 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / high) if high > 0 else 0.0
 
 
-def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """K samples of a weighted set: each names an element and its level; two sets share one with the probability of their similarity."""
-    best, name = np.full(K, np.inf, np.float32), np.zeros(K, np.uint64)
-    for at in range(0, len(h), 8192):
-        part, log_w = h[at : at + 8192], np.log(w[at : at + 8192]).astype(np.float32)[:, None]
-        x = part[:, None] * _A + _B
-        r = _GAMMA[(x >> U(48)).astype(np.int32)]
-        beta = ((x >> U(24)) & U(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
-        t = np.floor(log_w / r + beta)
-        cost = _LOG_GAMMA[(((x ^ (x >> U(29))) * _C) >> U(48)).astype(np.int32)] - r * (t - beta + 1)
-        row, k = cost.argmin(0), np.arange(K)
-        better = cost[row, k] < best
-        best = np.where(better, cost[row, k], best)
-        name = np.where(better, mix(part[row] + mix(t[row, k].astype(np.int64).astype(np.uint64) * U(64) + k.astype(np.uint64))), name)
+def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """K samples of each weighted set: each names an element and its level; two sets share one with the probability of their similarity.
+
+    h and w hold the elements of all sets (none empty) in a row, starts where each begins (default: one set). Sets go together through
+    buffers that fit the cache, since most texts are short.
+    """
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    ends = np.append(starts[1:], len(h))
+    best, name, k = np.full((len(starts), K), np.inf, np.float32), np.zeros((len(starts), K), np.uint64), np.arange(K)
+    log_w = np.log(w).astype(np.float32)[:, None]
+    for at in range(0, len(h), TILE):
+        part, own = h[at : at + TILE], log_w[at : at + TILE]
+        m = len(part)
+        x, place, r, beta, t, cost = (buffer[:m] for buffer in _tile)
+        np.add(np.multiply(part[:, None], _A, out=x), _B, out=x)
+        draws = x.view(np.uint16).reshape(m, K, 4)  # 16 bits each: for r, c and beta
+        place[...] = draws[:, :, 3]
+        np.take(_GAMMA, place, out=r, mode="clip")
+        place[...] = draws[:, :, 2]
+        np.take(_LOG_GAMMA, place, out=cost, mode="clip")
+        np.multiply(draws[:, :, 1], np.float32(2**-16), out=beta)
+        np.divide(own, r, out=t)
+        np.floor(np.add(t, beta, out=t), out=t)
+        beta -= t
+        beta -= np.float32(1)
+        cost += np.multiply(beta, r, out=beta)
+        sets = np.arange(np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + m))
+        low, high = np.maximum(starts[sets] - at, 0), np.minimum(ends[sets] - at, m)
+        row = np.stack([cost[a:b].argmin(0) + a for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        found = cost[row, k]
+        better = found < best[sets]
+        level = t[row, k].astype(np.int64).astype(np.uint64)
+        best[sets] = np.where(better, found, best[sets])
+        name[sets] = np.where(better, mix(part[row] + mix(level * U(64) + k.astype(np.uint64))), name[sets])
     return name
 
 
 def _signatures(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
     for frame in frames:
-        rows = []
-        for doc, (h, n, w) in zip(frame["id"], weighted(frame["text"], size, cache, idf.value), strict=True):
-            if len(h) == 0:
-                continue
-            name = samples(h, w)
-            bands = name.reshape(BANDS, ROWS)
-            keys = mix(mix(mix(bands[:, 0] + np.arange(BANDS, dtype=np.uint64)) + bands[:, 1]) + bands[:, 2])
-            count = n.astype(np.uint64)
-            prints = [int((mix(h + U(s)) * count).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2)]
-            rows.append((doc, *prints, float(w.sum()), keys.astype(np.int64), (name & U(0xFF)).astype(np.uint8).tobytes()))
+        ids, sets, rows = frame["id"].tolist(), [], []
+
+        def out() -> None:
+            full = [x for x in sets if len(x[1])]
+            sets.clear()
+            if not full:
+                return
+            starts = np.cumsum([0, *(len(h) for _, h, _, _ in full)])[:-1]
+            h, n, w = (np.concatenate([x[c] for x in full]) for c in (1, 2, 3))
+            name = samples(h, w, starts)
+            bands = name.reshape(len(full), BANDS, ROWS)
+            keys = mix(mix(mix(bands[:, :, 0] + np.arange(BANDS, dtype=np.uint64)) + bands[:, :, 1]) + bands[:, :, 2]).astype(np.int64)
+            prints = [np.add.reduceat(mix(h + U(s)) * n.astype(np.uint64), starts).astype(np.int64).tolist() for s in (1, 2)]
+            weight, sig = np.add.reduceat(w.astype(np.float64), starts).tolist(), (name & U(0xFF)).astype(np.uint8)
+            rows.extend(zip([x[0] for x in full], *prints, weight, list(keys), [s.tobytes() for s in sig], strict=True))
+
+        length = 0
+        for doc, (h, n, w) in zip(ids, weighted(frame["text"], size, cache, idf.value), strict=True):
+            sets.append((doc, h, n, w))
+            length += len(h)
+            if length > 64 * TILE:
+                out()
+                length = 0
+        out()
         yield pd.DataFrame(rows, columns=["id", "f1", "f2", "weight", "keys", "sig"])
     cache.clear()
     give_back()
@@ -406,7 +442,8 @@ def in_cells(rows: DataFrame) -> DataFrame:
     """
     counts = rows.groupBy("key", "class").agg(F.sum("cost").alias("n"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    mixed = mixed.select("key", F.col("top.class").alias("top"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / BLOCK).cast("int").alias("chunks"))
+    mixed = mixed.select("key", "total", F.col("top.class").alias("top"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / BLOCK).cast("int").alias("chunks"))
+    mixed = stored(mixed, "mixed")
     one = F.lit(1)
 
     def cell(block, chunk, asks):
@@ -416,7 +453,7 @@ def in_cells(rows: DataFrame) -> DataFrame:
     asked = F.transform(F.sequence(one, "blocks"), lambda k: cell(k, F.pmod(F.xxhash64("id", F.lit(2)), "chunks") + 1, F.lit(False)))
     asking = F.transform(F.sequence(one, "chunks"), lambda k: cell(F.pmod(F.xxhash64("id", F.lit(3)), "blocks") + 1, k, F.lit(True)))
     cells = F.when(F.col("chunks") == 1, F.array(cell(one, F.lit(-1), asks))).when(asks, F.concat(asked, asking)).otherwise(asked)
-    return rows.join(mixed, "key").select(*rows.columns, F.explode(cells).alias("cell")).select(*rows.columns, "cell.*")
+    return joined_by_key(rows, mixed, ["key"], "total").select(*rows.columns, F.explode(cells).alias("cell")).select(*rows.columns, "cell.*")
 
 
 def by_cell(placed: DataFrame) -> DataFrame:
@@ -454,28 +491,36 @@ def _verified(frames: Iterator[pd.DataFrame], size: int, threshold: float, idf)
     give_back()
 
 
-def components(links: DataFrame, most: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, class (smallest node of its connected component) of every node with a link.
 
     Alternates steps in which every node links its larger, then its smaller neighbours to the smallest one, until nothing changes.
-    Minima are pre-aggregated, and each step's links are stored in the shared folder.
+    Minima are pre-aggregated, a node with very many links is joined where they are, and of the rounds' tables only the last one stays.
     """
-    def step(links: DataFrame, larger: bool) -> DataFrame:
+    spark = links.sparkSession
+
+    def step(links: DataFrame, larger: bool, made: list[str]) -> DataFrame:
         ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        made.append(fresh(spark, "least"))
+        least = stored(ends.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least", made[-1])
+        near = joined_by_key(ends, least, ["u"], "n")
         if larger:
-            return ends.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        moved = ends.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            return near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        moved = near.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
-    now, before = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct(), "links"), None
-    for _ in range(most):
-        now = stored(step(step(now, True), False), "links")
+    path, before = fresh(spark, "links"), None
+    now = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct(), "links", path)
+    while True:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("class"))
+        if state == before or state[0] == 0:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("class"))
+        made = [path, fresh(spark, "links"), path := fresh(spark, "links")]
+        half = stored(step(now, True, made), "links", made[1])
+        now, before = stored(step(half, False, made), "links", path), state
+        for old in made:
+            if old != path:
+                discard(spark, old)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -483,8 +528,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     Two texts are linked when the weighted Jaccard similarity of their TF-IDF shingles of `size` words is `threshold` or more;
     a class is a connected component. Words are compared with A-Z lower-cased. A text of fewer words is one shingle; null
-    and empty texts have none, and each is a class of its own. Rows that share an id are one document and share its class; a null id has
-    a null class and is kept. An empty table gives no rows.
+    and empty texts have none, and each is a class of its own. Rows that share an id are one document and share its class: of several different
+    texts of an id each counts where it has an exact copy, and for similar texts the one with the smallest fingerprint. A null id has
+    a null class and is kept. Ids must be integers (others stop the job). An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -493,10 +539,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     idf = spark.sparkContext.broadcast(inverse_frequencies(known.select("text"), size))
     signatures = stored(known.mapInPandas(partial(_signatures, size=size, idf=idf), "id long, f1 long, f2 long, weight double, keys array<long>, sig binary"), "signatures")
 
-    # copies: one representative for each multiset of shingles
-    groups = signatures.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    copies = stored(signatures.select("id", "f1", "f2").join(groups.filter("n > 1"), ["f1", "f2"]).select("id", "rep").distinct(), "copies")
-    alone = stored(signatures.join(copies.filter("id != rep").select("id"), "id", "left_anti").dropDuplicates(["id"]), "representatives")
+    # copies: one representative for each multiset of shingles. Only representatives are compared; copies get their class in the end
+    prints = signatures.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    groups = stored(prints.filter("n > 1"), "groups")
+    copies = stored(joined_by_key(signatures.select("id", "f1", "f2"), groups, ["f1", "f2"], "n").select("id", "rep").filter("id != rep").distinct(), "copies")
+    # a document with several texts may be a copy and a representative at once: it stays, and links its representatives
+    chained = copies.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    alone = stored(signatures.join(copies.select("id").exceptAll(chained.select("id")), "id", "left_anti").groupBy("id").agg(F.min_by(F.struct("weight", "keys", "sig"), F.struct("f1", "f2")).alias("s")).select("id", "s.*"), "representatives")
 
     pairs = stored(candidates(alone, threshold), "pairs")
 
@@ -505,23 +554,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     texts = stored(picked, "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.mapInPandas(partial(_verified, size=size, threshold=threshold, idf=idf), "a long, b long")
-    same = copies.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    grouped = components(links.unionByName(same))
+    several = copies.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).filter("size(reps) > 1").select("a", F.explode("reps").alias("b")).filter("a != b")
+    grouped = components(links.unionByName(several).unionByName(chained.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     rest = stored(unsettled(known, alone, grouped, size, threshold, idf), "rest")
 
     # links of the rest join whole classes
     class_of = lambda end: grouped.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
     joins = rest.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
     joined = components(joins.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")))
-    if joined.count() <= BROADCAST_IDS:
-        joined = F.broadcast(joined)
+    settled = grouped.join(joined.select(F.col("node").alias("class"), F.col("class").alias("last")), "class", "left").select("node", F.coalesce("last", "class").alias("class"))
+    settled = stored(settled.unionByName(joined.join(grouped, "node", "left_anti")), "settled")
+
+    # a representative's copies are many rows of one key
+    reps = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(settled.withColumnRenamed("node", "rep"), "rep", "left")
+    reps = stored(reps.select("rep", "n", F.coalesce("class", "rep").alias("class")), "reps")
+    of_copies = joined_by_key(copies, reps, ["rep"], "n").groupBy("id").agg(F.min("class").alias("class")).withColumnRenamed("id", "node")
+    of_all = stored(of_copies.unionByName(settled.join(of_copies, "node", "left_anti")), "classes")
+    few = of_all.count() <= BROADCAST_IDS
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    found = ids.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("node"))
-    class_id = F.coalesce("class", "node")
-    return found.join(joined, "node", "left").select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    found = ids.join(F.broadcast(of_all) if few else of_all, F.col("doc_id") == F.col("node"), "left")
+    class_id = F.coalesce("class", "doc_id")
+    return found.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of one document of each class, with the columns of `docs`."""
+    """The rows of one document of each class (that of the smallest id), with the columns of `docs`, which may have any name.
+
+    Null ids, null and empty texts stay; an empty table gives no rows.
+    """
     dropped = classes(docs, id_col, text_col, size, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
     packed = docs.select(F.struct("*").alias("row"))
     if dropped.count() <= BROADCAST_IDS:
