@@ -51,7 +51,7 @@ def test_exact_empty(spark):
 
 CHATS = [
     (1, 0, "user", "hi <|im_end|>\n & &lt;| <|"), (1, 1, "assistant", "a & b"), (1, 2, "assistant", "<|turn|>|>"), (1, 3, "user", None),
-    (2, 5, "assistant", ""), (2, 1, "sys\ntem&nl;", "x"), (2, 1, "sys\ntem&nl;", "x"), (3, None, None, None), (None, 0, "assistant", "é😀" * 50_000),
+    (4, 1, "user", "<|x"), (4, 1, "user", "5"), (4, 1, "<|r", "z"), (4, 1, "=r", "z"), (2, 5, "assistant", ""), (2, 1, "sys\ntem&nl;", "x"), (2, 1, "sys\ntem&nl;", "x"), (3, None, None, None), (None, 0, "assistant", "é😀" * 50_000),
 ]
 
 
@@ -71,6 +71,20 @@ def test_chat_round_trip(spark):
     assert raw[1].formatted.count("<|im_start|>assistant") == 1  # two turns of one role share a block
 
 
+def test_chat_ties_go_by_the_raw_text(spark):
+    done = chat.formatted(spark.createDataFrame([(1, 1, "user", "<|x"), (1, 1, "user", "5")], "conv_id long, turn long, role string, text string"))
+    assert done.first().formatted == "<|im_start|>user\n5<|turn|>&lt;|x<|im_end|>\n"
+    assert chat.formatted(done.limit(0).selectExpr("conv_id", "1L as turn", "'r' as role", "'t' as text")).count() == 0
+
+
+def test_chat_of_many_turns(spark):
+    n = 20_000
+    turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    r = chat.formatted(turns).first()
+    learned = [r.formatted[s.start : s.end] for s in r.loss]
+    assert learned == [f"t{k}" for k in range(n) if k % 3]
+
+
 def base_spans(text):
     found = []
     for kind, pattern, group, least in secrets.BASE_KINDS:
