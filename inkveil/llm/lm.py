@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import arrays
-from inkveil.llm.common import bounded_batches, fold, fresh, give_back, stored
+from inkveil.llm.common import bounded_batches, discard, fold, fresh, give_back, stored
 from inkveil.llm.shingles import mix, split
 
 END = xxhash.xxh64_intdigest(b" </s>")  # no word has a blank
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bytes of text for each shard of the model.
 SHARD_BYTES = 16 << 20
 #: The sums of contexts with more words than this are stored; those of others are added up where they are needed.
@@ -86,6 +86,8 @@ def _word_counts(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.Dat
             yield out()
             seen, docs = Counter(), 0
     yield out()
+    seen.clear()
+    give_back()
 
 
 def _merged(group: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def _word_shard(group: pd.DataFrame, folder: str) -> pd.DataFrame:
 class Words:
     """Ids of words, looked up in the memory-mapped hashes and remembered for as many words as `limit`."""
 
-    def __init__(self, folder: str, shards: int, offsets: tuple[int, ...], limit: int = 1_000_000):
+    def __init__(self, folder: str, shards: int, offsets: tuple[int, ...], limit: int = 300_000):
         self.folder, self.shards, self.offsets, self.limit = folder, shards, offsets, limit
         self.known: dict[bytes, int] = {}
         self.end = int(self.find(np.array([END], np.uint64))[0])
@@ -186,11 +188,16 @@ def _context_shard(word: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return np.minimum(np.searchsorted(offsets, word.astype(np.int64), "right") - 1, len(offsets) - 2)
 
 
-def _summed_triples(pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct triples in order, with the sum of their counts."""
+def _summed_triples(pair: np.ndarray, word: np.ndarray, n: np.ndarray | None, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples in order, with the sum of their counts (None: 1 each)."""
+    if base**3 < 2**64:  # a triple is one number
+        key = pair * np.uint64(base) + word.astype(np.uint64)
+        key, n = np.unique(key, return_counts=True) if n is None else arrays.summed(key, n)
+        return key // np.uint64(base), (key % np.uint64(base)).astype(np.uint32), n
     order = np.lexsort((word, pair))
-    pair, word, n = pair[order], word[order], n[order]
+    pair, word = pair[order], word[order]
     starts = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (word[1:] != word[:-1]))) if len(pair) else np.zeros(0, int)
+    n = np.ones(len(pair), np.int64) if n is None else n[order]
     return pair[starts], word[starts], np.add.reduceat(n, starts) if len(starts) else n
 
 
@@ -201,7 +208,7 @@ def _triple_counts(frames: Iterator[pd.DataFrame], folder: str, shards: int, off
     def out() -> pd.DataFrame:
         pair, word = (np.concatenate([x[k] for x in waiting]) for k in (0, 1))
         waiting.clear()
-        pair, word, n = _summed_triples(pair, word, np.ones(len(pair), np.int64))
+        pair, word, n = _summed_triples(pair, word, None, int(base))
         shard = _shard_of(mix(pair), shards)
         rows = []
         order = np.argsort(shard, kind="stable")
@@ -232,7 +239,7 @@ def _triple_shard(group: pd.DataFrame, folder: str, offsets: tuple[int, ...]) ->
     shard, base = int(group["shard"].iloc[0]), np.uint64(offsets[-1] + 1)
     pair = np.concatenate([arrays.unpacked(x) for x in group["keys"]])
     word = np.concatenate([np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for x in group["words"]])
-    pair, word, n = _summed_triples(pair, word, np.concatenate([arrays.unpacked_counts(x) for x in group["counts"]]))
+    pair, word, n = _summed_triples(pair, word, np.concatenate([arrays.unpacked_counts(x) for x in group["counts"]]), int(base))
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     arrays.save(folder, f"context-{shard}", pair[first])
     arrays.save(folder, f"begin-{shard}", arrays.smallest(np.append(first, len(pair))))
@@ -252,10 +259,11 @@ def _triple_shard(group: pd.DataFrame, folder: str, offsets: tuple[int, ...]) ->
 def _pair_shard(group: pd.DataFrame, folder: str, shards: int, offsets: tuple[int, ...]) -> pd.DataFrame:
     shard, keys, n = _merged(group)
     base = np.uint64(offsets[-1] + 1)
-    arrays.save(folder, f"pair-{shard}", keys)
-    arrays.save(folder, f"pairs-{shard}", arrays.smallest(n))
     context = (keys // base).astype(np.int64) - offsets[shard]
     size = offsets[shard + 1] - offsets[shard] + 1  # the last shard also has the start of texts
+    arrays.save(folder, f"next-{shard}", (keys % base).astype(np.uint32))
+    arrays.save(folder, f"pairs-{shard}", arrays.smallest(n))
+    arrays.save(folder, f"first-{shard}", arrays.smallest(np.searchsorted(context, np.arange(size + 1))))
     arrays.save(folder, f"total-{shard}", np.bincount(context, n, size).astype(np.int64))
     arrays.save(folder, f"kinds-{shard}", np.stack([np.bincount(context[x], minlength=size) for x in (n == 1, n == 2, n >= 3)], 1).astype(np.int32))
     word, m = np.unique(keys % base, return_counts=True)
@@ -303,12 +311,15 @@ def trained(texts: DataFrame, order: int = 3, shard_bytes: int = SHARD_BYTES) ->
         top = None
         if order == 3:
             triples = texts.mapInPandas(partial(_triple_counts, shards=shards, **where), _TRIPLES)
-            ends = stored(triples.groupBy("shard").applyInPandas(partial(_triple_shard, **where), _BLOB), "ends")
+            table = fresh(spark, "ends")
+            ends = stored(triples.groupBy("shard").applyInPandas(partial(_triple_shard, **where), _BLOB), "ends", table)
             top = discounts(np.array([r.stats for r in ends.filter("shard < 0").select("stats").collect()] or [[0] * 5]).sum(0).tolist())
             pairs = ends.filter("shard >= 0")
         else:
             pairs = texts.mapInPandas(partial(_pair_counts, shards=shards, **where), _BLOB)
         merged = stored(pairs.groupBy("shard").applyInPandas(partial(_pair_shard, shards=shards, **where), _BLOB), "pairs")
+        if order == 3:
+            discard(spark, table)
         high = np.array([r.stats for r in merged.filter("shard < 0").select("stats").collect()] or [[0] * 6]).sum(0)
         low = merged.filter("shard >= 0").groupBy("shard").applyInPandas(partial(_continuation_shard, **where), _BLOB)
         low = np.array([r.stats for r in low.select("stats").collect()] or [[0] * 5]).sum(0)
@@ -344,15 +355,18 @@ class Scorer:
         """Counts of sorted pairs."""
         m = self.model
         found = np.zeros(len(keys), np.int64)
-        shard = _context_shard(keys // np.uint64(m.words + 1), m.offsets)
+        context, word = (keys // np.uint64(m.words + 1)).astype(np.int64), (keys % np.uint64(m.words + 1)).astype(np.int64)
+        shard = _context_shard(context, m.offsets)
         for s in np.unique(shard):
             mine = slice(*np.searchsorted(shard, [s, s + 1]))
             try:
-                own = arrays.load(m.folder, f"pair-{s}")
+                first = arrays.load(m.folder, f"first-{s}")
             except FileNotFoundError:
                 continue
-            at = np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)
-            found[mine] = np.where(own[at] == keys[mine], arrays.load(m.folder, f"pairs-{s}")[at], 0)
+            own = context[mine] - m.offsets[s]
+            low, high = first[own].astype(np.int64), first[own + 1].astype(np.int64)
+            at, hit = _found(arrays.load(m.folder, f"next-{s}"), low, high, word[mine])
+            found[mine] = np.where(hit, arrays.load(m.folder, f"pairs-{s}")[at], 0)
         return found
 
     def triple_parts(self, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,7 +464,7 @@ def _found(numbers: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndar
         less = numbers[mid] < want[live]
         low[live], high[live] = np.where(less, mid + 1, low[live]), np.where(less, high[live], mid)
         live = live[low[live] < high[live]]
-    place = np.minimum(low, end - 1)
+    place = np.minimum(low, np.maximum(end - 1, 0))
     return place, (low < end) & (numbers[place] == want)
 
 
@@ -467,6 +481,8 @@ def _scored(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFra
         scorer = scorer or Scorer(model)
         found = scorer.score(frame["text"])
         yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "held_out": frame["held_out"].to_numpy()}).assign(**{c: found[c].to_numpy() for c in found})
+    scorer = None
+    give_back()
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 1, order: int = 3) -> DataFrame:
@@ -478,7 +494,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     of one unknown word. Ids must be integers (others stop the job). Null and empty texts are an end alone. Repeated rows are learned from as often as they occur; without rows to learn from, every probability is 1 over the number of known words plus 1.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 1000, 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == held_out_fold).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = trained(rows.filter(~F.col("held_out")).select("text"), order)
     found = rows.mapInPandas(partial(_scored, model=model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from inkveil.llm import arrays
 from inkveil.llm.common import bounded_batches, discard, fresh, give_back, joined_by_key, partitions, stored
-from inkveil.llm.lm import _BLOB, _dealt, _merged, _shard_of
-from inkveil.llm.shingles import U, WordHashes, mix, shingled, split
+from inkveil.llm.lm import _BLOB, SHARD_BYTES, _dealt, _merged, _shard_of, shards_for
+from inkveil.llm.shingles import U, mix, shingled, word_hashes
 
 #: Where weights are given as an array, it has one for each of so many leading bits of a shingle's hash.
 FEATURES_BITS = 18
 #: Shingles that a task counts or weighs at once.
-FLUSH, AT_ONCE = 1_000_000, 200_000
+FLUSH, AT_ONCE = 400_000, 100_000
 BANDS, ROWS = 12, 3
 K = BANDS * ROWS
 #: Samples of K that two texts of similarity 0.8 share with a probability above 0.99999.
@@ -77,7 +77,7 @@ class Frequencies:
 
 
 def _frequencies(frames: Iterator[pd.DataFrame], size: int, shards: int) -> Iterator[pd.DataFrame]:
-    cache, docs = WordHashes(), 0
+    docs = 0
     kept, waiting, length = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
 
     def gathered() -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +86,8 @@ def _frequencies(frames: Iterator[pd.DataFrame], size: int, shards: int) -> Iter
         return arrays.summed(np.concatenate([kept[0], new[0]]), np.concatenate([kept[1], new[1]])) if len(kept[0]) else new
 
     for frame in frames:
-        for text in frame["text"]:
-            h = shingled(cache.of(split(text)), size)[0]
+        for words in word_hashes(frame["text"]):
+            h = shingled(words, size)[0]
             docs += len(h) > 0
             waiting.append(h)
             length += len(h)
@@ -99,7 +99,6 @@ def _frequencies(frames: Iterator[pd.DataFrame], size: int, shards: int) -> Iter
     kept = gathered()
     yield _dealt(*kept, _shard_of(kept[0], shards))
     yield pd.DataFrame({"shard": [-1], "keys": [None], "counts": [None], "stats": [[docs]]})
-    cache.clear()
     del kept
     give_back()
 
@@ -121,7 +120,7 @@ def _frequency_shard(group: pd.DataFrame, folder: str) -> pd.DataFrame:
 def inverse_frequencies(texts: DataFrame, size: int = 5) -> Frequencies:
     """Counts in how many texts each shingle is, from all rows, and writes the counts of 2 or more to the shared folder."""
     spark = texts.sparkSession
-    shards = max(16, partitions(spark))
+    shards = shards_for(texts, 4 * SHARD_BYTES)
     folder = fresh(spark, "shingles")
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # all shingles are dealt out: their files go when they are counted
     before = spark.conf.get(clean, None)
@@ -142,10 +141,10 @@ def _idf(h: np.ndarray, idf: Frequencies | np.ndarray) -> np.ndarray:
 
 def weights(h: np.ndarray, n: np.ndarray, idf: Frequencies | np.ndarray) -> np.ndarray:
     """Of sorted distinct shingles that occur n times."""
-    return (1 + np.log(n)) * _idf(h, idf)
+    return ((1 + np.log(n)) * _idf(h, idf)).astype(np.float32)
 
 
-def weighted(texts: Iterable[str | None], size: int, cache: WordHashes, idf: Frequencies | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def weighted(texts: Iterable[str | None], size: int, idf: Frequencies | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Shingles of each text, how often each occurs, and weights; frequencies are looked up for many texts together."""
     waiting, length = [], 0
 
@@ -153,10 +152,10 @@ def weighted(texts: Iterable[str | None], size: int, cache: WordHashes, idf: Fre
         distinct, at = np.unique(np.concatenate([h for h, _ in waiting]), return_inverse=True)
         found = np.split(_idf(distinct, idf)[at], np.cumsum([len(h) for h, _ in waiting])[:-1])
         for (h, n), x in zip(waiting, found, strict=True):
-            yield h, n, (1 + np.log(n)) * x
+            yield h, n, ((1 + np.log(n)) * x).astype(np.float32)
 
-    for text in texts:
-        waiting.append(shingled(cache.of(split(text)), size))
+    for words in word_hashes(texts):
+        waiting.append(shingled(words, size))
         length += len(waiting[-1][0])
         if length > AT_ONCE:
             yield from out()
@@ -170,8 +169,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     at = np.searchsorted(b[0], a[0])
     at[at == len(b[0])] = 0
     both = b[0][at] == a[0] if len(b[0]) else np.zeros(len(a[0]), bool)
-    low = np.minimum(a[1][both], b[1][at[both]]).sum()
-    high = a[1].sum() + b[1].sum() - low
+    low = np.minimum(a[1][both], b[1][at[both]]).sum(dtype=np.float64)
+    high = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low
     return float(low / high) if high > 0 else 0.0
 
 
@@ -213,7 +212,6 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray | None = None) -> n
 
 
 def _signatures(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
     for frame in frames:
         ids, sets, rows = frame["id"].tolist(), [], []
 
@@ -232,7 +230,7 @@ def _signatures(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.D
             rows.extend(zip([x[0] for x in full], *prints, weight, list(keys), [s.tobytes() for s in sig], strict=True))
 
         length = 0
-        for doc, (h, n, w) in zip(ids, weighted(frame["text"], size, cache, idf.value), strict=True):
+        for doc, (h, n, w) in zip(ids, weighted(frame["text"], size, idf.value), strict=True):
             sets.append((doc, h, n, w))
             length += len(h)
             if length > 64 * TILE:
@@ -240,7 +238,6 @@ def _signatures(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.D
                 length = 0
         out()
         yield pd.DataFrame(rows, columns=["id", "f1", "f2", "weight", "keys", "sig"])
-    cache.clear()
     give_back()
 
 
@@ -338,13 +335,11 @@ def candidates(signatures: DataFrame, threshold: float) -> DataFrame:
     return found.filter("b is not null").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
-def _sets(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Distinct shingles of each text and how often each occurs."""
-    cache = WordHashes()
+def _sets(frames: Iterator[pd.DataFrame], size: int, idf) -> Iterator[pd.DataFrame]:
+    """Distinct shingles of each text and their weights."""
     for frame in frames:
-        sets = [shingled(cache.of(split(t)), size) for t in frame["text"]]
-        yield pd.DataFrame({"id": frame["id"], "shingles": [h.tobytes() for h, _ in sets], "times": [n.astype(np.int32).tobytes() for _, n in sets]})
-    cache.clear()
+        sets = [(h.tobytes(), w.tobytes()) for h, _, w in weighted(frame["text"], size, idf.value)]
+        yield pd.DataFrame({"id": frame["id"], "shingles": [h for h, _ in sets], "weights": [w for _, w in sets]})
     give_back()
 
 
@@ -377,15 +372,15 @@ class Cell:
             found[i] = found[j] = True
         return pd.DataFrame({"id": np.unique(self.ids[found])})
 
-    def links(self, idf: Frequencies | np.ndarray) -> pd.DataFrame:
+    def links(self) -> pd.DataFrame:
         """Pairs (smaller id first) of similar texts, each in the first of the buckets that it shares."""
         keys = np.array(self.rows["keys"].tolist(), np.int64)
         key = self.rows["key"].iloc[0]
         lengths = np.array([len(x) // 8 for x in self.rows["shingles"]])
         ends = np.cumsum(lengths)
         h = np.frombuffer(b"".join(self.rows["shingles"]), np.uint64)
-        distinct, at = np.unique(h, return_inverse=True)
-        w = (1 + np.log(np.frombuffer(b"".join(self.rows["times"]), np.int32))) * _idf(distinct, idf)[at]
+        at = np.unique(h, return_inverse=True)[1]
+        w = np.frombuffer(b"".join(self.rows["weights"]), np.float32).astype(np.float64)
         places, values = np.split(at, ends[:-1]), np.split(w, ends[:-1])
         mine = np.zeros(at.max() + 1)
         a, b = [], []
@@ -407,13 +402,13 @@ class Cell:
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
 
 
-def _by_cell(frames: Iterator[pd.DataFrame], threshold: float, idf=None) -> Iterator[pd.DataFrame]:
-    """Of each cell the doubtful rows or, given the frequencies, the links."""
+def _by_cell(frames: Iterator[pd.DataFrame], threshold: float, links: bool) -> Iterator[pd.DataFrame]:
+    """Of each cell the doubtful rows or, where the rows have their sets, the links."""
     carry: list[pd.DataFrame] = []
 
     def result(rows: pd.DataFrame) -> pd.DataFrame:
         cell = Cell(rows, threshold)
-        return cell.doubtful() if idf is None else cell.links(idf.value)
+        return cell.links() if links else cell.doubtful()
 
     for frame in frames:
         if not len(frame):
@@ -469,24 +464,22 @@ def unsettled(known: DataFrame, signatures: DataFrame, grouped: DataFrame, size:
     of = grouped.select(F.col("node").alias("id"), "class")
     placed = stored(signatures.join(of, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "weight", "sig", "keys"), "placed")
     rows = placed.select("id", "class", "weight", "sig", F.lit(1).alias("cost"), F.explode("keys").alias("key"))
-    doubtful = stored(by_cell(in_cells(rows)).mapInPandas(partial(_by_cell, threshold=threshold), "id long").distinct(), "doubtful")
+    doubtful = stored(by_cell(in_cells(rows)).mapInPandas(partial(_by_cell, threshold=threshold, links=False), "id long").distinct(), "doubtful")
     few = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_IDS else doubtful
-    sets = known.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(partial(_sets, size=size), "id long, shingles binary, times binary")
+    sets = known.join(few, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(partial(_sets, size=size, idf=idf), "id long, shingles binary, weights binary")
     held = stored(placed.join(sets, "id"), "sets")
     rows = held.select("id", "class", F.greatest(F.lit(1), F.expr("length(shingles) div 4096")).alias("cost"), F.explode("keys").alias("key"))
     # the sets join the rows only after most buckets have gone
     cells = in_cells(rows).join(held.drop("class"), "id")
-    return by_cell(cells).mapInPandas(partial(_by_cell, threshold=threshold, idf=idf), "a long, b long").distinct()
+    return by_cell(cells).mapInPandas(partial(_by_cell, threshold=threshold, links=True), "a long, b long").distinct()
 
 
 def _verified(frames: Iterator[pd.DataFrame], size: int, threshold: float, idf) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
     for frame in frames:
         texts = dict(zip(frame["a"], frame["text_a"], strict=True)) | dict(zip(frame["b"], frame["text_b"], strict=True))
-        known = {doc: (h, w) for doc, (h, _, w) in zip(texts, weighted(texts.values(), size, cache, idf.value), strict=True)}
+        known = {doc: (h, w) for doc, (h, _, w) in zip(texts, weighted(texts.values(), size, idf.value), strict=True)}
         like = np.array([weighted_jaccard(known[a], known[b]) for a, b in zip(frame["a"], frame["b"], strict=True)], float)
         yield frame.loc[like >= threshold, ["a", "b"]]
-    cache.clear()
     known = {}
     give_back()
 

@@ -2,30 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import xxhash
 
 U = np.uint64
 
+_draw = np.random.Generator(np.random.PCG64(20240301))
+#: A random number for each byte. A word's hash is the sum of its bytes' numbers times the powers of BASE, so that prefix sums give all words' hashes at once.
+_BYTES = _draw.integers(0, 2**64, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BASE = 0x9E3779B97F4A7C15
+_LENGTH = U(0xD6E8FEB86659FD93)
+#: Bytes of texts that are hashed together (a longer text goes alone).
+BLOCK = 1 << 18
+_powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
-class WordHashes(dict):
-    """64-bit hash of each word met, bounded in size."""
 
-    limit = 300_000
+def powers(n: int) -> list[np.ndarray]:
+    """The first powers of BASE and of its inverse modulo 2^64, n at least."""
+    if len(_powers[0]) < n:
+        size = 1 << (max(n, BLOCK + 1) - 1).bit_length()
+        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.cumprod(table, dtype=np.uint64)
+    return _powers
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words `[^\\x20\\x09-\\x0D]+`, with A-Z in lower case, in order; none for null."""
+    waiting: list[bytes] = []
+    length = 0
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass").lower() if text else b""
+        if waiting and length + len(data) > BLOCK:
+            yield from _hashed(waiting)
+            waiting, length = [], 0
+        waiting.append(data)
+        length += len(data) + 1
+    if waiting:
+        yield from _hashed(waiting)
+    for k in range(2) if len(_powers[0]) > 64 * BLOCK else ():  # a very long text does not keep its tables
+        _powers[k] = np.zeros(0, np.uint64)
 
 
-def split(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = _SPACE[data]
+    borders = np.flatnonzero(np.append(True, space[:-1]) != space)
+    starts, ends = borders[::2], borders[1::2]
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
+    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return np.split(h, np.searchsorted(starts, np.cumsum(sizes)[:-1]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
