@@ -11,25 +11,24 @@ borders go through the driver.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import arrays
 from inkveil.llm.common import bounded_batches, discard, fold, fresh, give_back, stored
-from inkveil.llm.shingles import mix, split
+from inkveil.llm.shingles import mix, word_hashes
 
-END = xxhash.xxh64_intdigest(b" </s>")  # no word has a blank
+#: Stands for the end of a text among the words' hashes.
+END = np.uint64(0xA0761D6478BD642F)
 FLUSH = 1_000_000
 #: Bytes of text for each shard of the model.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: The sums of contexts with more words than this are stored; those of others are added up where they are needed.
 LARGE = 32
 _BLOB = "shard int, keys binary, counts binary, stats array<long>"
@@ -69,24 +68,27 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pd.DataFr
 
 
 def _word_counts(frames: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
-    seen: Counter[bytes] = Counter()
-    docs = 0
+    kept, waiting, length, docs = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0, 0
 
-    def out() -> pd.DataFrame:
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-        h, n = np.append(h, np.uint64(END)), np.append(np.fromiter(seen.values(), np.int64, len(seen)), docs)
-        h, n = arrays.summed(h, n)
-        return _dealt(h[n > 0], n[n > 0], _shard_of(h[n > 0], shards))
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        new = np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)
+        waiting.clear()
+        return arrays.summed(np.concatenate([kept[0], new[0]]), np.concatenate([kept[1], new[1]]))
 
     for frame in frames:
-        for text in frame["text"]:
-            seen.update(split(text))
+        for h in word_hashes(frame["text"]):
+            waiting.append(h)
+            length += len(h)
             docs += 1
-        if len(seen) > FLUSH // 2:
-            yield out()
-            seen, docs = Counter(), 0
-    yield out()
-    seen.clear()
+            if length > FLUSH:
+                kept, length = gathered(), 0
+                if len(kept[0]) > FLUSH:
+                    yield _dealt(*kept, _shard_of(kept[0], shards))
+                    kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    kept = gathered()
+    if docs:
+        kept = arrays.summed(np.append(kept[0], END), np.append(kept[1], docs))
+    yield _dealt(*kept, _shard_of(kept[0], shards))
     give_back()
 
 
@@ -109,12 +111,11 @@ def _word_shard(group: pd.DataFrame, folder: str) -> pd.DataFrame:
 
 
 class Words:
-    """Ids of words, looked up in the memory-mapped hashes and remembered for as many words as `limit`."""
+    """Ids of words, looked up in the memory-mapped hashes."""
 
-    def __init__(self, folder: str, shards: int, offsets: tuple[int, ...], limit: int = 300_000):
-        self.folder, self.shards, self.offsets, self.limit = folder, shards, offsets, limit
-        self.known: dict[bytes, int] = {}
-        self.end = int(self.find(np.array([END], np.uint64))[0])
+    def __init__(self, folder: str, shards: int, offsets: tuple[int, ...]):
+        self.folder, self.shards, self.offsets = folder, shards, offsets
+        self.end = int(self.find(np.array([END]))[0])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Id of each hash; -1: never seen. The hashes must be sorted."""
@@ -131,22 +132,12 @@ class Words:
 
     def ids(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the tokens of all texts, an end after each text; where each text starts."""
-        tokens = [split(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list(set().union(*tokens) - self.known.keys())
-        h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-        order = np.argsort(h)
-        found = np.empty(len(h), np.int64)
-        found[order] = self.find(h[order])
-        self.known.update(zip(new, found.tolist(), strict=True))
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+        hashes = list(word_hashes(texts))
+        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) + 1
         starts = np.cumsum(sizes) - sizes
-        ids = np.full(int(sizes.sum()), self.end, np.int64)
-        inside = np.ones(len(ids), bool)
-        inside[starts + sizes - 1] = False
-        ids[inside] = np.fromiter((self.known[w] for t in tokens for w in t), np.int64, int(inside.sum()))
-        return ids, starts
+        end = np.array([END])
+        distinct, place = np.unique(np.concatenate([x for h in hashes for x in (h, end)]), return_inverse=True)
+        return self.find(distinct)[place], starts
 
 
 def _contexts(ids: np.ndarray, starts: np.ndarray, start_id: int) -> np.ndarray:
@@ -240,6 +231,7 @@ def _triple_shard(group: pd.DataFrame, folder: str, offsets: tuple[int, ...]) ->
     pair = np.concatenate([arrays.unpacked(x) for x in group["keys"]])
     word = np.concatenate([np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for x in group["words"]])
     pair, word, n = _summed_triples(pair, word, np.concatenate([arrays.unpacked_counts(x) for x in group["counts"]]), int(base))
+    del group
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     arrays.save(folder, f"context-{shard}", pair[first])
     arrays.save(folder, f"begin-{shard}", arrays.smallest(np.append(first, len(pair))))
@@ -250,10 +242,14 @@ def _triple_shard(group: pd.DataFrame, folder: str, offsets: tuple[int, ...]) ->
     sums = np.stack([np.add.reduceat(x.astype(np.int64), first)[large] for x in (n, n == 1, n == 2, n >= 3)], 1)
     arrays.save(folder, f"large-{shard}", arrays.smallest(large))
     arrays.save(folder, f"sums-{shard}", arrays.smallest(sums))
-    ends, m = np.unique((pair % base) * base + word.astype(np.uint64), return_counts=True)
+    few = _few(n)
+    del n, first, size, sums
+    pair = (pair % base) * base + word
+    del word
+    ends, m = np.unique(pair, return_counts=True)
     rows = _dealt(ends, m, _context_shard(ends // base, offsets))
     give_back()
-    return pd.concat([rows, pd.DataFrame({"shard": [-1 - shard], "keys": [None], "counts": [None], "stats": [_few(n)]})], ignore_index=True)
+    return pd.concat([rows, pd.DataFrame({"shard": [-1 - shard], "keys": [None], "counts": [None], "stats": [few]})], ignore_index=True)
 
 
 def _pair_shard(group: pd.DataFrame, folder: str, shards: int, offsets: tuple[int, ...]) -> pd.DataFrame:
@@ -289,13 +285,17 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.0), k)) for k, d in zip((1, 2, 3), found, strict=True))
 
 
+def shards_for(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+    """As many shards as the bytes of column `text` fill, 16 at least."""
+    return max(16, -(-texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes))
+
+
 def trained(texts: DataFrame, order: int = 3, shard_bytes: int = SHARD_BYTES) -> Model:
     """Counts all rows of column `text` (null: empty, an end alone) and writes the model of order 2 or 3 to the shared folder."""
     if order not in (2, 3):
         raise ValueError("order is neither 2 nor 3")
     spark = texts.sparkSession
-    volume = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(16, -(-volume // shard_bytes))
+    shards = shards_for(texts, shard_bytes)
     folder = fresh(spark, "lm")
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what was dealt out goes when it has been merged
     before = spark.conf.get(clean, None)
