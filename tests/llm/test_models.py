@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.llm import langid, lm, near_dedup, spm
-from inkveil.llm.shingles import WordHashes, shingled, split
+from inkveil.llm.shingles import shingled, word_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,18 @@ def fold(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 5
 
 
+def test_word_hashes():
+    """Equal words, and no others, have equal hashes, wherever they stand and whatever is hashed with them."""
+    texts = [None, "", " \t\n", "A b\x0bc\x0cd\re", "b a", "ab ba aab", "é É 😀 \xa0x", "x" * 300_000 + " x", "a" * 1000, *(f"w{k} W{k}" for k in range(3000))]
+    found = {}
+    for text, h in zip(texts, word_hashes(texts), strict=True):
+        words = (text or "").encode().lower().split()
+        assert len(h) == len(words)
+        for w, x in zip(words, h.tolist(), strict=True):
+            assert found.setdefault(w, x) == x
+    assert len(set(found.values())) == len(found) > 3000
+
+
 # MinHash near-dedup
 
 
@@ -41,10 +53,9 @@ def corpus():
 
 
 def brute_classes(rows, idf, threshold=0.8):
-    cache = WordHashes()
     sets = {}
     for i, t in rows:
-        h, n = shingled(cache.of(split(t)))
+        h, n = shingled(*word_hashes([t]))
         sets[i] = h, near_dedup.weights(h, n, idf)
     parent = {i: i for i in sets}
 
@@ -81,8 +92,8 @@ def test_near_on_documents(spark):
 
 def test_near_weights_are_those_of_exact_frequencies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
-    idf, cache = near_dedup.inverse_frequencies(docs), WordHashes()
-    sets = [shingled(cache.of(split(r.text))) for r in docs.collect()]
+    idf = near_dedup.inverse_frequencies(docs)
+    sets = [shingled(*word_hashes([r.text])) for r in docs.collect()]
     df = Counter(x for h, _ in sets for x in h.tolist())
     texts = sum(len(h) > 0 for h, _ in sets)
     for h, n in sets:
@@ -127,9 +138,9 @@ def test_unsettled_compares_all_classes_of_a_bucket(spark, monkeypatch):
             words[rng.randrange(150)] = f"x{rng.randrange(1000)}"
         texts[i] = " ".join(words)
     idf = np.ones(1 << near_dedup.FEATURES_BITS, np.float32)
-    cache, sets = WordHashes(), {}
+    sets = {}
     for i, text in texts.items():
-        h, n = shingled(cache.of(split(text)))
+        h, n = shingled(*word_hashes([text]))
         sets[i] = h, near_dedup.weights(h, n, idf)
     rows = [(i, float(s[1].sum()), bytearray(near_dedup.K), [7, 100 + i % 3] + [1000 * i + k for k in range(10)]) for i, s in sets.items()]
     signatures = spark.createDataFrame(rows, "id long, weight double, sig binary, keys array<long>")
