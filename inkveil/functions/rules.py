@@ -6,7 +6,7 @@ A pack is a list of rules whose order is its meaning: each rule sees what the ru
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -96,11 +96,42 @@ class RulePack:
         return [(r.pattern, r.replacement) for r in self.rules]
 
 
+def quoted(word: str) -> str:
+    return "".join(f"\\{c}" if c in "\\.^$|?*+()[]{}-&" else c for c in word)
+
+
+def char_class(chars: Iterable[str], fan: int = 6) -> str:
+    """A class of many characters, as a tree of ranges: a test then takes some 20 comparisons instead of one for each character."""
+    chars = sorted(set(chars))
+    if len(chars) <= fan:
+        return f"[{''.join(map(quoted, chars))}]"
+    size = -(-len(chars) // fan)
+    parts = [chars[k : k + size] for k in range(0, len(chars), size)]
+    return "[" + "".join(f"[{quoted(x[0])}-{quoted(x[-1])}&&{char_class(x, fan)}]" for x in parts) + "]"
+
+
 def alternation(words: Sequence[str]) -> str:
-    """Alternatives of literal words, the longest first, so that a long name wins over its beginning."""
-    special = set("\\.^$|?*+()[]{}")
-    quoted = ["".join(f"\\{c}" if c in special else c for c in w) for w in dict.fromkeys(sorted(words, key=len, reverse=True))]
-    return "|".join(quoted)
+    """Alternatives of literal words, the longest first, so that a long name wins over its beginning.
+
+    Many words become a tree of their beginnings behind a test of the first character, so that most places of a text are passed over at once.
+    """
+    words = list(dict.fromkeys(w for w in words if w))
+    if len(words) <= 8:
+        return "|".join(map(quoted, sorted(words, key=len, reverse=True)))
+    return f"(?={char_class(w[0] for w in words)})(?:{_tree(words)})"
+
+
+def _tree(words: Sequence[str]) -> str:
+    """Alternatives by first character; within one the longer words come before those that end there."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    branches = []
+    for c, rest in heads.items():
+        longer = [r for r in rest if r]
+        inner = "" if not longer else quoted(longer[0]) if len(longer) == 1 else f"(?:{_tree(longer)})"
+        branches.append(quoted(c) + (f"(?:{inner})?" if longer and len(longer) < len(rest) else inner))
+    return "|".join(branches)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

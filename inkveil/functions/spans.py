@@ -10,8 +10,9 @@ from inkveil.functions.rules import RulePack, let
 SPAN = "struct<start:int,end:int,replacement:string>"
 
 
-def found(text: Column, pattern: str, replacement: str) -> Column:
+def found(text: Column, pattern: str | Column, replacement: str | Column) -> Column:
     """All matches of a pattern: offsets add up from the texts between the matches and the matches themselves."""
+    pattern, replacement = (F.lit(x) if isinstance(x, str) else x for x in (pattern, replacement))
     empty = F.array().cast(f"array<{SPAN}>")
 
     def walked(pieces: Column, hits: Column) -> Column:
@@ -20,19 +21,26 @@ def found(text: Column, pattern: str, replacement: str) -> Column:
             F.struct(F.lit(0).alias("at"), empty.alias("spans")),
             lambda a, m: F.struct(
                 (a["at"] + m["gap"] + m["size"]).alias("at"),
-                F.concat(a["spans"], F.array(F.struct((a["at"] + m["gap"]).alias("start"), (a["at"] + m["gap"] + m["size"]).alias("end"), F.lit(replacement).alias("replacement")))).alias("spans"),
+                F.concat(a["spans"], F.array(F.struct((a["at"] + m["gap"]).alias("start"), (a["at"] + m["gap"] + m["size"]).alias("end"), replacement.alias("replacement")))).alias("spans"),
             ),
             lambda a: a["spans"],
         )
 
-    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    return F.when(text.rlike(pattern), let(both, lambda b: walked(b["pieces"], b["hits"]))).otherwise(empty)
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"))
+    return F.when(F.rlike(text, pattern), let(both, lambda b: walked(b["pieces"], b["hits"]))).otherwise(empty)
 
 
 def collected(text: Column, pack: RulePack) -> Column:
     """Spans of all rules over the unchanged text, by start, the longest first. Back-references in a replacement stay empty."""
     parts = [found(text, r.compiled, r.replacement) for r in pack.rules if not r.literal]
-    return by_start(F.concat(*parts))
+    placed = F.transform(F.concat(*parts), lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), i.alias("i"), s["replacement"].alias("replacement")))
+    ordered = F.sort_array(placed)  # of rules that find the same, the first one counts
+    return F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), (-s["minus"]).alias("end"), s["replacement"].alias("replacement")))
+
+
+def outside(spans: Column, others: Column) -> Column:
+    """The spans that do not start inside one of the others."""
+    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] >= o["start"]) & (s["start"] < o["end"])))
 
 
 def by_start(spans: Column) -> Column:
