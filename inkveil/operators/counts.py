@@ -19,9 +19,9 @@ def changed(docs: DataFrame, pack: RulePack, text: str = "text") -> DataFrame:
     return docs.withColumn("redacted", pack.apply(F.col(text))).filter(~F.col("redacted").eqNullSafe(F.col(text)))
 
 
-def residual(docs: DataFrame, pack: RulePack, text: str = "text") -> DataFrame:
-    """Matches that are still found after redaction, by rule (none: no row)."""
-    return by_rule(docs.select(pack.apply(F.col(text)).alias("left")), pack, "left")
+def residual(docs: DataFrame, pack: RulePack, text: str = "text", audit: RulePack | None = None) -> DataFrame:
+    """Matches that the rules of `audit` (default: of the pack itself) still find after redaction, by rule (none: no row)."""
+    return by_rule(docs.select(pack.apply(F.col(text)).alias("left")), audit or pack, "left")
 
 
 def merged_maps(a, b):

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import lexicon as lx
 from inkveil.functions.packs import _DAY, _JOIN, _MONTH, _YEAR
+from inkveil.functions.rules import char_class
+from inkveil.operators.spans import chunks
 
 ENTITY = "doc_id long, text string, replacement string, category string, confidence double, source string, evidence string"
 LLM_ENTITY = "array<struct<text:string,replacement:string,category:string,confidence:double,evidence:string>>"
@@ -43,7 +45,7 @@ def prescreened(docs: DataFrame, text: str = "text", least: int = 8) -> DataFram
     """doc_id, para: the paragraphs that may hold names (a role word, or a surname before a Chinese character and one more), once each."""
     keyword = "负责人|联系人|支持人员|编写人|审核人|批准人"
     paras = docs.filter(F.length(F.trim(F.col(text))) >= least).select("doc_id", F.explode(F.split(F.col(text), "\n", -1)).alias("para"))
-    named = F.length("para").between(2, 300) & F.col("para").rlike(f"(?s)[{lx.SURNAMES}][一-鿿].")
+    named = F.length("para").between(2, 300) & F.col("para").rlike(f"(?s){char_class(lx.SURNAMES)}[一-鿿].")
     return paras.filter(F.col("para").rlike(keyword) | named).distinct()
 
 
@@ -56,24 +58,41 @@ def parsed_entities(content: Column) -> Column:
     return F.coalesce(F.from_json(body, whole)["entities"], F.from_json(inner, whole)["entities"], F.from_json(F.regexp_extract(body, r"(?s)(\[.*\])", 1), LLM_ENTITY))
 
 
-def _asked(frames: Iterator[pd.DataFrame], client: Callable[[str], str]) -> Iterator[pd.DataFrame]:
+def _answered(answer: str, doc: int) -> list[tuple]:
+    """Rows of a model's answer. What is no entity (no object, no text, a confidence that is no number) is left out or gets the default."""
+    found = json.loads(re.search(r"[\[{].*[\]}]", answer, re.DOTALL)[0])
+    found = found.get("entities") if isinstance(found, dict) else found
+    rows = []
+    for e in found if isinstance(found, list) else ():
+        if isinstance(e, dict) and isinstance(e.get("text"), str) and e["text"]:
+            try:
+                sure = float(e.get("confidence", 0.8))
+            except (TypeError, ValueError):
+                sure = 0.8
+            said = [str(e[k]) if e.get(k) else default for k, default in (("replacement", "XXX"), ("category", "other"), ("evidence", None))]
+            rows.append((doc, e["text"], said[0], said[1], sure, "llm", said[2]))
+    return rows
+
+
+def _asked(frames: Iterator[pd.DataFrame], client: Callable[[str], str], tries: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-            try:
-                answer = client(text)
-                found = json.loads(re.search(r"[\[{].*[\]}]", answer, re.DOTALL)[0])
-                found = found.get("entities", []) if isinstance(found, dict) else found
-            except Exception:  # a client that fails leaves its text to the rules
-                continue
-            rows += [(doc, e["text"], e.get("replacement") or "XXX", e.get("category") or "other", float(e.get("confidence") or 0.8), "llm", e.get("evidence")) for e in found if e.get("text")]
+            for _ in range(tries):
+                try:
+                    rows += _answered(client(text), doc)
+                    break
+                except Exception:  # a client that fails leaves its text to the rules
+                    continue
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTITY.split(", ")])
 
 
-def model_entities(docs: DataFrame, client: Callable[[str], str] | None, text: str = "text") -> DataFrame:
-    """Entities that a client (text in, JSON out) finds; without a client none."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
-    return rows.filter(F.lit(client is not None)).mapInPandas(partial(_asked, client=client), ENTITY)
+def model_entities(docs: DataFrame, client: Callable[[str], str] | None, text: str = "text", limit: int = 6000, tries: int = 3) -> DataFrame:
+    """Entities that a client (text in, JSON out) finds; without a client none. A long text is asked about in chunks of `limit` characters,
+    of which the next begins 200 before the last one ends, and a call that fails is made `tries` times."""
+    rows = chunks(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), size=limit).select("doc_id", F.col("chunk_text").alias("text"))
+    asked = rows.filter(F.lit(client is not None)).mapInPandas(partial(_asked, client=client, tries=tries), ENTITY)
+    return asked.dropDuplicates(["doc_id", "text", "replacement", "category"])
 
 
 def detected(docs: DataFrame, client: Callable[[str], str] | None = None, text: str = "text", least_confidence: float = 0.0) -> DataFrame:

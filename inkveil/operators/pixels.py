@@ -7,9 +7,10 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-METHODS = ("mosaic", "blur", "black")
+METHODS = ("mosaic", "blur", "black", "whole")
 
 
 def mosaic(region: np.ndarray, block: int = 16) -> np.ndarray:
@@ -29,7 +30,7 @@ def blur(region: np.ndarray, radius: int = 15) -> np.ndarray:
     out = region.astype(float)
     for axis in (0, 1):
         pad = [(radius, radius) if a == axis else (0, 0) for a in range(out.ndim)]
-        wide = np.pad(out, pad, mode="symmetric")
+        wide = np.pad(out, pad, mode="reflect" if region.shape[axis] > radius else "symmetric")
         out = sum(k * np.take(wide, np.arange(i, i + region.shape[axis]), axis) for i, k in enumerate(kernel))
     return np.rint(out).clip(0, 255).astype(np.uint8)
 
@@ -39,19 +40,28 @@ def masked(picture: np.ndarray, boxes: list[tuple[int, int, int, int]], method:
     for x1, y1, x2, y2 in boxes:
         region = out[y1:y2, x1:x2]
         if region.size:
-            out[y1:y2, x1:x2] = {"mosaic": mosaic, "blur": blur, "black": np.zeros_like}[method](region)
+            out[y1:y2, x1:x2] = {"mosaic": mosaic, "blur": blur, "black": np.zeros_like, "whole": shrunk}[method](region)
     return out
 
 
-def statistics(picture: np.ndarray) -> tuple[float, float, float]:
-    """Standard deviation of grey levels, share of edge pixels, share of pixels below Otsu's threshold."""
+def shrunk(picture: np.ndarray, factor: int = 8) -> np.ndarray:
+    """Mosaic of a whole picture: cells of `factor` pixels, one cell at least."""
+    h, w = picture.shape[:2]
+    rows, columns = max(1, h // factor), max(1, w // factor)
+    y, x = np.arange(h) * rows // h, np.arange(w) * columns // w
+    return picture[y * h // rows][:, x * w // columns]
+
+
+def statistics(picture: np.ndarray) -> tuple[float, float, float, int]:
+    """Standard deviation of grey levels, share of edge pixels, share of pixels above Otsu's threshold, number of grey levels."""
     grey = picture.mean(2) if picture.ndim == 3 else picture.astype(float)
-    gy, gx = np.gradient(grey)
+    gy, gx = (np.gradient(grey, axis=a) if grey.shape[a] > 1 else np.zeros_like(grey) for a in (0, 1))
     levels = np.bincount(grey.astype(np.uint8).ravel(), minlength=256) / grey.size
     w, m = levels.cumsum(), (levels * np.arange(256)).cumsum()
     with np.errstate(divide="ignore", invalid="ignore"):
-        between = np.nan_to_num((m[-1] * w - m) ** 2 / (w * (1 - w)))
-    return float(grey.std()), float((np.hypot(gx, gy) > 50).mean()), float((grey <= between.argmax()).mean())
+        between = np.nan_to_num((m[-1] * w - m) ** 2 / (w * (1 - w)), posinf=0)
+    fill = (grey.astype(np.uint8) > between.argmax()).mean()
+    return float(grey.std()), float((np.hypot(gx, gy) > 50).mean()), float(fill), int((levels > 0).sum())
 
 
 def _masked(frames: Iterator[pd.DataFrame], method: str) -> Iterator[pd.DataFrame]:
@@ -60,13 +70,28 @@ def _masked(frames: Iterator[pd.DataFrame], method: str) -> Iterator[pd.DataFram
         for r in frame.itertuples():
             picture = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
             boxes = [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in (r.boxes if r.boxes is not None else ())]
+            boxes = boxes if method != "whole" else [(0, 0, r.width, r.height)]
             out.append((r.origin, r.height, r.width, r.nChannels, masked(picture, boxes, method).tobytes(), *statistics(picture)))
-        yield pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "data", "std", "edges", "fill"])
+        yield pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "data", "std", "edges", "fill", "levels"])
 
 
 def mask(images: DataFrame, method: str = "mosaic") -> DataFrame:
-    """Pictures (origin, height, width, nChannels, data) with their `boxes` masked, and statistics of the unmasked picture."""
+    """Pictures (origin, height, width, nChannels, data) with their `boxes` masked (method `whole`: all of the picture), and statistics of the unmasked picture."""
     if method not in METHODS:
         raise ValueError(f"method is none of {METHODS}")
     rows = images.select("origin", "height", "width", "nChannels", "data", "boxes")
-    return rows.mapInPandas(partial(_masked, method=method), "origin string, height int, width int, nChannels int, data binary, std double, edges double, fill double")
+    return rows.mapInPandas(partial(_masked, method=method), "origin string, height int, width int, nChannels int, data binary, std double, edges double, fill double, levels int")
+
+
+def logo_region(std: Column, edges: Column, fill: Column, least_std: int = 60) -> Column:
+    """Whether a region's statistics are those of a logo (50 for pages, 60 for pictures)."""
+    return (std < least_std) | ((edges > 0.05) & (fill > 0.3)) | (fill > 0.6)
+
+
+def logo_box(left: Column, top: Column, width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
+    """Where a bank's logo is looked for: 320 pixels before a text that names the bank and 60 around it, 20 behind it, inside the page."""
+    zero = F.lit(0)
+    return F.struct(
+        F.greatest(left - 320, zero).cast("int").alias("x1"), F.greatest(top - 60, zero).cast("int").alias("y1"),
+        F.least(left + width + 20, page_width).cast("int").alias("x2"), F.least(top + height + 60, page_height).cast("int").alias("y2"),
+    )

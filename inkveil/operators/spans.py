@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions.spans import applied, found
+
 
 def offsets(nodes: DataFrame, keys: list[str], order: list[str], text: str = "text", separator: int = 0) -> DataFrame:
     """Adds start and end of every node in its document's concatenated text, with `separator` characters between nodes."""
@@ -26,11 +28,36 @@ def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
     return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), first.alias("replacement")).drop("island")
 
 
+def entity_spans(docs: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, start, end, replacement: every place of every entity (doc_id, text, replacement) in its document's text, whatever blanks stand
+    between its characters. Entities of one character are left out, and so are those without a replacement."""
+    wanted = entities.filter((F.length(F.trim("text")) >= 2) & F.col("replacement").isNotNull()).select("doc_id", F.col("text").alias("entity"), "replacement").distinct()
+    pattern = F.array_join(F.transform(F.filter(F.split("entity", ""), lambda c: ~c.rlike(r"^\s*$")), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), r"\s*")
+    rows = docs.select("doc_id", F.col(text).alias("whole")).join(wanted, "doc_id")
+    return rows.select("doc_id", F.inline(found(F.col("whole"), pattern, F.col("replacement"))))
+
+
+def numbered(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Adds `number`, which counts the rows of a key from 1."""
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def in_nodes(spans: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Each span with the one node that contains it, and its offsets there; spans across nodes are left out."""
-    n = nodes.withColumnsRenamed({"start": "node_start", "end": "node_end"})
-    joined = spans.join(n, keys).filter("start >= node_start and end <= node_end")
-    return joined.withColumn("local_start", F.col("start") - F.col("node_start")).withColumn("local_end", F.col("end") - F.col("node_start"))
+    """Each span with the one node that contains it, and its offsets there; spans across nodes are left out.
+
+    Nodes of a document must not overlap. Spans and nodes are sorted together once and the last node that began is carried forward, so that
+    the work does not grow with spans times nodes.
+    """
+    width = [c for c in nodes.columns if c not in (*keys, "start", "end")]
+    node = F.struct(F.col("start").alias("node_start"), F.col("end").alias("node_end"), *width)
+    rest = [c for c in spans.columns if c not in keys]
+    kind = nodes.select(node.alias("n")).schema["n"].dataType
+    left = nodes.filter("end > start").select(*keys, F.col("start").alias("at"), F.lit(0).alias("kind"), node.alias("node"), F.lit(None).cast(spans.select(F.struct(*rest).alias("s")).schema["s"].dataType).alias("span"))
+    right = spans.select(*keys, F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("node"), F.struct(*rest).alias("span"))
+    w = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = left.unionByName(right).withColumn("node", F.last("node", ignorenulls=True).over(w)).filter("kind = 1").select(*keys, "span.*", "node.*")
+    inside = placed.filter("start >= node_start and end <= node_end")
+    return inside.withColumn("local_start", F.col("start") - F.col("node_start")).withColumn("local_end", F.col("end") - F.col("node_start"))
 
 
 def redistributed(nodes: DataFrame, spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -40,8 +67,6 @@ def redistributed(nodes: DataFrame, spans: DataFrame, keys: list[str], order: li
     hit = nodes.join(cuts, keys).filter("s < end and e > start")
     local = F.struct(F.greatest(F.col("s") - F.col("start"), F.lit(0)).cast("int").alias("start"), F.least(F.col("e") - F.col("start"), F.length("text")).cast("int").alias("end"), F.when(F.col("s") >= F.col("start"), F.col("replacement")).otherwise("").alias("replacement"))
     per_node = hit.groupBy(*keys, *order).agg(F.sort_array(F.collect_list(local)).alias("cuts"))
-    from inkveil.functions.spans import applied
-
     joined = nodes.join(per_node, [*keys, *order], "left")
     return joined.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(applied(F.col("text"), F.col("cuts")))).drop("cuts")
 

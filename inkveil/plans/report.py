@@ -44,8 +44,29 @@ def manifests(entities: DataFrame) -> DataFrame:
     return listed.join(stats, "doc_id").select("doc_id", F.to_json(F.struct("doc_id", "entities", "stats")).alias("manifest"))
 
 
-def markdown(results: DataFrame, most: int = 1000) -> str:
-    """Report of a batch. It lists `most` failed files at most (a report for people); the counts are of all."""
+def manifest_markdown(entities: DataFrame) -> DataFrame:
+    """doc_id, markdown: counts by category, the highest first, and a numbered table of the entities with masked texts."""
+    counts = entities.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.struct((-F.col("n")).alias("minus"), "category").alias("c"))
+    by_doc = counts.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    table = lambda rows: F.array_join(rows, "\n")
+    shown = F.struct("category", "text", "replacement", "source", "confidence")
+    listed = entities.groupBy("doc_id").agg(F.sort_array(F.collect_list(shown)).alias("es"))
+    head = F.transform("cs", lambda c: F.concat(F.lit("| "), c["category"], F.lit(" | "), (-c["minus"]).cast("string"), F.lit(" |")))
+    body = F.transform("es", lambda e, i: F.concat(
+        F.lit("| "), (i + 1).cast("string"), F.lit(" | "), preview(e["text"]), F.lit(" | "), F.coalesce(e["replacement"], F.lit("")), F.lit(" | "), e["category"], F.lit(" | "),
+        F.format_string("%.0f%%", e["confidence"] * 100), F.lit(" | "), e["source"], F.lit(" |"),
+    ))
+    return listed.join(by_doc, "doc_id").select("doc_id", F.concat(F.lit("| category | n |\n|---|---|\n"), table(head), F.lit("\n\n| # | text | replacement | category | confidence | source |\n|---|---|---|---|---|---|\n"), table(body), F.lit("\n")).alias("markdown"))
+
+
+def listing(results: DataFrame) -> DataFrame:
+    """status, line: all files of a batch by status and path, with errors cut at 60 characters. Where the report would be too long, write this table instead."""
+    ordered = results.select("status", "input_path", F.substring("error", 1, 60).alias("error")).orderBy("status", "input_path")
+    return ordered.select("status", F.when(F.col("status") == "failed", F.concat(F.lit("- "), "input_path", F.lit(": "), "error")).otherwise(F.concat(F.lit("- "), "input_path")).alias("line"))
+
+
+def markdown(results: DataFrame) -> str:
+    """Report of a batch: totals, types, and all files by status. The files come in parts, so that the driver holds one part at a time beside the report."""
     t = totals(results).withColumn("size", readable_size(F.col("bytes"))).first()
     lines = [
         "# 脱敏报告", "", "| 总数 | 成功 | 失败 | 跳过 | 实体 | 大小 | 耗时(ms) |", "|---|---|---|---|---|---|---|",
@@ -54,6 +75,11 @@ def markdown(results: DataFrame, most: int = 1000) -> str:
     ]
     for r in by_type(results).withColumn("size", readable_size(F.col("bytes"))).orderBy("file_type").collect():
         lines.append(f"| {r.file_type} | {r.n:,} | {r.entities:,} | {r['size']} |")
-    failed = results.filter("status = 'failed'").select("input_path", F.substring("error", 1, 60).alias("error")).orderBy("input_path").limit(most).collect()
-    lines += ["", "## 失败", ""] * bool(failed) + [f"- {r.input_path}: {r.error}" for r in failed]
+    heads = {"success": "成功", "failed": "失败", "skipped": "跳过"}
+    last = None
+    for r in listing(results).toLocalIterator():
+        if r.status != last:
+            lines += ["", f"## {heads.get(r.status, r.status)}", ""]
+            last = r.status
+        lines.append(r.line)
     return "\n".join(lines) + "\n"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import lexicon as lx
+from inkveil.functions.packs import filename_g3
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
@@ -13,6 +14,13 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(where) and store.getFileStatus(where).isFile()
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
@@ -25,10 +33,15 @@ def file_type(path: Column) -> Column:
     return found
 
 
-def output_path(path: Column, folder: str, mark: str = lx.OUTPUT_SUFFIX) -> Column:
-    """<folder>/<stem><mark>.<ending>"""
+def output_path(path: Column, folder: str, mark: str = lx.OUTPUT_SUFFIX, root: str | None = None) -> Column:
+    """<folder>/<stem><mark>.<ending>; with `root`, below the folder that the file has under it, so that files of one name in different folders stay apart."""
     name = F.regexp_extract(path, r"([^/\\]*)$", 1)
-    return F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_replace(name, r"(\.[^.]*)?$", ""), F.lit(mark), F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    below = F.lit("")
+    if root is not None:
+        inside = F.regexp_replace(path, r"[^/\\]*$", "")
+        start = root.rstrip("/") + "/"
+        below = F.when(inside.startswith(start), F.substring(inside, len(start) + 1, 2**31 - 1)).otherwise(F.lit(""))
+    return F.concat(F.lit(folder.rstrip("/") + "/"), below, F.regexp_replace(name, r"(\.[^.]*)?$", ""), F.lit(mark), F.regexp_extract(name, r"(\.[^.]*)$", 1))
 
 
 def routed(files: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -37,6 +50,11 @@ def routed(files: DataFrame, types: list[str] | None = None) -> DataFrame:
     return rows.filter(F.col("file_type").isin(types)) if types and not any("all" in t for t in types) else rows
 
 
+def media_name(name: Column) -> Column:
+    """A media file's name with its stem redacted and its ending kept."""
+    return F.concat(filename_g3(F.regexp_replace(name, r"(\.[^.]*)?$", "")), F.regexp_extract(name, r"(\.[^.]*)$", 1))
+
+
 def is_logo(name: Column) -> Column:
     return F.lower(name).rlike("bank|logo|银行|brand|icon")
 

@@ -59,6 +59,9 @@ def test_detection(spark):
     assert {(1, "汪晶晶", "XXX", "role_word"), (2, "2024/03/15 至 2024/03/20", "YYYY/MM/DD 至 YYYY/MM/DD", "regex"), (1, "甲", "XXX", "llm")} <= got
     assert detect.detected(docs).filter("source = 'llm'").count() == 0
     assert detect.detected(docs, client, least_confidence=0.9).count() == 1
+    for answer in ('["a", "b"]', '[{"text": "x", "confidence": "high"}, {"text": 5}, 7]', '{"entities": null}', "nothing"):
+        rows = detect.model_entities(docs, lambda text, a=answer: a).collect()
+        assert {(r.text, r.confidence) for r in rows} == ({("x", 0.8)} if "high" in answer else set())
 
 
 def test_answers_of_models(spark):
@@ -77,27 +80,52 @@ def test_pictures(spark):
     for method in pixels.METHODS:
         rows = spark.createDataFrame([("a", 40, 60, 3, bytearray(picture.tobytes()), [(5, 5, 45, 35)])], "origin string, height int, width int, nChannels int, data binary, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
         out = np.frombuffer(pixels.mask(rows, method).first().data, np.uint8).reshape(picture.shape)
-        assert (out[:5] == picture[:5]).all() and (out[5:35, 5:45] != picture[5:35, 5:45]).any()
+        assert (out[:5] == picture[:5]).all() == (method != "whole") and (out[5:35, 5:45] != picture[5:35, 5:45]).any()
     assert len(np.unique(pixels.mosaic(picture[:32, :32]).reshape(-1, 3), axis=0)) <= 4
     assert (pixels.blur(np.full((20, 20, 3), 7, np.uint8)) == 7).all()
+    std, edges, fill, levels = pixels.statistics(np.array([[0, 0, 0, 200]] * 4, np.uint8))
+    assert (fill, levels) == (0.25, 2) and std > 80 and 0 < edges <= 0.5
 
 
 def test_batch_of_documents(spark, tmp_path):
     source, target, state = tmp_path / "in", tmp_path / "out", str(tmp_path / "state")
-    source.mkdir(), target.mkdir()
+    source.mkdir()
+    (source / "sub").mkdir()
+    (source / "sub" / "a.docx").write_bytes(docx([["手机 ", "13812345678", " ，邮箱 ", "a@b.cc"], ["plain"]]))
     (source / "a.docx").write_bytes(docx([["联系人：汪晶", "晶"], ["plain"]]))
     (source / "b.docx").write_bytes(b"no zip")
     (source / "c.pdf").write_bytes(b"%PDF")
     (source / "d.txt").write_bytes(b"ignored")
-    got = {r.input_path.rsplit("/", 1)[1]: r for r in batch.run(spark, str(source), str(target), state=state).collect()}
-    assert {k: r.status for k, r in got.items()} == {"a.docx": "success", "b.docx": "failed", "c.pdf": "failed"}
+    got = {r.input_path.split("/in/", 1)[1]: r for r in batch.run(spark, str(source), str(target), state=state).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a.docx": "success", "sub/a.docx": "success", "b.docx": "failed", "c.pdf": "failed"}
+    assert got["a.docx"].entities_count == 1 and got["sub/a.docx"].entities_count == 2 and got["c.pdf"].duration_ms == 0
+    with zipfile.ZipFile(target / "sub" / "a_脱敏.docx") as archive:  # runs keep their text around what was masked
+        assert [n.text or "" for _, n, _ in ooxml.text_nodes(ooxml.ElementTree.fromstring(archive.read("word/document.xml")))] == ["手机 ", "XXXXXXXXXXX ，邮箱 XXXXX@XXXXX", "", "", "plain"]
     with zipfile.ZipFile(target / "a_脱敏.docx") as archive:
         text = archive.read("word/document.xml").decode()
     assert "联系人：XXX" in text and "汪" not in text and "plain" in text
-    again = {r.input_path.rsplit("/", 1)[1]: r.status for r in batch.run(spark, str(source), str(target), state=state).collect()}
+    again = {r.input_path.split("/in/", 1)[1]: r.status for r in batch.run(spark, str(source), str(target), state=state).collect()}
     assert again == {"b.docx": "failed", "c.pdf": "failed"}
-    skipped = {r.input_path.rsplit("/", 1)[1]: r.status for r in batch.run(spark, str(source), str(target), types=["word"]).collect()}
-    assert skipped == {"a.docx": "skipped", "b.docx": "failed"}
+    skipped = {r.input_path.split("/in/", 1)[1]: r.status for r in batch.run(spark, str(source), str(target), types=["word"]).collect()}
+    assert skipped == {"a.docx": "skipped", "sub/a.docx": "skipped", "b.docx": "failed"}
+
+
+def test_cells_that_hold_numbers_are_masked(spark, tmp_path):
+    sheet = '<worksheet xmlns="http://x/main"><sheetData><row><c r="A1"><v>13812345678</v></c><c r="B1" t="s"><v>0</v></c><c r="C1"><v>12.5</v></c></row></sheetData></worksheet>'
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as archive:
+        archive.writestr("xl/worksheets/sheet1.xml", sheet)
+        archive.writestr("xl/sharedStrings.xml", '<sst xmlns="http://x/main"><si><t>a@b.cc</t></si></sst>')
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "n.xlsx").write_bytes(made.getvalue())
+    (tmp_path / "out").write_bytes(b"a file where the folder should be")
+    assert [r.status for r in batch.run(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()] == ["failed"]
+    row = batch.run(spark, str(tmp_path / "in"), str(tmp_path / "new" / "out")).first()
+    assert row.status == "success" and row.entities_count == 2
+    with zipfile.ZipFile(tmp_path / "new" / "out" / "n_脱敏.xlsx") as archive:
+        text = archive.read("xl/worksheets/sheet1.xml").decode()
+        assert "<v>XXXXXXXXXXX</v>" in text.replace("ns0:", "").replace(":v", "v") and "13812345678" not in text and 't="str"' in text and "12.5" in text
+        assert "XXXXX@XXXXX" in archive.read("xl/sharedStrings.xml").decode()
 
 
 def test_broken_documents_are_rows(spark):
@@ -112,6 +140,8 @@ def test_report(spark):
     text = report.markdown(results)
     assert "| 3 | 1 | 1 | 1 | 3 | 2.0 KB | 15 |" in text and "- /b.pdf: " + "e" * 60 + "\n" in text
     assert report.totals(results.limit(0)).first().n_total == 0
+    many = spark.range(1500).selectExpr("concat('/', id, '.pdf') as input_path", "'failed' as status", "'e' as error", "0L as duration_ms", "0L as entities_count", "0L as file_size")
+    assert report.markdown(many).count("- /") == 1500
 
 
 def test_manifest_shows_no_entity(spark):
