@@ -120,7 +120,7 @@ def _frequency_shard(group: pd.DataFrame, folder: str) -> pd.DataFrame:
 def inverse_frequencies(texts: DataFrame, size: int = 5) -> Frequencies:
     """Counts in how many texts each shingle is, from all rows, and writes the counts of 2 or more to the shared folder."""
     spark = texts.sparkSession
-    shards = shards_for(texts, 4 * SHARD_BYTES)
+    shards = shards_for(texts, SHARD_BYTES)
     folder = fresh(spark, "shingles")
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # all shingles are dealt out: their files go when they are counted
     before = spark.conf.get(clean, None)
