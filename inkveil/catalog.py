@@ -6,6 +6,7 @@ The tables hold no Chinese text, so rules for it run on text that SQL derives fr
 from __future__ import annotations
 
 import io
+import json
 import tempfile
 import uuid
 import zipfile
@@ -15,13 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions import packs, spans
+from inkveil.functions import packs, spans, sql
 from inkveil.functions.packs import g1, g2, g3_text
 from inkveil.functions.rules import RulePack
 from inkveil.operators import boxes, counts, detect, pixels
 from inkveil.operators import spans as span_ops
-from inkveil.plans import batch, report
-from inkveil.sources import files, ooxml
+from inkveil.plans import batch, config, report
+from inkveil.sources import files, ooxml, pdf
 from inkveil.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,9 +143,6 @@ def redact_dates_cn(spark, sf_dir):
     return _redacted(zh_docs(spark, sf_dir), g2().only("date_cn"))
 
 
-_RANGE = "strftime(o_orderdate,'%Y年%-m月%-d日') || '至' || strftime(o_orderdate + interval 3 day,'%Y年%-m月%-d日')"
-
-
 @query("select o_orderkey as doc_id, 'YYYY年MM月DD日至YYYY年MM月DD日' as redacted from orders")
 def redact_date_ranges(spark, sf_dir):
     text = F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("至"), F.date_format(F.date_add("o_orderdate", 3), "yyyy年M月d日"))
@@ -234,17 +232,31 @@ def chain_g2_full(spark, sf_dir):
     return _redacted(zh_docs(spark, sf_dir), g2())
 
 
-@query()
+_G1 = _sub("text", _EMAIL, "XXXXX@XXXXX")
+_G1 = _sub(_G1, _ID18, rf"\1{'X' * 18}\2")
+_G1 = _sub(_G1, r"(19|20)\d{2}[-/年](0[1-9]|1[0-2])[-/月](0[1-9]|[12]\d|3[01])日?\s*|(19|20)\d{2}年\d{1,2}月\d{1,2}日", "YYYY/MM/DD")
+_G1 = _sub(_G1, r"([^0-9A-Za-z])1[3-9]\d{9}([^0-9A-Za-z])", rf"\1{'X' * 11}\2")
+_G1 = _sub(_G1, "海峡银行|工商银行", "XX银行")
+_G1 = _sub(_G1, "汪晶晶|王伟|李静|张宇轩|日期|手机|邮箱|身份证|更新", "XXX")
+
+
+@query(_zh_sql(_G1))
 def chain_g1_full(spark, sf_dir):
     return _redacted(zh_docs(spark, sf_dir), g1())
 
 
-@query()
+_G3 = _sub("text", _EMAIL, "XXXXX@XXXXX")
+_G3 = _sub(_G3, _ID18, rf"\1{'X' * 18}\2")
+_G3 = _sub(_G3, r"\d{4}年\d{1,2}月\d{1,2}日|\d{4}-\d{2}-\d{2}", "YYYY/MM/DD")
+_G3 = _sub(_G3, r"([^0-9A-Za-z])1[3-9]\d{9}([^0-9A-Za-z])", rf"\1{'X' * 11}\2")
+
+
+@query(_zh_sql(_sub(_G3, "汪晶晶|王伟|李静|张宇轩", "XXX")))
 def chain_g3_full(spark, sf_dir):
     return zh_docs(spark, sf_dir).select("doc_id", packs.redact(F.col("text"), "g3").alias("redacted"))
 
 
-@query()
+@query(_zh_sql(_G3))
 def one_pass_g3(spark, sf_dir):
     return zh_docs(spark, sf_dir).select("doc_id", spans.redact_once(F.col("text"), g3_text()).alias("redacted"))
 
@@ -313,9 +325,12 @@ def changed_only(spark, sf_dir):
     return counts.changed(table(spark, sf_dir, "documents"), g2().only("email")).select("doc_id", "redacted")
 
 
-@query(f"with r as (select {_sub('text', _IP, 'X.X.X.X')} as t from documents) select 'ipv4' as rule_id, 'IP' as category, cast(sum(len(regexp_extract_all(t, '{_IP}'))) as bigint) as n from r having sum(len(regexp_extract_all(t, '{_IP}'))) > 0")
+# numbers that touch Chinese characters stay after the default pack; the audit by digit boundaries finds them
+@query("select 'mobile' as rule_id, 'MOBILE' as category, count(*) as n from orders where o_custkey % 3 = 0 having count(*) > 0")
 def residual_audit(spark, sf_dir):
-    return counts.residual(table(spark, sf_dir, "documents"), g2().only("ipv4"))
+    sep = F.when(F.col("o_custkey") % 3 == 0, "手机").otherwise("手机 ")
+    docs = table(spark, sf_dir, "orders").select(F.concat(sep, (F.lit(13800000000) + F.col("o_custkey")).cast("string"), F.lit(" a@b.cc")).alias("text"))
+    return counts.residual(docs, g2(), audit=g2(strict_digits=True).only("email", "mobile", "id18"))
 
 
 _RESULTS = """r as (select '/in/f' || o_orderkey || '.' || (['docx','xlsx','pdf','PNG'])[cast(o_custkey % 4 as int)+1] as input_path,
@@ -416,27 +431,73 @@ def merge_spans(spark, sf_dir):
     return span_ops.merged(line_spans(spark, sf_dir), ["doc_id"])
 
 
-@query()
+@query(f"""with recursive {_SPANS}, o as (select *, row_number() over (partition by doc_id order by start, "end" desc, replacement) as rn from s where "end" > start),
+w as (select *, "end" as high, true as kept from o where rn = 1 union all
+ select o.*, case when o.start >= w.high then o."end" else w.high end, o.start >= w.high from w join o on o.doc_id = w.doc_id and o.rn = w.rn + 1)
+select doc_id, start, "end", replacement from w where kept""")
 def greedy_spans(spark, sf_dir):
     grouped = line_spans(spark, sf_dir).filter("end > start").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("s"))
     return grouped.select("doc_id", F.inline(spans.greedy(spans.by_start(F.col("s")))))
 
 
 @query(f"""with {_SPANS}, n as (select o_orderkey as doc_id, k as node_idx, k * 8 as node_start, k * 8 + 8 as node_end from orders, (select unnest([0, 1, 2, 3]) as k))
-select s.doc_id, start, "end", replacement, node_idx, start - node_start as local_start, "end" - node_start as local_end from s join n on s.doc_id = n.doc_id and start >= node_start and "end" <= node_end""")
+select s.doc_id, start, "end", replacement, node_idx, start - node_start as local_start, "end" - node_start as local_end from s join n on s.doc_id = n.doc_id and start >= node_start and "end" <= node_end and (start < node_end or node_idx = 3)""")
 def span_node_join(spark, sf_dir):
     nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*map(F.lit, range(4)))).alias("node_idx"))
     nodes = nodes.withColumn("start", F.col("node_idx") * 8).withColumn("end", F.col("start") + 8)
     return span_ops.in_nodes(line_spans(spark, sf_dir), nodes, ["doc_id"]).drop("node_start", "node_end")
 
 
+@query("""select o_orderkey as doc_id, 4 as start, 5 + length(name) as "end", '<' || name || '>' as replacement from (select o_orderkey, (['汪晶晶','王伟','李静','张宇轩'])[cast(o_custkey % 4 as int)+1] as name from orders)
+union all select o_orderkey, 6 + length(name), 6 + 2 * length(name), '<' || name || '>' from (select o_orderkey, (['汪晶晶','王伟','李静','张宇轩'])[cast(o_custkey % 4 as int)+1] as name from orders)""")
+def entity_spans(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("o_custkey") % 4).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), name.alias("text"), F.concat(F.lit("<"), name, F.lit(">")).alias("replacement"))
+    docs = rows.select("doc_id", F.concat(F.lit("经办人："), F.substring("text", 1, 1), F.lit(" "), F.expr("substring(text, 2)"), F.lit("、"), "text", F.lit("。")).alias("text"))
+    return span_ops.entity_spans(docs, rows)
+
+
+@query(f"""with {_SPANS} select doc_id, start, "end", replacement from s where replacement in ('r2','r4','r6') and not exists (select 1 from s o where o.doc_id = s.doc_id and o.replacement not in ('r2','r4','r6') and s.start >= o.start and s.start < o."end")""")
+def spans_outside_others(spark, sf_dir):
+    spans_of = lambda keep: F.filter("s", lambda x: x["replacement"].isin("r2", "r4", "r6") == keep)
+    grouped = line_spans(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("s"))
+    return grouped.select("doc_id", F.inline(spans.outside(spans_of(True), spans_of(False))))
+
+
+@query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as number from lineitem")
+def numbered_rows(spark, sf_dir):
+    return span_ops.numbered(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", F.col("number").cast("long").alias("number"))
+
+
+@query(_zh_sql(_sub("text", "福建海峡银行", "[BANK]")))
+def config_lexicon(spark, sf_dir):
+    text = '{"bank_names": ["${OWN_BANK}"], "replacements": {"BANK": "[BANK]"}}'
+    own = config.lexicon(json.loads(config.interpolated(text, {"OWN_BANK": "福建海峡银行"})))
+    return _redacted(zh_docs(spark, sf_dir), g2(own).only("bank"))
+
+
+@query(f"select doc_id, {_sub(_sub('text', _EMAIL, 'XXXXX@XXXXX'), _IP, 'X.X.X.X')} as redacted from documents")
+def sql_function(spark, sf_dir):
+    sql.register(spark, g2().only("email", "ipv4"), "redact_contacts")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "redact_contacts(text) as redacted")
+
+
+@query("select o_orderkey as doc_id, (['logo_a','XX银行_XXXX/XX/XX'])[cast(o_orderkey % 2 as int)+1] || '.png' as name, true as logo from orders")
+def media_names(spark, sf_dir):
+    name = F.concat(F.get(F.array(F.lit("logo_a"), F.lit("中国银行_2024-01-02")), (F.col("o_orderkey") % 2).cast("int")), F.lit(".png"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), files.media_name(name).alias("name"), files.is_logo(name).alias("logo"))
+
+
 @query("select o_orderkey as doc_id, o_orderpriority[1:1] || '<a>' || o_orderpriority[4:5] || '<b>' || o_orderpriority[7:] as redacted from orders")
 def apply_spans(spark, sf_dir):
     cut = F.expr("array(struct(1 as start, 3 as end, '<a>' as replacement), struct(5 as start, 6 as end, '<b>' as replacement))")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), spans.applied(F.col("o_orderpriority"), cut).alias("redacted"))
 
 
-@query()
+@query(f"""with {_ZH}, n as (select doc_id, generate_subscripts(string_split(text, '，'), 1) - 1 as k, unnest(string_split(text, '，')) as t from zh),
+o as (select *, cast(coalesce(sum(length(t)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as a from n)
+select doc_id, cast(k as int) as node_idx, case when a + length(t) <= 6 or a >= 20 then t else
+ substr(t, 1, greatest(6 - a, 0)) || case when a <= 6 then '###' else '' end || substr(t, greatest(20 - a, 0) + 1) end as text from o""")
 def redistribute_runs(spark, sf_dir):
     nodes = zh_docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "，", -1)).alias("node_idx", "text"))
     nodes = span_ops.offsets(nodes, ["doc_id"], ["node_idx"])
@@ -444,7 +505,10 @@ def redistribute_runs(spark, sf_dir):
     return span_ops.redistributed(nodes, cuts, ["doc_id"], ["node_idx"]).select("doc_id", "node_idx", "text")
 
 
-@query()
+@query("""with recursive p as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as para, length(unnest(string_split(text, chr(10)))) as n from documents),
+w as (select doc_id, para, n as size, 0 as batch from p where para = 0 union all
+ select p.doc_id, p.para, case when w.size + p.n > 200 then p.n else w.size + p.n end, w.batch + case when w.size + p.n > 200 then 1 else 0 end from w join p on p.doc_id = w.doc_id and p.para = w.para + 1)
+select doc_id, cast(para as bigint) as para, batch from w""")
 def batch_pack_200(spark, sf_dir):
     paras = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para", "text"))
     return span_ops.packed(paras, ["doc_id"], "para")
@@ -475,10 +539,22 @@ def detect_date_ranges(spark, sf_dir):
     return detect.date_ranges(docs).select("doc_id", "text", "replacement")
 
 
-@query()
+_PERIOD = "strftime(o_orderdate,'%Y年%-m月%-d日') || '至' || strftime(o_orderdate,'%Y年%-m月%-d日')"
+_FOUND = f"""e as (select o_orderkey as doc_id, (['汪晶晶','王伟','李静','张宇轩'])[cast(o_custkey % 4 as int)+1] as text, 'XXX' as replacement, 'NAME' as category, 0.85::double as confidence, 'role_word' as source from orders
+ union all select o_orderkey, {_PERIOD}, 'YYYY年MM月DD日至YYYY年MM月DD日', 'DATE', 0.95::double, 'regex' from orders)"""
+
+
+def found_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name and a range of dates for every order."""
+    day = F.date_format("o_orderdate", "yyyy年M月d日")
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("o_custkey") % 4).cast("int"))
+    text = F.concat(F.lit("联系人："), name, F.lit("，期限 "), day, F.lit("至"), day, F.lit(" 止"))
+    return detect.detected(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+
+
+@query(f"with {_FOUND} select *, cast(null as varchar) as evidence from e")
 def detect_all_layers(spark, sf_dir):
-    docs = zh_docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("经办人："), F.lit("联系人：")))
-    return detect.detected(docs)
+    return found_entities(spark, sf_dir)
 
 
 @query(f"with {_ZH} select doc_id, text as para from zh")
@@ -500,14 +576,22 @@ def entities_longest_first(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", detect.entities_replaced(F.col("text"), found).alias("redacted"))
 
 
-@query()
+@query("""select o_orderkey as doc_id, '{"doc_id":' || o_orderkey || ',"entities":[{"text":"****","replacement":"XXX","category":"NAME","confidence":0.85,"source":"role_word"},{"text":"'
+ || strftime(o_orderdate, '%Y') || '****","replacement":"YYYY年MM月DD日至YYYY年MM月DD日","category":"DATE","confidence":0.95,"source":"regex"}],"stats":{"DATE":1,"NAME":1}}' as manifest from orders""")
 def manifest_json(spark, sf_dir):
-    return report.manifests(detect_all_layers(spark, sf_dir))
+    return report.manifests(found_entities(spark, sf_dir))
 
 
-@query("select category, count(*) as n from (select 'NAME' as category from orders union all select 'DATE' from orders where false) group by 1")
+@query("""select o_orderkey as doc_id, '| category | n |' || chr(10) || '|---|---|' || chr(10) || '| DATE | 1 |' || chr(10) || '| NAME | 1 |' || chr(10) || chr(10)
+ || '| # | text | replacement | category | confidence | source |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) || '| 1 | ' || strftime(o_orderdate, '%Y')
+ || '**** | YYYY年MM月DD日至YYYY年MM月DD日 | DATE | 95% | regex |' || chr(10) || '| 2 | **** | XXX | NAME | 85% | role_word |' || chr(10) as markdown from orders""")
+def manifest_markdown(spark, sf_dir):
+    return report.manifest_markdown(found_entities(spark, sf_dir))
+
+
+@query(f"with {_FOUND} select category, count(*) as n from e group by 1")
 def category_counts(spark, sf_dir):
-    return report.categories(detect_all_layers(spark, sf_dir))
+    return report.categories(found_entities(spark, sf_dir))
 
 
 # ---- boxes and pictures
@@ -523,21 +607,96 @@ def ocr_boxes_pad_clamp(spark, sf_dir):
     return boxes.ocr_rows(images).select(F.col("img").alias("event_id"), box.alias("b")).filter("b is not null").select("event_id", "b.*")
 
 
-@query()
+@query("""with recursive b as (select l_orderkey, cast(l_linenumber * 60 + l_partkey % 40 as int) as x, cast(l_suppkey % 30 as int) as y from lineitem),
+o as (select *, row_number() over (partition by l_orderkey order by x, y) as rn from b),
+w as (select l_orderkey, rn, x as x1, y as y1, x + 30 as x2, y + 12 as y2, 0 as grp from o where rn = 1 union all
+ select l_orderkey, orn, case when near then least(x1, x) else x end, case when near then least(y1, y) else y end, case when near then greatest(x2, x + 30) else x + 30 end,
+ case when near then greatest(y2, y + 12) else y + 12 end, case when near then grp else grp + 1 end
+ from (select w.*, o.x, o.y, o.rn as orn, x - x2 < 50 and y < y2 and y + 12 > y1 as near from w join o on o.l_orderkey = w.l_orderkey and o.rn = w.rn + 1) j)
+select l_orderkey, arg_max(x1, rn) as x1, arg_max(y1, rn) as y1, arg_max(x2, rn) as x2, arg_max(y2, rn) as y2 from w group by l_orderkey, grp""")
 def merge_boxes(spark, sf_dir):
     x, y = (F.col("l_linenumber") * 60 + F.col("l_partkey") % 40).cast("int"), (F.col("l_suppkey") % 30).cast("int")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), (y + 12).alias("y2")).alias("b"))
     return rows.groupBy("l_orderkey").agg(F.collect_list("b").alias("bs")).select("l_orderkey", F.inline(boxes.merged(F.col("bs"))))
 
 
-@query("select vec_id, cast(192 as bigint) as n_bytes from embeddings")
-def mosaic_pictures(spark, sf_dir):
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of 8 x 8 pixels in three channels for every vector, with one box."""
     pixel = F.expr("transform(embedding, x -> chr(cast(abs(x) * 1000 as int) % 128))")
-    rows = table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"),
         F.encode(F.repeat(F.array_join(pixel, ""), F.lit(3)), "ISO-8859-1").alias("data"), F.expr("array(struct(1 as x1, 1 as y1, 6 as x2, 6 as y2))").alias("boxes"),
     )
-    return pixels.mask(rows).select(F.col("origin").cast("long").alias("vec_id"), F.length("data").cast("long").alias("n_bytes"))
+
+
+_PIXELS = "p as (select vec_id, list_transform(embedding, lambda x: cast(trunc(abs(x) * 1000::float) as int) % 128) as e from embeddings), d as (select vec_id, list_concat(list_concat(e, e), e) as d from p)"
+
+
+def _masked_sql(inside: str) -> str:
+    """The bytes of each picture as text, where a byte inside the box comes from `inside` (of its place k)."""
+    box = "k // 24 between 1 and 5 and k % 24 // 3 between 1 and 5"
+    return f"with {_PIXELS} select vec_id, md5(array_to_string(list_transform(range(0, 192), lambda k: case when {box} then {inside} else d[k + 1] end), ',')) as digest from d"
+
+
+def _digest(masked: DataFrame) -> DataFrame:
+    listed = F.transform(F.sequence(F.lit(1), F.lit(192)), lambda k: F.conv(F.hex(F.substring("data", k, F.lit(1))), 16, 10))
+    return masked.select(F.col("origin").cast("long").alias("vec_id"), F.md5(F.array_join(listed, ",")).alias("digest"))
+
+
+# the box of 5 x 5 becomes 2 x 2 cells: rows and columns 0 to 2 show the first pixel, 3 and 4 the third
+@query(_masked_sql("d[(1 + case when k // 24 < 4 then 0 else 2 end) * 24 + (1 + case when k % 24 // 3 < 4 then 0 else 2 end) * 3 + k % 3 + 1]"))
+def mosaic_pictures(spark, sf_dir):
+    return _digest(pixels.mask(pictures(spark, sf_dir)))
+
+
+@query(_masked_sql("0"))
+def black_pictures(spark, sf_dir):
+    return _digest(pixels.mask(pictures(spark, sf_dir), "black"))
+
+
+@query(f"with {_PIXELS} select vec_id, list_unique(list_transform(range(0, 64), lambda k: cast(floor((d[3 * k + 1] + d[3 * k + 2] + d[3 * k + 3]) / 3.0) as int))) as levels from d")
+def picture_levels(spark, sf_dir):
+    return pixels.mask(pictures(spark, sf_dir), "whole").select(F.col("origin").cast("long").alias("vec_id"), F.col("levels").cast("long").alias("levels"))
+
+
+@query("select event_id, value < 60 or (value > 0.05 and user_id % 10 > 3) or user_id % 10 > 6 as logo, greatest(user_id % 640 - 320, 0) as x1, greatest(event_id % 480 - 60, 0) as y1, least(user_id % 640 + 60, 640) as x2, least(event_id % 480 + 80, 480) as y2 from events")
+def logo_regions(spark, sf_dir):
+    share = (F.col("user_id") % 10) / 10
+    box = pixels.logo_box(F.col("user_id") % 640, F.col("event_id") % 480, F.lit(40), F.lit(20), F.lit(640), F.lit(480))
+    rows = table(spark, sf_dir, "events").select("event_id", pixels.logo_region(F.col("value"), F.col("value"), share).alias("logo"), box.alias("b"))
+    return rows.select("event_id", "logo", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+# ---- pages of PDF files
+
+
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages for every web page: one with a text block for each of its url's parts, one with a picture."""
+    box = "named_struct('x0', cast(i as double), 'y0', 1d, 'x1', i + 10d, 'y1', 9d)"
+    line = f"named_struct('spans', array(named_struct('text', t, 'bbox', {box}, 'size', 6d + i)))"
+    blocks = F.expr(f"transform(split(concat(url, '/mail@bank.com'), '/', -1), (t, i) -> named_struct('type', cast(i % 5 = 4 as int), 'lines', array({line})))").cast(pdf.BLOCKS)
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("/in/"), F.col("page_id"), F.lit(".pdf")).alias("path"), "page_id", blocks.alias("b"))
+    page = F.explode(F.array(F.struct(F.lit(0).alias("page"), F.when(F.col("page_id") % 4 > 0, F.col("b")).alias("blocks")), F.struct(F.lit(1).alias("page"), F.array().cast(pdf.BLOCKS).alias("blocks"))))
+    return pages.select("path", page.alias("p")).select("path", "p.*")
+
+
+@query("select '/in/' || page_id || '.pdf' as path, case when page_id % 4 > 0 then 'text' else 'image_scan' end as kind from pages")
+def pdf_kinds(spark, sf_dir):
+    return pdf.kinds(pdf_pages(spark, sf_dir))
+
+
+_PDF = """s as (select page_id, generate_subscripts(string_split(url || '/mail@bank.com', '/'), 1) - 1 as i, unnest(string_split(url || '/mail@bank.com', '/')) as text from pages where page_id % 4 > 0)"""
+
+
+@query(f"with {_PDF} select '/in/' || page_id || '.pdf' as path, 0 as page, cast(i as int) as block, 0 as line, 0 as span, text, cast(i as double) as x0, cast(6 + i as double) as size from s where i % 5 <> 4")
+def pdf_text_spans(spark, sf_dir):
+    return pdf.text_spans(pdf_pages(spark, sf_dir)).select("path", "page", "block", "line", "span", "text", F.col("bbox.x0").alias("x0"), "size")
+
+
+@query(f"with {_PDF} select '/in/' || page_id || '.pdf' as path, cast(i as int) as block, cast(i - 2 as double) as x0, {_sub('text', _EMAIL, 'XXXXX@XXXXX')} as redacted, greatest((6.0 + i) * 0.75, 6.0)::double as font_size from s where i % 5 <> 4 and regexp_matches(text, '{_EMAIL}')")
+def pdf_overlays(spark, sf_dir):
+    made = pdf.overlays(pdf.text_spans(pdf_pages(spark, sf_dir)), g2().only("email"))
+    return made.select("path", "block", F.col("box.x0").alias("x0"), "redacted", "font_size")
 
 
 # ---- documents and streams
