@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +102,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def give_back() -> None:
-    """At the end of a task: returns freed memory to the system, since workers live on beside later stages."""
+    """At the end of a task, or before one that needs much: returns freed memory to the system, since workers live on beside later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import bounded_batches, fold, stored
+from inkveil.llm.common import bounded_batches, fold, give_back, stored
 
 BITS = 16
 UNDETERMINED = "und"
@@ -162,6 +162,7 @@ def _accepted(batches: Iterator[pa.RecordBatch], text_col: str, langs: list[str]
     for batch in batches:
         judged = _judged(batch.column(text_col).to_pylist(), langs, table.value)
         yield batch.filter(pa.array([lang != UNDETERMINED and known for lang, _, _, known in judged], pa.bool_()))
+    give_back()
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_fold: int = 0) -> DataFrame:

@@ -43,8 +43,8 @@ def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         length += len(data) + 1
     if waiting:
         yield from _hashed(waiting)
-    for k in range(2) if len(_powers[0]) > 64 * BLOCK else ():  # a very long text does not keep its tables
-        _powers[k] = np.zeros(0, np.uint64)
+    if len(_powers[0]) > 4 * BLOCK:  # the tables for a very long text do not stay with an idle worker
+        _powers[:] = [x[: 2 * BLOCK].copy() for x in _powers]
 
 
 def _hashed(texts: list[bytes]) -> list[np.ndarray]:

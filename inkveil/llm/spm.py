@@ -30,9 +30,9 @@ FOREIGN = 1 << 24
 class Pieces:
     """The pieces of a model of type BPE with byte fallback, and what has been encoded by them so far (bounded)."""
 
-    limit = 300_000
+    limit = 150_000
     #: Chunks that are indexed and relaxed together.
-    together = 60_000
+    together = 20_000
     #: Chunks of more bytes are relaxed one by one instead of all at once.
     long = 512
 
@@ -145,6 +145,8 @@ class Pieces:
             e = e[last[start[e]] > -2]
             e = e[self.may_follow(last[start[e]], piece[e])] if len(e) else e
             last[end[e]], back[end[e]] = piece[e], start[e]
+        if (last[first + size] == -2).any():
+            raise ValueError("a chunk has no segmentation by this model's pieces and merges")
         # from the ends back to the starts, all chunks together
         owner, step, found = [], [], []
         live, at = np.arange(len(chunks)), first + size
@@ -256,6 +258,7 @@ def pieces(path: str) -> Pieces:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], text_col: str, path: str) -> Iterator[pa.RecordBatch]:
+    give_back()  # what an earlier stage's tasks left in this worker
     model = pieces(path)
     for batch in batches:
         texts = [t or "" for t in batch.column(text_col).to_pylist()]
@@ -276,7 +279,7 @@ def encoded(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataF
     A text with the character U+2581, which the model uses for blanks, decodes with blanks. `path` is a model file that
     every executor has. Rows are independent of each other; an empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession, 2000, 4)
+    bounded_batches(docs.sparkSession, 1000, 2)
     rows = docs.drop("piece_ids", "n_pieces", "round_trip")
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInArrow(partial(_encoded, text_col=text_col, path=path), f"{fields}, piece_ids array<int>, n_pieces long, round_trip boolean")
@@ -295,7 +298,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], ids_col: str, path: str) -> Iter
 
 def decoded(encodings: DataFrame, ids_col: str = "piece_ids", path: str = MODEL) -> DataFrame:
     """The columns of `encodings` and `decoded`: the text of the piece ids; null for null ids, bytes that are no UTF-8 as U+FFFD."""
-    bounded_batches(encodings.sparkSession, 2000, 4)
+    bounded_batches(encodings.sparkSession, 1000, 2)
     rows = encodings.drop("decoded")
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInArrow(partial(_decoded, ids_col=ids_col, path=path), f"{fields}, decoded string")
