@@ -15,7 +15,7 @@ from inkveil.llm.common import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a determined language, or in which no language has half of the text."""
+    """Rejects documents without a letter, and those that noise explains better than any set of languages."""
     return langid.accepted(docs)
 
 
@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", sentencepiece),
 ]
 
-#: SQL has no mixture inference, consistent sampling or piece lattice: the stages are tested against brute force.
+#: SQL has no mixture inference, consistent sampling or piece lattice: tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
