@@ -7,7 +7,9 @@ by a number in [0, 1) that its identifier and the seed fix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import stored, words
@@ -28,37 +30,45 @@ def topic(text: Column, topics: list[tuple[str, str]] = TOPICS) -> Column:
 
 
 def tempered(cells: DataFrame, dimension: str, alpha: float) -> DataFrame:
-    """Target share of each value of a dimension: its share of the tokens to the power alpha, normalised."""
-    shares = cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("p"))
-    return shares.select(dimension, (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(0)))).alias("target"))
+    """Target share of each value of a dimension: its share of the tokens to the power alpha, normalised. Without any tokens all are 0."""
+    shares = stored(cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("p")), "shares")
+    total = shares.agg(F.sum("p")).first()[0] or 0.0
+    return shares.select(dimension, (F.col("p") / F.lit(total) if total else F.lit(0.0)).alias("target"))
+
+
+def weighed(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+    """The cells with `weight`: their share of the tokens times the factor of their value in each dimension (`factor_<dimension>`)."""
+    now, weight = cells, F.col("base")
+    for d, table in factors.items():
+        now = now.join(table.select(F.col(d).alias("key"), F.col("factor").alias(f"factor_{d}")), F.col(d).eqNullSafe(F.col("key"))).drop("key")
+        weight *= F.col(f"factor_{d}")
+    return now.withColumn("weight", weight)
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-6, block: int = 5) -> DataFrame:
-    """The cells with `weight`: share of the mixture's tokens, whose sums over each value of each dimension meet the targets.
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+    """The stored cells with `weight`: share of the mixture's tokens, whose sums over each value of each dimension meet the targets.
 
     `targets` maps a dimension to a table (value, target); values without a target get weight 0. Cells with zero tokens stay at
-    zero. Marginals that no weights can meet together end after `rounds` rounds, with the last dimension's exact.
-    Every `block` rounds the cells are stored, which ends their lineage, and the largest deviation is looked at.
+    zero. A weight is the cell's share of all tokens times one factor for its value in each dimension. A step sums the weights of each value
+    of one dimension (partial sums first, so that a value with most cells is no task's own) and stores that dimension's new factors;
+    Spark broadcasts a stored table of factors if its size allows. Rounds end when no sum was off its target by more than `tolerance`;
+    marginals that no weights can meet together end after `rounds` rounds, with the last dimension's exact.
     """
-    total = Window.partitionBy(F.lit(0))
-    now = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(total))
-    for d, target in targets.items():
-        one = target.select(F.col(d).alias(f"{d}_key"), F.col("target").alias(f"target_{d}"))
-        now = now.join(one, F.col(d).eqNullSafe(F.col(f"{d}_key")), "left").drop(f"{d}_key").fillna(0.0, [f"target_{d}"])
-    now = stored(now, "cells")
-    for _ in range(0, rounds, block):
-        for _ in range(block):
-            for d in targets:
-                margin = F.sum("weight").over(Window.partitionBy(d))
-                now = now.withColumn("weight", F.when(margin > 0, F.col("weight") * F.col(f"target_{d}") / margin).otherwise(F.lit(0.0)))
-        now = stored(now, "cells")
-        off = [now.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"target_{d}")).alias("off")) for d in targets]
-        worst = off[0]
-        for x in off[1:]:
-            worst = worst.select("off").unionByName(x.select("off"))
-        if (worst.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+    total = cells.agg(F.sum("tokens")).first()[0]
+    cells = cells.withColumn("base", F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0))
+    goals = {d: stored(target.select(F.col(d).alias("key"), "target"), "targets") for d, target in targets.items()}
+    factors: dict[str, DataFrame] = {}
+    for _ in range(rounds):
+        for d, goal in goals.items():
+            old = F.max(f"factor_{d}") if d in factors else F.lit(1.0)
+            margins = weighed(cells, factors).groupBy(d).agg(F.sum("weight").alias("margin"), old.alias("old"))
+            found = margins.join(goal, F.col(d).eqNullSafe(F.col("key")), "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+            scaled = F.when(F.col("margin") > 0, F.col("old") * F.col("target") / F.col("margin")).otherwise(F.lit(0.0))
+            factors[d] = stored(found.select(d, scaled.alias("factor"), F.abs(F.col("margin") - F.col("target")).alias("off")), "factors")
+        off = reduce(DataFrame.unionByName, [f.select("off") for f in factors.values()])
+        if (off.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    return now.drop(*[f"target_{d}" for d in targets])
+    return weighed(cells, factors).drop("base", *[f"factor_{d}" for d in factors])
 
 
 def uniform(id_col: Column, seed: str = "mix") -> Column:
@@ -84,11 +94,11 @@ def mixed(
     )
     cells = stored(packed.groupBy(*DIMENSIONS).agg(F.sum(F.size(words(text)).cast("long")).alias("tokens")), "tokens")
     goal = targets or {d: tempered(cells, d, alpha) for d in DIMENSIONS}
-    share = F.col("weight") / (F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0))))
-    rate = F.when(F.col("tokens") > 0, share).otherwise(F.lit(0.0))
-    rates = raked(cells, goal).withColumn("rate", rate)
-    rates = rates.withColumn("probability", F.when(F.col("rate") > 0, F.col("rate") / F.max("rate").over(Window.partitionBy(F.lit(0)))).otherwise(F.lit(0.0)))
-    rates = rates.select(*[F.col(d).alias(f"{d}_key") for d in DIMENSIONS], "weight", "probability")
+    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
+    rates = stored(raked(cells, goal).withColumn("rate", rate), "rates")
+    top = rates.agg(F.max("rate")).first()[0] or 0.0
+    probability = F.col("rate") / F.lit(top) if top else F.lit(0.0)
+    rates = rates.select(*[F.col(d).alias(f"{d}_key") for d in DIMENSIONS], "weight", probability.alias("probability"))
     same = [F.col(d).eqNullSafe(F.col(f"{d}_key")) for d in DIMENSIONS]
     if cells.count() <= BROADCAST_CELLS:
         joined = packed.join(F.broadcast(rates), same, "left")

@@ -260,3 +260,8 @@ def test_mixing_against_plain_raking(spark):
     for r in got.itertuples():
         assert r.probability == pytest.approx(rate[r.source, r.lang] / max(rate.values()), rel=1e-4)
     assert mixing.decisions(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_mixing_without_tokens(spark):
+    docs = spark.createDataFrame([(1, "", "a", "en"), (2, None, None, None)], "doc_id long, text string, source string, lang string")
+    assert [(r.weight, r.probability, r.kept) for r in mixing.decisions(docs).collect()] == [(0.0, 0.0, False)] * 2
