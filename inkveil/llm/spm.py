@@ -25,6 +25,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Ids from here on stand for characters without a piece, while a batch is encoded.
 FOREIGN = 1 << 24
+#: Texts that are encoded and decoded together: their chunks are Python strings.
+ROWS = 250
 
 
 class Pieces:
@@ -227,8 +229,12 @@ def occurrences(texts: list[bytes], words: np.ndarray, lengths: np.ndarray, ids:
     n, width = len(text), words.shape[1]
     order, head = suffix_array(text, 8 * width)
     head = np.append(head, np.zeros(8 * width, np.uint64))
-    covered = np.clip(lengths[:, None] - 8 * np.arange(width), 0, 8)
-    mask = np.where(covered > 0, ~np.uint64(0) << ((8 - covered) * 8).clip(0, 63).astype(np.uint64), np.uint64(0))
+    # for each word of 8 bytes: the pieces that are so long, their bytes there, and a mask of these bytes
+    parts = []
+    for k in range(width):
+        at = np.flatnonzero(lengths > 8 * k)
+        spare = 8 * (8 - np.minimum(lengths[at] - 8 * k, 8)).astype(np.uint64)
+        parts.append((8 * k, at, words[at, k], ~np.uint64(0) << spare))
 
     def border(after: bool) -> np.ndarray:
         """The first suffix not below a piece, or (after) the first that is above all its extensions."""
@@ -237,10 +243,10 @@ def occurrences(texts: list[bytes], words: np.ndarray, lengths: np.ndarray, ids:
             mid = (low + high) // 2
             suffix = order[np.minimum(mid, n - 1)]
             less, equal = np.zeros(len(words), bool), np.ones(len(words), bool)
-            for k in range(width):
-                own = head[suffix + 8 * k] & mask[:, k]
-                less |= equal & (own < words[:, k])
-                equal &= own == words[:, k]
+            for skip, at, part, mask in parts:
+                own = head[suffix[at] + skip] & mask
+                less[at] |= equal[at] & (own < part)
+                equal[at] &= own == part
             right = (less | equal if after else less) & (low < high)
             low, high = np.where(right, mid + 1, low), np.where(right | (low >= high), high, mid)
         return low
@@ -260,7 +266,7 @@ def pieces(path: str) -> Pieces:
 def _encoded(batches: Iterator[pa.RecordBatch], text_col: str, path: str) -> Iterator[pa.RecordBatch]:
     give_back()  # what an earlier stage's tasks left in this worker
     model = pieces(path)
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         texts = [t or "" for t in batch.column(text_col).to_pylist()]
         ids, starts = model.encoded(texts)
         back = [a == b for a, b in zip(model.decoded(ids, starts), texts, strict=True)]
