@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import chat, exact_dedup, langid, lm, mixing, near_dedup, quality, secrets, spm, sql, urls
+from inkveil.llm import chat, exact_dedup, langid, lm, mixing, near_dedup, quality, secrets, spm, sql, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(_read(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, pipeline)
+    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, op11_warc, pipeline)
     return {q.__name__: q for q in found}
 
 

@@ -51,4 +51,11 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY}
+WARC = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+g as (select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as keep from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> keep then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> keep then keep end as refers_to from g
+"""
+
+ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY, "op11_warc": WARC}
