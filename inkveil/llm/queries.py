@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import chat, exact_dedup, langid, lm, mixing, near_dedup, quality, secrets, spm, sql, urls, warc
+from inkveil.llm import chat, exact_dedup, langid, lm, mixing, near_dedup, phrases, quality, secrets, spm, sql, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, op11_warc, pipeline)
+    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, op11_warc, op12_phrases, pipeline)
     return {q.__name__: q for q in found}
 
 

@@ -58,4 +58,21 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 a
   case when payload_bytes >= 1000 and page_id <> keep then keep end as refers_to from g
 """
 
-ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY, "op11_warc": WARC}
+PHRASES = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') as ws from d),
+t as (select lang, cast(sum(len(ws)) as bigint) as n from p group by lang),
+g as (select lang, m, ws[i:i + m - 1] as ph from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from p, (select unnest([1, 2, 3, 4, 5]) as m) where len(ws) >= m)),
+f as (select lang, m, ph, count(*) as a from g group by lang, m, ph having count(*) >= 100),
+k as (select f.lang, f.m, f.ph, f.a, unnest(range(1, f.m)) as k from f where f.m >= 2),
+c as (select k.*, x.a as l, y.a as r, t.n, (1000::hugeint * k.a * t.n) // (x.a::hugeint * y.a) as score
+  from k join t on t.lang = k.lang join f x on x.lang = k.lang and x.ph = k.ph[1:k.k] join f y on y.lang = k.lang and y.ph = k.ph[k.k + 1:k.m]),
+b as (select * from c qualify row_number() over (partition by lang, ph order by score, k) = 1),
+inside as (select lang, ph[1:m - 1] as ph, a from f where m > 2 union all select lang, ph[2:m], a from f where m > 2),
+u as (select b.* from b where not exists (select 1 from inside i where i.lang = b.lang and i.ph = b.ph and i.a >= b.a)),
+o as (select lang, array_to_string(ph, ' ') as phrase, a, l, r, n, score from u)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score
+from o qualify rank <= 2000
+"""
+
+ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY, "op11_warc": WARC, "op12_phrases": PHRASES}
