@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import chat, exact_dedup, langid, lm, mixing, near_dedup, phrases, quality, secrets, spm, sql, urls, warc
+from inkveil.llm import chat, exact_dedup, langid, lm, mixing, near_dedup, phrases, quality, secrets, spm, sql, trie, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(_read(spark, sf_dir, "documents"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.ordered(_read(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, op11_warc, op12_phrases, pipeline)
+    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, op11_warc, op12_phrases, op13_trie, pipeline)
     return {q.__name__: q for q in found}
 
 

@@ -75,4 +75,21 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 from o qualify rank <= 2000
 """
 
-ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY, "op11_warc": WARC, "op12_phrases": PHRASES}
+TRIE = """
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as d, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+h as (select c, n, c - c % 5 as b, xor(list_reduce([4294967295::bigint] || flatten(list_transform(string_split(c::varchar, ''), lambda ch: list_transform(range(0, 8), lambda j: (ord(ch)::bigint >> j::bigint) & 1))),
+    lambda x, y: case when xor(x, y) & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end), 4294967295::bigint) % 9 as h from (select c, count(*) as n from t group by c)),
+r as (select h.c, t.d, role, text from h join t on t.c = h.b where t.d <= h.h
+  union all select h.c, least(h.h, coalesce(z.n, 0)) + t.d - h.h, role, text from h join t on t.c = h.c left join h z on z.c = h.b where t.d > h.h),
+s as (select h.c, coalesce(list({'r': role, 't': text} order by d) filter (where d is not null), []) as q from h left join r on r.c = h.c group by h.c),
+p as (select c, k as depth, q[1:k] as pre, len(q) = k as done from (select c, q, unnest(range(0, len(q) + 1)) as k from s)),
+v as (select pre, depth, min(c) as conv_id, count(*) as n_convs, case when depth = 0 then 0 else strlen(pre[depth].t) end as bytes,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where done), '')) as ends_sha256 from p group by pre, depth),
+k as (select pre[1:depth - 1] as pre, count(*) as n from v where depth > 0 group by 1),
+u as (select pre[1:i] as pre, sum((n_convs - 1) * bytes) as saved, count(*) filter (where leaf) as leaves
+  from (select v.pre, n_convs, bytes, k.n is null as leaf, unnest(range(0, depth + 1)) as i from v left join k on k.pre = v.pre) group by 1)
+select v.conv_id, v.depth, w.conv_id as parent_conv_id, v.n_convs, coalesce(k.n, 0) as n_children, u.leaves as n_leaves, cast(u.saved as bigint) as saved_tokens, v.ends_sha256
+from v join u on u.pre = v.pre left join k on k.pre = v.pre left join v w on v.depth > 0 and w.pre = v.pre[1:v.depth - 1]
+"""
+
+ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY, "op11_warc": WARC, "op12_phrases": PHRASES, "op13_trie": TRIE}
