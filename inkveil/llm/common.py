@@ -92,6 +92,22 @@ def joined_by_key(rows: DataFrame, one: DataFrame, keys: list[str], size: str) -
     return rows.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
 
 
+def decided_by_key(rows: DataFrame, one: DataFrame, key: str, value: str, size: str) -> DataFrame:
+    """Left join that adds column `value` (null: no such key) from a stored table with one row for each key and, in column `size`, about how many rows the key has.
+
+    Rows of hot keys (at most HOT_SHARE) are decided by a broadcast. In the join of the others they, and rows without a key, take keys of their own, so that
+    they do not meet in one task.
+    """
+    total = one.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    cut = max(HOT_SHARE, total // HOT_SHARE)
+    hot = one.filter(F.col(size) >= cut).select(F.col(key).alias("__hot"), F.col(value).alias("__hot_value"))
+    cold = one.filter(F.col(size) < cut).select(F.col(key).alias("__cold"), F.col(value).alias("__cold_value"))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    open_key = F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("+"), F.col(key))).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    rows = rows.withColumn("__open", open_key).join(cold.withColumn("__cold", F.concat(F.lit("+"), "__cold")), F.col("__open") == F.col("__cold"), "left")
+    return rows.withColumn(value, F.coalesce("__hot_value", "__cold_value")).drop("__hot", "__hot_value", "__open", "__cold", "__cold_value")
+
+
 def fold(id_col: Column, mod: int = 5) -> Column:
     """crc32 of the id as text, modulo `mod`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % mod

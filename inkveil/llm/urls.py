@@ -1,6 +1,6 @@
 """URL filters: fixed host and path rules, then association rules mined from labels.
 
-Every labelled URL is a transaction of its tokens. Rules {tokens} -> bad with enough
+Every labelled URL is a transaction of its tokens, and Spark's FP-growth mines their combinations. Rules {tokens} -> bad with enough
 support and confidence, and without a shorter rule that is as confident, are stored in an inverted index under
 their rarest token. A page looks up its tokens there and is blocked if all tokens of a rule found are among its own.
 """
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import ascii_lower, stored
+from inkveil.llm.common import ascii_lower, decided_by_key, partitions, stored
 
 #: action, host, path.
 RULES = [
@@ -58,71 +59,97 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(single, labels, steps, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def itemsets(urls: DataFrame, singles: list[tuple[int, int]], least: int) -> dict[tuple[int, ...], tuple[int, int]]:
-    """How many urls have the items, and how many of these are bad, of every itemset that a rule may need, level by level.
-
-    urls: items (sorted array of numbers), n, bad; singles: n and bad of each item. Needed are itemsets with `least` bad urls at
-    least of which no part has the same urls (else that part is a rule as confident) and no part has bad urls alone (nothing is more confident).
-    """
-    found = {(i,): x for i, x in enumerate(singles)}
-    sets = [x for x, (n, bad) in found.items() if bad < n]
-    numbers = [(-1, i, k) for k, (i,) in enumerate(sets)]
-    # a row for each open itemset of a url, with the url's later items
-    now = urls.select(F.lit(-1).alias("set"), F.col("items").alias("rest"), "n", "bad")
-    while numbers:
-        opened = F.broadcast(urls.sparkSession.createDataFrame(numbers, "set int, item int, next int"))
-        longer = now.select("set", "rest", "n", "bad", F.explode("rest").alias("item")).join(opened, ["set", "item"])
-        longer = longer.select(F.col("next").alias("set"), F.filter("rest", lambda x: x > F.col("item")).alias("rest"), "n", "bad")
-        now = stored(longer.filter(F.size("rest") > 0).groupBy("set", "rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "itemsets")
-        counts = now.select("set", "n", "bad", F.explode("rest").alias("item")).groupBy("set", "item").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        held, later, numbers = set(sets), [], []
-        for k, item, n, bad in counts.filter(F.col("bad") >= least).select("set", "item", "n", "bad").collect():
-            items = (*sets[k], item)
-            parts_of = [items[:j] + items[j + 1 :] for j in range(len(items))]
-            if all(x in held and found[x][0] > n for x in parts_of):
-                found[items] = n, bad
-                if bad < n:
-                    numbers.append((k, item, len(later)))
-                    later.append(items)
-        sets = later
-    return found
+#: Marks a bad URL in its transaction; no token is empty.
+_BAD = ""
+#: Up to so many entries (rules have a few tokens each) an index is broadcast, else it is joined.
+BROADCAST = 20_000
 
 
-def mined(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10) -> DataFrame | None:
-    """Rules from rows (tokens, bad): rule_tokens, confidence, support, anchor; None where fewer than `min_count` urls are labelled.
+def _items(rows: DataFrame, labelled_urls: int, least: int) -> DataFrame:
+    """token, item, n, bad of the tokens that a rule may have: those of `least` bad urls at least that are not in every url.
 
-    A rule needs the support and at least `min_count` urls, so that a few labels do not make rules of single pages.
-    Tokens without that support are counted and left out first: no rule can have them. What remains of a url has no bound of its own,
-    but only itemsets that may be a rule or part of one are followed. They and their counts are held by the driver.
+    Tokens with the same urls (by count, bad urls and two 64-bit sums over the urls) are one item, the first of them: FP-growth need not tell them apart.
     """
-    spark = labelled.sparkSession
-    rows = stored(labelled.filter(F.size("tokens") > 0).select("tokens", F.col("bad").cast("int").alias("bad")), "labelled")
+    mark = [F.bit_xor(F.xxhash64("url", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    tokens_of = rows.select("url", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), *mark)
+    tokens_of = stored(tokens_of.filter((F.col("bad") >= least) & (F.col("n") < labelled_urls)), "tokens")
+    same = ["n", "bad", "x1", "x2"]
+    return stored(tokens_of.join(tokens_of.groupBy(*same).agg(F.min("token").alias("item")), same).select("token", "item", "n", "bad"), "items")
+
+
+def _frequent(rows: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """items (sorted), n, bad of the itemsets with `least` bad urls at least, by FP-growth over transactions of items and the mark of bad urls."""
+    spark = rows.sparkSession
+    exploded = rows.select("url", "bad", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token")
+    baskets = exploded.groupBy("url", "bad").agg(F.collect_set("item").alias("items"))
+    baskets = stored(baskets.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items")), "baskets")
+    total = baskets.count()
+    if total < least:
+        return spark.createDataFrame([], "items array<string>, n long, bad long")
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, numPartitions=partitions(spark)).fit(baskets)
+    found = stored(model.freqItemsets, "frequent")
+    bad = found.filter(F.array_contains("items", _BAD) & (F.size("items") > 1))
+    bad = bad.select(F.array_sort(F.array_remove("items", _BAD)).alias("items"), F.col("freq").alias("bad"))
+    every = found.filter(~F.array_contains("items", _BAD)).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    return stored(every.join(bad, "items"), "itemsets")
+
+
+def _general(sets: DataFrame) -> DataFrame:
+    """Adds `best`, the highest confidence of an itemset's proper parts: level by level from the itemsets that have one item less."""
+    longest = sets.agg(F.coalesce(F.max(F.size("items")), F.lit(0))).first()[0]
+    sets = sets.withColumn("confidence", F.col("bad") / F.col("n"))
+    now = stored(sets.filter(F.size("items") == 1).withColumn("best", F.lit(-1.0)), "level-1")
+    done = now
+    for size in range(2, longest + 1):
+        level = sets.filter(F.size("items") == size)
+        parts_of = level.select("items", F.explode("items").alias("one")).select("items", F.array_remove("items", F.col("one")).alias("part"))
+        best = parts_of.join(now.select(F.col("items").alias("part"), F.greatest("confidence", "best").alias("best")), "part").groupBy("items").agg(F.max("best").alias("best"))
+        now = stored(level.join(best, "items"), f"level-{size}")
+        done = done.unionByName(now)
+    return done
+
+
+def rules_of(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10) -> tuple[DataFrame, DataFrame] | None:
+    """Rules from rows (tokens, bad), mined by FP-growth: items, confidence, support, anchor (the rarest item); and the tokens' items. None where fewer than `min_count` urls are labelled.
+
+    A rule needs the support and at least `min_count` bad urls, so that a few labels do not make rules of single pages, and more confidence than any of its parts
+    and than all urls. Tokens without that support are counted and left out first: no rule can have them. A token that only bad urls have is a
+    rule by itself, and longer rules with it would be none: it takes no part in the mining. Itemsets and rules stay in tables; the driver sees counts only. Their number grows
+    with two to the power of the items that many urls share, as FP-growth's does.
+    """
+    rows = labelled.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("url"), "tokens", F.col("bad").cast("int").alias("bad"))
+    rows = stored(rows, "labelled")
     labelled_urls, bad_urls = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     if labelled_urls < min_count:
         return None
     least = max(min_count, math.ceil(min_support * labelled_urls - 1e-9))
-    tokens_of = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    # the rarest first: their itemsets have the fewest urls. What all urls have says nothing
-    singles = [tuple(r) for r in tokens_of.filter((F.col("bad") >= least) & (F.col("n") < labelled_urls)).orderBy("n", "token").collect()]
-    names = [t for t, _, _ in singles]
-    number = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "token string, item int")
-    numbered = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "bad", F.explode("tokens").alias("token")).join(F.broadcast(number), "token")
-    numbered = numbered.groupBy("id", "bad").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    urls = stored(numbered.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "itemised")
-    found = itemsets(urls, [(n, bad) for _, n, bad in singles], least)
-    confident = [([names[i] for i in x], bad / n, bad / labelled_urls, names[x[0]]) for x, (n, bad) in found.items() if bad / n >= min_confidence and bad * labelled_urls > bad_urls * n]
-    rules = spark.createDataFrame(confident, "rule_tokens array<string>, confidence double, support double, anchor string")
-    rules = rules.withColumn("rule_tokens", F.array_sort("rule_tokens"))
-    # a rule goes where a more general one is as confident: the general one's rows then contain all of its own
-    general = rules.select(F.col("rule_tokens").alias("g"), F.col("confidence").alias("gc"), F.element_at("rule_tokens", 1).alias("key"))
-    special = rules.withColumn("key", F.explode("rule_tokens"))
-    beaten = (
-        special.join(general, "key")
-        .filter((F.size("g") < F.size("rule_tokens")) & (F.size(F.array_except("g", "rule_tokens")) == 0) & (F.col("gc") >= F.col("confidence")))
-        .select("rule_tokens")
-        .distinct()
-    )
-    return rules.join(beaten, "rule_tokens", "left_anti")
+    items = _items(rows, labelled_urls, least)
+    sure = items.filter("bad = n").groupBy("item").agg(F.max("n").alias("n"))
+    sure = sure.select(F.array("item").alias("items"), "n", F.col("n").alias("bad"), F.lit(1.0).alias("confidence"), F.lit(-1.0).alias("best"))
+    sets = _general(_frequent(rows, items.filter("bad < n"), least)).unionByName(sure)
+    rules = sets.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("best")) & (F.col("bad") * labelled_urls > bad_urls * F.col("n")))
+    rules = stored(rules.withColumn("support", F.col("bad") / labelled_urls), "rules")
+    # the item with the fewest urls has the fewest look-ups
+    counts = items.filter("token = item").select("item", F.col("n").alias("item_n"))
+    rarest = rules.select("items", F.explode("items").alias("item")).join(counts, "item").groupBy("items").agg(F.min_by("item", F.struct("item_n", "item")).alias("anchor"))
+    return rules.join(rarest, "items").select("items", "confidence", "support", "anchor"), items.select("token", "item")
+
+
+def mined(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10) -> DataFrame | None:
+    """The rules of `rules_of` written out in tokens, for reading: rule_tokens, confidence, support. An item that stands for several tokens gives a rule for each of them."""
+    found = rules_of(labelled, min_support, min_confidence, min_count)
+    if found is None:
+        return None
+    rules, items = found
+    names = rules.select("items", "confidence", "support", F.explode("items").alias("item")).join(items, "item")
+    names = names.groupBy("items", "confidence", "support", "item").agg(F.collect_list("token").alias("names")).groupBy("items", "confidence", "support").agg(F.collect_list("names").alias("names"))
+    product = F.aggregate("names", F.array(F.array().cast("array<string>")), lambda done, more: F.flatten(F.transform(done, lambda x: F.transform(more, lambda y: F.array_append(x, y)))))
+    return names.select(F.explode(product).alias("rule_tokens"), "confidence", "support").withColumn("rule_tokens", F.array_sort("rule_tokens"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """To be broadcast if it is small enough, as counted; else joined by key."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def judged(
@@ -142,20 +169,22 @@ def judged(
     rows = rows.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     rule, action = listed_rule(F.col("host"), F.col("path"), rules)
 
-    found = mined(rows.join(marked, "id").select("tokens", "bad"), min_support, min_confidence)
+    found = rules_of(rows.join(marked, "id").select("tokens", "bad"), min_support, min_confidence)
     if found is None:
         best = F.lit(None).cast("double")
     else:
-        # posting lists by anchor: bounded like the rules themselves
-        index = found.groupBy("anchor").agg(F.collect_list(F.struct("confidence", "rule_tokens")).alias("posting"))
+        rules, items = found
+        items = stored(items.join(rules.select(F.explode("items").alias("item")).distinct(), "item", "left_semi"), "rule-items")
+        index = stored(rules.groupBy("anchor").agg(F.collect_list(F.struct("confidence", "items")).alias("posting")), "index")
+        urls = rows.filter(F.size("tokens") > 0).groupBy("url").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("pages"))
+        urls = urls.select("url", "pages", F.explode("tokens").alias("token")).join(_sized(items), "token").groupBy("url").agg(F.collect_set("item").alias("own"), F.max("pages").alias("pages"))
+        fits = F.filter("posting", lambda r: F.size(F.array_except(r["items"], F.col("own"))) == 0)
         hits = (
-            rows.select("url", "tokens", F.explode("tokens").alias("anchor"))
-            .join(F.broadcast(index), "anchor")
-            .select("url", F.array_max(F.transform(F.filter("posting", lambda r: F.size(F.array_except(r["rule_tokens"], F.col("tokens"))) == 0), lambda r: r["confidence"])).alias("c"))
-            .filter("c is not null")
-            .groupBy("url").agg(F.max("c").alias("confidence"))
+            urls.select("url", "pages", "own", F.explode("own").alias("anchor")).join(_sized(index), "anchor")
+            .select("url", "pages", F.array_max(F.transform(fits, lambda r: r["confidence"])).alias("confidence"))
+            .filter("confidence is not null").groupBy("url").agg(F.max("confidence").alias("confidence"), F.max("pages").alias("pages"))
         )
-        rows = rows.join(hits, "url", "left")
+        rows = decided_by_key(rows, stored(hits, "hits"), "url", "confidence", "pages")
         best = F.col("confidence")
     return rows.select(
         F.col("id").alias("page_id"), "host", "path", rule.alias("rule"),

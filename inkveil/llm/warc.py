@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import HOT_SHARE, bounded_batches, discard, fresh, stored
+from inkveil.llm.common import bounded_batches, decided_by_key, discard, fresh, stored
 
 #: Bytes of a chunk, and of an archive after which a task begins another one.
 CHUNK, ARCHIVE = 1 << 18, 1 << 30
@@ -63,15 +63,8 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload"), "key": F.sha2("payload", 256)})
     groups = rows.filter(F.col("payload_bytes") >= least).groupBy("key", "payload_bytes").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     groups = stored(groups.filter("n > 1").select("key", "keep", "n"), "payloads")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cut = max(HOT_SHARE, total // HOT_SHARE)
-    hot = groups.filter(F.col("n") >= cut).select(F.col("key").alias("hot_key"), F.col("keep").alias("hot_keep"))
-    cold = groups.filter(F.col("n") < cut).select(F.col("key").alias("cold_key"), F.col("keep").alias("cold_keep"))
-    rows = rows.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
-    # what is decided already must not meet in one task: its key in the second join is its own
-    alone = F.when(F.col("hot_key").isNull(), F.col("key")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string")))
-    rows = rows.withColumn("join_key", alone).join(cold, F.col("join_key") == F.col("cold_key"), "left")
-    return rows.select("id", "url", "payload", "payload_bytes", "digest", F.coalesce("hot_keep", "cold_keep").alias("keep"))
+    rows = decided_by_key(rows, groups, "key", "keep", "n")
+    return rows.select("id", "url", "payload", "payload_bytes", "digest", "keep")
 
 
 def chunked(rows: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
