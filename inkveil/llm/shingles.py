@@ -5,29 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 
-_draw = np.random.Generator(np.random.PCG64(20240301))
-#: A random number for each byte. A word's hash is the sum of its bytes' numbers times the powers of BASE, so that prefix sums give all words' hashes at once.
-_BYTES = _draw.integers(0, 2**64, 256, dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BASE = 0x9E3779B97F4A7C15
-_LENGTH = U(0xD6E8FEB86659FD93)
 #: Bytes of texts that are hashed together (a longer text goes alone).
 BLOCK = 1 << 18
-_powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The first powers of BASE and of its inverse modulo 2^64, n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (max(n, BLOCK + 1) - 1).bit_length()
-        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=np.uint64)
-    return _powers
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_LENGTH = U(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
@@ -43,19 +31,28 @@ def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         length += len(data) + 1
     if waiting:
         yield from _hashed(waiting)
-    if len(_powers[0]) > 4 * BLOCK:  # the tables for a very long text do not stay with an idle worker
-        _powers[:] = [x[: 2 * BLOCK].copy() for x in _powers]
 
 
 def _hashed(texts: list[bytes]) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    """A word's hash starts from its length and takes eight bytes at each step, mixed with all before: no sum or polynomial, under which words of repeated parts would meet. Long words take XXH3."""
+    joined = b" ".join([*texts, b"       "])  # eight bytes can be read from any place in a word
+    data = np.frombuffer(joined, np.uint8)
     space = _SPACE[data]
     borders = np.flatnonzero(np.append(True, space[:-1]) != space)
-    starts, ends = borders[::2], borders[1::2]
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
-    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
+    starts, ends = borders[: len(borders) // 2 * 2 : 2], borders[1::2]
+    eights = np.ndarray(len(data) - 7, "<u8", joined, strides=(1,))
+    left = ends - starts
+    h = mix(left.astype(np.uint64) * _LENGTH)
+    now = np.flatnonzero(left <= LONG)
+    for step in range(LONG // 8):
+        rest = left[now] - 8 * step
+        chunk = eights[starts[now] + 8 * step] & _MASKS[np.minimum(rest, 8)]
+        h[now] = mix(h[now] ^ chunk)
+        now = now[rest > 8]
+        if not len(now):
+            break
+    for k in np.flatnonzero(left > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     return np.split(h, np.searchsorted(starts, np.cumsum(sizes)[:-1]))
 

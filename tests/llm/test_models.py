@@ -32,6 +32,17 @@ def test_word_hashes():
     assert len(set(found.values())) == len(found) > 3000
 
 
+def test_words_of_repeated_parts_differ():
+    """Words under which every polynomial hash modulo a power of two meets: the Thue-Morse word and its opposite."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    for size in (16, 64, 512, 1024, 4096):
+        pair = word[:size], word[:size].translate(str.maketrans("ab", "ba"))
+        one, two = word_hashes(pair)
+        assert one[0] != two[0] and next(iter(word_hashes([" x " + pair[0]])))[1] == one[0]
+
+
 # MinHash near-dedup
 
 
