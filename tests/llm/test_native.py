@@ -133,6 +133,22 @@ def test_secrets(spark):
     assert any("ent_" in r[-1] for r in got)
 
 
+@pytest.mark.parametrize("key", ["q7Zp2LxV9tRk4WmB", "QXTRB-84721-KLMWP-99321-ZZQPA", "/etc/example/q7Zp2LxV9tRk4WmB", "QWXZKJVBPQLMNRTS", "f3a91c07be52d846"])
+def test_secrets_of_sixteen_characters(spark, key):
+    got = secrets.digest(secrets.scanned(spark.createDataFrame([(1, f"see {key}, please")], "doc_id long, text string"))).first()
+    assert got.spans.startswith("ent_") and got.base_sha256 == sha("")
+
+
+def test_secrets_leave_words_alone(spark):
+    plain = "internationalization INTERNATIONALIZATION MAX_RETRY_COUNT_2024 getUserNameFromTable en/some-page/chapter12/2024-01-05 AKIAIOSFODNN7EXAMPL wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY ================== 1234567890123456"
+    got = secrets.digest(secrets.scanned(spark.createDataFrame([(1, plain), (1, plain), (None, "")], "doc_id long, text string"))).collect()
+    assert [r.spans.count("ent_") for r in got] == [0, 0, 0]
+
+
+def test_secrets_empty(spark):
+    assert secrets.digest(secrets.scanned(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
 def test_secrets_allow_list(spark):
     docs = spark.createDataFrame([(5, SECRETS[4][1])], "doc_id long, text string")
     assert secrets.digest(secrets.scanned(docs, allow=("aGVsbG8gd29ybGQhIQ9xZk3LpQ7vT2sWmN8bY4",))).first().spans == ""
@@ -189,6 +205,23 @@ def test_url_mining_finds_the_bad_combination(spark):
     assert all((v == "block") == (k % 4 == 0) for k, v in got.items()) and len(got) == 400
 
 
+def test_url_mining_of_many_keys_and_hot_urls(spark):
+    """Fourteen keys in every other URL, one URL in a third of the pages, null URLs: rules come from tables, not from the driver."""
+    draw = random.Random(3)
+    rows = [(k, f"http://h{k % 7}.io/p?" + "&".join(f"k{j}=1" for j in range(14) if draw.random() < 0.5) + ("&bad=1" if k % 3 == 0 else "")) for k in range(400)]
+    rows += [(1000 + k, "http://h1.io/p?bad=1") for k in range(300)] + [(2000 + k, None) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.confidence) for r in urls.judged(pages, labels, rules=[]).collect()}
+    assert len(got) == 1000 and all((got[i][0] == "block") == (u is not None and "bad" in u) for i, u in rows) and got[0][1] == 1.0
+
+
+def test_url_filter_empty(spark):
+    empty = spark.createDataFrame([], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, 1) for k in range(40)], "doc_id long, quality int, toxic int")
+    assert urls.judged(empty, labels).count() == 0
+
+
 def test_url_mining_sees_every_query_key(spark):
     keys = "&".join(f"a{k}=1" for k in range(6))
     rows = [(k, f"http://h{k}.io/?{keys}&{'z_aff' if k % 4 == 0 else 'z_ok'}=1") for k in range(200)]
