@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from inkveil.functions.rules import RulePack
 from inkveil.operators import boxes, counts, detect, pixels
 from inkveil.operators import spans as span_ops
 from inkveil.plans import batch, config, report
-from inkveil.sources import files, ooxml, pdf
+from inkveil.sources import files, ooxml, pdf, store
 from inkveil.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,7 +472,7 @@ def numbered_rows(spark, sf_dir):
 
 @query(_zh_sql(_sub("text", "福建海峡银行", "[BANK]")))
 def config_lexicon(spark, sf_dir):
-    text = '{"bank_names": ["${OWN_BANK}"], "replacements": {"BANK": "[BANK]"}}'
+    text = '{"bank_names": ["${OWN_BANK}"], "replacement": {"BANK": "[BANK]"}}'
     own = config.lexicon(json.loads(config.interpolated(text, {"OWN_BANK": "福建海峡银行"})))
     return _redacted(zh_docs(spark, sf_dir), g2(own).only("bank"))
 
@@ -702,25 +703,61 @@ def pdf_overlays(spark, sf_dir):
 # ---- documents and streams
 
 
+_PARTS = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" '
+    'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" mc:Ignorable="w14"><w:body>',
+    "</w:body></w:document>",
+)
+
+
 def _as_docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    """A document for each row: a paragraph for each text, whose runs end inside the mobile number and inside the mail address."""
     for frame in frames:
         out = []
-        for text in frame["text"]:
+        for texts in frame["texts"]:
             made = io.BytesIO()
             with zipfile.ZipFile(made, "w") as archive:
-                runs = "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in (text[:9], text[9:]))
-                archive.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body><w:p>{runs}</w:p></w:body></w:document>')
+                body = []
+                for text in texts:
+                    a, b = text.index("手机 ") + 6, text.index("邮箱 u") + 4
+                    body.append("<w:p>" + "".join(f"<w:r><w:rPr><w:b/></w:rPr><w:t>{t}</w:t></w:r>" for t in (text[:a], text[a:b], text[b:])) + "</w:p>")
+                archive.writestr("word/document.xml", f"{_PARTS[0]}{''.join(body)}{_PARTS[1]}")
             out.append(made.getvalue())
         yield pd.DataFrame({"path": frame["path"], "content": out})
 
 
-@query(f"with {_ZH} select '/in/' || doc_id || '.docx' as path, {_CHAIN} as redacted from zh")
+#: Runs of a redacted text: the mask of the number stands in the run where the number begins, that of the address where the address begins.
+_RUNS = f"""r as (select *, {_CHAIN} as red from zh),
+n as (select *, strpos(red, '手机 XXXXXXXXXXX') + 13 as cut from r),
+runs as (select *, [red[:cut], ' ，邮箱 XXXXX@XXXXX', red[cut + 1 + length(' ，邮箱 XXXXX@XXXXX'):]] as ts from n)"""
+
+
+@query(f"with {_ZH}, {_RUNS} select '/in/' || doc_id || '.docx' as path, cast(i as int) as node_idx, ts[i + 1] as text from (select doc_id, ts, unnest([0, 1, 2]) as i from runs)")
 def ooxml_round_trip(spark, sf_dir):
-    made = zh_docs(spark, sf_dir).select(F.format_string("/in/%d.docx", "doc_id").alias("path"), "text").mapInPandas(_as_docx, "path string, content binary")
-    done = ooxml.rewritten(made, batch.redacted_nodes(ooxml.nodes(made)))
-    listed = F.sort_array(F.collect_list(F.struct("node_idx", "text")))
-    return ooxml.nodes(done).groupBy("path").agg(F.array_join(F.transform(listed, lambda n: n["text"]), "").alias("redacted"))
+    made = zh_docs(spark, sf_dir).select(F.format_string("/in/%d.docx", "doc_id").alias("path"), F.array("text").alias("texts")).mapInPandas(_as_docx, "path string, content binary")
+    done = ooxml.rewritten(made, batch.redacted_nodes(batch.paragraphs(ooxml.nodes(made))))
+    return ooxml.nodes(done).select("path", "node_idx", "text")
+
+
+def _put(folder: str, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in _as_docx(frames):
+        for path, content in zip(frame["path"], frame["content"], strict=True):
+            store.write(f"{folder}/{path}", content)
+        yield frame[["path"]]
+
+
+@query(f"""with {_ZH}, {_RUNS}, p as (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as para, ts from runs join orders on o_orderkey = doc_id)
+select '/' || o_custkey || '_脱敏.docx' as path, cast(para as int) as para_idx, cast(3 * para + i as int) as node_idx, ts[i + 1] as text from (select o_custkey, para, ts, unnest([0, 1, 2]) as i from p)""")
+def office_source(spark, sf_dir):
+    """A document for each customer, written to a folder, redacted by the batch and read by the data source."""
+    base = f"{store.shared_dir(spark)}/office-{uuid.uuid4().hex}"
+    forms = zh_docs(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey"), "doc_id")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    forms = forms.groupBy("o_custkey").agg(listed.alias("texts")).select(F.format_string("%d.docx", "o_custkey").alias("path"), "texts")
+    forms.mapInPandas(partial(_put, f"{base}/in"), "path string").write.format("noop").mode("overwrite").save()
+    batch.run(spark, f"{base}/in", f"{base}/out")
+    name = F.regexp_extract("path", "(/[^/]*)$", 1)
+    return spark.read.format("office").load(f"{base}/out").select(name.alias("path"), "para_idx", "node_idx", "text")
 
 
 @query(f"select doc_id, {_sub('text', _EMAIL, 'XXXXX@XXXXX')} as redacted from documents")

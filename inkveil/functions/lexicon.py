@@ -101,5 +101,6 @@ class Lexicon:
     surnames: str = SURNAMES
     name_chars: str = NAME_CHARS
     org_suffixes: tuple[str, ...] = ()
+    bare_branches: tuple[str, ...] = tuple(BARE_BRANCH_SUFFIXES)
     #: characters of given names of pack g3
     given_chars: str = NAME_CHARS

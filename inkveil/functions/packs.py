@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,13 +41,22 @@ def _digits_only(pattern: str) -> str:
 
 
 def branch_rule(names: tuple[str, ...]) -> Rule | None:
-    """A branch's name is a place (two characters or more) and what it is, in one or two known words; what it is stays."""
-    kinds = alternation(lx.BRANCH_SUFFIXES)
-    parts = [m.groups() for m in (re.fullmatch(f"(.{{2,}}?)((?:{kinds}){{1,2}})", n) for n in names) if m]
-    if not parts:
+    """A known branch's name without what it is (two characters or more), and then a word for what it is, which stays.
+
+    Names end in one of BRANCH_SUFFIXES. Two of them in a row stay together where a known name ends so. A name and its ending are taken as
+    long as possible; what stays is then the longest ending of all that was taken.
+    """
+    ends = lambda n: next((x for x in lx.BRANCH_SUFFIXES if n.endswith(x)), "")
+    heads = {n: n.removesuffix(ends(n)) for n in names if ends(n)}
+    doubled = {ends(head) + ends(n) for n, head in heads.items() if ends(head) and len(head) - len(ends(head)) >= 2}
+    places = [head for head in heads.values() if len(head) >= 2]
+    if not places:
         return None
-    ends = alternation([*{end for _, end in parts}, *lx.BRANCH_SUFFIXES])
-    return Rule("branch", "BANK", f"(?:{alternation([place for place, _ in parts])})({ends})", "XX$1")
+    stays = {*doubled, *lx.BRANCH_SUFFIXES}
+    # looking back, a shorter ending would be found first: a group for each length, the longest first
+    sizes = sorted({len(x) for x in stays}, reverse=True)
+    kept = "|".join(f"(?<=({'|'.join(sorted(x for x in stays if len(x) == n))}))" for n in sizes)
+    return Rule("branch", "BANK", f"(?:{alternation(places)})(?:{alternation([*stays])})(?:{kept})", "XX" + "".join(f"${k}" for k in range(1, len(sizes) + 1)))
 
 
 def g2(lexicon: Lexicon | None = None, strict_digits: bool = False) -> RulePack:
@@ -80,8 +90,8 @@ def g2(lexicon: Lexicon | None = None, strict_digits: bool = False) -> RulePack:
     branch = branch_rule(x.bank_names)
     if branch:
         rules.append(branch)
-    if x.bank_names:
-        rules.append(Rule("bare_branch", "BANK", rf"(?<![一-龥a-zA-Z0-9])(?:{alternation(lx.BARE_BRANCH_SUFFIXES)})(?![一-龥a-zA-Z0-9　-〿＀-￯])", "XX$0"))
+    if x.bank_names and x.bare_branches:
+        rules.append(Rule("bare_branch", "BANK", rf"(?<![一-龥a-zA-Z0-9])(?:{alternation(x.bare_branches)})(?![一-龥a-zA-Z0-9　-〿＀-￯])", "XX$0"))
     rules += [
         Rule("password_cn", "SECRET", r"密码[：:\s]*\d{6,}", "******", True),
         Rule("pwd", "SECRET", r"pwd[：:\s]*[a-zA-Z0-9]{6,}", "******", True),
@@ -151,40 +161,75 @@ def g3_text(lexicon: Lexicon | None = None) -> RulePack:
     return RulePack("g3", rules)
 
 
-def _validated_pass(text: Column, pattern: str, given: str) -> Column:
-    """Replaces the name matches of a pattern that pass the validator, by the texts between matches and the matches themselves.
+@dataclass(frozen=True)
+class NamePass:
+    """The name matches of a pattern that pass the validator become XXX; used like a rule.
 
     Rejected: words that are no names, alone or with the character before; a match that a title or the like follows (its
     text: what stands up to three matches on, at least six characters); fewer than half of the given name's characters known.
     """
-    ends = f"^(?:{alternation(lx.NOT_AFTER_NAME)})"
-    compound = f"^(?:{alternation(lx.COMPOUND_SURNAMES)})"
 
-    def joined(pieces: Column, hits: Column) -> Column:
+    pattern: str
+    given: str
+
+    def matches(self, text: Column) -> Column:
+        return text.rlike(self.pattern)
+
+    def _walked(self, text: Column, body: Callable[[Column, Column], Column]) -> Column:
+        both = F.struct(F.split(text, self.pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)).alias("hits"))
+        return let(both, lambda b: body(b["pieces"], b["hits"]))
+
+    def _shown(self, pieces: Column, hits: Column) -> Callable[[Column, Column], Column]:
+        ends = f"^(?:{alternation(lx.NOT_AFTER_NAME)})"
+        compound = f"^(?:{alternation(lx.COMPOUND_SURNAMES)})"
+
         def shown(h: Column, i: Column) -> Column:
             after = F.concat_ws("", *[c for k in range(3) for c in (F.get(pieces, i + 1 + k), F.get(hits, i + 1 + k))])
             before = F.right(F.concat(F.coalesce(F.get(hits, i - 1), F.lit("")), F.get(pieces, i)), F.lit(1))
             name = F.substring(h, F.when(h.rlike(compound), 3).otherwise(2), F.length(h))
-            unknown = F.length(F.translate(name, given, ""))
+            unknown = F.length(F.translate(name, self.given, ""))
             bad = h.isin(lx.NOT_NAMES) | F.concat(before, h).isin(lx.NOT_NAMES_WITH_BEFORE) | (2 * unknown > F.length(name)) | after.rlike(ends)
             return F.when(bad, h).otherwise(F.lit("XXX"))
 
-        out = F.transform(pieces, lambda p, i: F.when(i < F.size(hits), F.concat(p, shown(F.get(hits, i), i))).otherwise(p))
-        return F.array_join(out, "")
+        return shown
 
-    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    return F.when(text.rlike(pattern), let(both, lambda b: joined(b["pieces"], b["hits"]))).otherwise(text)
+    def apply(self, text: Column) -> Column:
+        def joined(pieces: Column, hits: Column) -> Column:
+            shown = self._shown(pieces, hits)
+            out = F.transform(pieces, lambda p, i: F.when(i < F.size(hits), F.concat(p, shown(F.get(hits, i), i))).otherwise(p))
+            return F.array_join(out, "")
 
+        return F.when(self.matches(text), self._walked(text, joined)).otherwise(text)
 
-def names_g3(text: Column, lexicon: Lexicon | None = None) -> Column:
+    def trace(self, text: Column) -> Column:
+        lengths = lambda texts: F.transform(texts, F.length)
+        parts = lambda pieces, hits: F.struct(lengths(pieces).alias("gaps"), lengths(hits).alias("sizes"), lengths(F.transform(hits, self._shown(pieces, hits))).alias("news"))
+        return self._walked(text, parts)
+
+
+def names_g3_steps(lexicon: Lexicon | None = None) -> list[Rule | NamePass]:
     """Names by label, then by surname and known given-name characters, then by surname and any validated characters."""
     x = lexicon or Lexicon()
-    for label in lx.NAME_LABELS:
-        text = F.regexp_replace(text, f"(?U)({label})[一-龥]{{2,4}}", "$1XXX")
+    labels = [Rule(f"label_{k}", "NAME", f"({label})[一-龥]{{2,4}}", "$1XXX") for k, label in enumerate(lx.NAME_LABELS)]
     compound, single, given = alternation(lx.COMPOUND_SURNAMES), char_class(lx.SINGLE_SURNAMES), char_class(x.given_chars)
     strict = f"(?:(?:{compound}){given}{{1,2}}|{single}{given}{{1,2}})"
     loose = f"(?:(?:{compound})[一-龥]{{2,3}}|{single}[一-龥]{{1,3}})"
-    return let(text, lambda t: let(_validated_pass(t, strict, x.given_chars), lambda u: _validated_pass(u, loose, x.given_chars)))
+    return [*labels, NamePass(strict, x.given_chars), NamePass(loose, x.given_chars)]
+
+
+def names_g3(text: Column, lexicon: Lexicon | None = None) -> Column:
+    """A text after the steps of `names_g3_steps`."""
+    *labels, strict, loose = names_g3_steps(lexicon)
+    for label in labels:
+        text = label.apply(text)
+    return let(text, lambda t: let(strict.apply(t), loose.apply))
+
+
+def steps(pack: str = "g2", lexicon: Lexicon | None = None) -> list[Rule | NamePass]:
+    """All steps of the pack named g1, g2 or g3, in order."""
+    if pack == "g3":
+        return [*g3_text(lexicon).steps, *names_g3_steps(lexicon)]
+    return {"g1": g1, "g2": g2}[pack](lexicon).steps
 
 
 def filename_g3(name: Column) -> Column:

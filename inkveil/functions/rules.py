@@ -6,6 +6,7 @@ A pack is a list of rules whose order is its meaning: each rule sees what the ru
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -13,6 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a rule did to a text: the lengths of the texts between its matches (one more than matches), of the matches, and of what stands in their place.
+TRACE = "struct<gaps:array<int>,sizes:array<int>,news:array<int>>"
+
+
 @dataclass(frozen=True)
 class Rule:
     """`pattern` is a Java regular expression; `replacement` may hold $1 … and is literal if `literal`."""
@@ -43,6 +48,21 @@ class Rule:
     def matches(self, text: Column) -> Column:
         return text.contains(self.pattern) if self.literal else text.rlike(self.compiled)
 
+    def trace(self, text: Column) -> Column:
+        """TRACE of this rule over a text: split and the extraction of groups walk the same matches as the replacement does."""
+        lengths = lambda texts: F.transform(texts, lambda x: F.coalesce(F.length(x), F.lit(0)))
+        if self.literal:
+            gaps = lengths(F.split(text, f"\\Q{self.pattern}\\E", -1))
+            same = lambda n: F.array_repeat(F.lit(n), F.size(gaps) - 1)
+            return F.struct(gaps.alias("gaps"), same(len(self.pattern)).alias("sizes"), same(len(self.replacement)).alias("news"))
+        group = lambda n: lengths(F.regexp_extract_all(text, F.lit(self.compiled), F.lit(n)))
+        groups = [int(n) for n in re.findall(r"\$(\d+)", self.replacement)]
+        fixed = len(re.sub(r"\$\d+", "", self.replacement))
+        news = F.transform(group(0), lambda _: F.lit(fixed))
+        for n in groups:
+            news = F.zip_with(news, group(n), lambda a, b: a + b)
+        return F.struct(lengths(F.split(text, self.compiled, -1)).alias("gaps"), group(0).alias("sizes"), news.alias("news"))
+
 
 @dataclass(frozen=True)
 class RulePack:
@@ -53,18 +73,19 @@ class RulePack:
     protected: tuple[tuple[str, str], ...] = ()
     repairs: tuple[Rule, ...] = ()
 
+    @property
+    def steps(self) -> list[Rule]:
+        """All that the pack does, in order: protection, rules, restoration, repairs."""
+        swap = lambda k, a, b: Rule(f"protect_{k}", "PROTECT", a, b, literal=True)
+        there = [swap(k, phrase, token) for k, (phrase, token) in enumerate(self.protected)]
+        back = [swap(k, token, phrase) for k, (phrase, token) in reversed(list(enumerate(self.protected)))]
+        return [*there, *self.rules, *back, *self.repairs]
+
     def apply(self, text: Column) -> Column:
         """The redacted text; null stays null and empty stays empty."""
-        out = text
-        for phrase, token in self.protected:
-            out = F.replace(out, F.lit(phrase), F.lit(token))
-        for rule in self.rules:
-            out = rule.apply(out)
-        for phrase, token in reversed(self.protected):
-            out = F.replace(out, F.lit(token), F.lit(phrase))
-        for rule in self.repairs:
-            out = rule.apply(out)
-        return out
+        for step in self.steps:
+            text = step.apply(text)
+        return text
 
     def apply_if_matched(self, text: Column) -> Column:
         """As apply(), but texts without a match of any rule skip the chain."""

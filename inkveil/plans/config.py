@@ -31,6 +31,7 @@ def lexicon(config: Mapping) -> Lexicon:
     own = lambda key, default: tuple(config[key]) if isinstance(config.get(key), list) else default
     joined = lambda key, default: "".join(config[key]) if config.get(key) else default
     return Lexicon(
-        placeholders=d.placeholders | dict(config.get("replacements", {})), bank_names=own("bank_names", d.bank_names), surnames=joined("surname_pool", d.surnames),
-        name_chars=joined("name_pool", d.name_chars), org_suffixes=own("org_suffixes", d.org_suffixes), given_chars=joined("given_pool", d.given_chars),
+        placeholders=d.placeholders | dict(config.get("replacement") or {}), bank_names=own("bank_names", d.bank_names), surnames=joined("surname_pool", d.surnames),
+        name_chars=joined("name_pool", d.name_chars), org_suffixes=own("org_suffixes", d.org_suffixes),
+        bare_branches=own("bank_branch_suffixes", d.bare_branches) or d.bare_branches, given_chars=joined("given_pool", d.given_chars),
     )
