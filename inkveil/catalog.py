@@ -53,6 +53,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.spread(table(spark, sf_dir, "documents"))
+
+
 NAMES, BANKS = ["汪晶晶", "王伟", "李静", "张宇轩"], ["福建海峡银行", "福州三山支行", "中国工商银行"]
 
 
@@ -65,7 +69,7 @@ def zh_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("@bank.com ，身份证 11010119900101"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.lit(" ，"), pick(BANKS, "o_orderkey"),
         F.lit("，密码："), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("，更新 "), F.date_format("o_orderdate", "yyyy-MM-dd"),
     )
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return files.spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 _ZH = """zh as (select o_orderkey as doc_id, concat('经办人：', (['汪晶晶','王伟','李静','张宇轩'])[cast(o_custkey % 4 as int)+1],
@@ -96,12 +100,12 @@ def _redacted(rows: DataFrame, pack: RulePack, text: str = "text", key: str = "d
 
 @query(f"select doc_id, {_sub('text', _EMAIL, 'XXXXX@XXXXX')} as redacted from documents")
 def redact_email(spark, sf_dir):
-    return _redacted(table(spark, sf_dir, "documents"), g2().only("email"))
+    return _redacted(documents(spark, sf_dir), g2().only("email"))
 
 
 @query(f"select doc_id, {_sub('text', _IP, 'X.X.X.X')} as redacted from documents")
 def redact_ipv4(spark, sf_dir):
-    return _redacted(table(spark, sf_dir, "documents"), g2().only("ipv4"))
+    return _redacted(documents(spark, sf_dir), g2().only("ipv4"))
 
 
 _MAC_TEXT = "'port AA:bb:0C:1d:EE:' || lpad(upper(to_hex(l_orderkey % 256)), 2, '0') || ' up ' || l_linenumber"
@@ -115,7 +119,7 @@ def redact_mac(spark, sf_dir):
 
 @query(rf"select doc_id, {_sub('text', chr(92) + 'b' + chr(92) + 'd{16,19}' + chr(92) + 'b', 'X' * 16)} as redacted from documents")
 def redact_card16_19(spark, sf_dir):
-    return _redacted(table(spark, sf_dir, "documents"), g1().only("card"))
+    return _redacted(documents(spark, sf_dir), g1().only("card"))
 
 
 @query(f"select page_id, {_sub('html', _EMAIL, 'XXXXX@XXXXX')} as redacted from pages")
@@ -215,7 +219,7 @@ def redact_names_g1(spark, sf_dir):
 def chain_ascii_g2(spark, sf_dir):
     pack = g2().only("email", "ipv4", "mac")
     n = [r.count(F.col("text")).cast("long").alias(f"n_{r.rule_id}") for r in pack.rules]
-    return table(spark, sf_dir, "documents").select("doc_id", pack.apply_if_matched(F.col("text")).alias("redacted"), *n)
+    return documents(spark, sf_dir).select("doc_id", pack.apply_if_matched(F.col("text")).alias("redacted"), *n)
 
 
 _CHAIN = _sub("text", _EMAIL, "XXXXX@XXXXX")
@@ -283,7 +287,7 @@ def protect_restore_g1(spark, sf_dir):
 @query("select doc_id, replace(replace(text, 'password', '[word]'), 'the', 'THE') as redacted from documents")
 def custom_literal_rule(spark, sf_dir):
     pack = g2().only().with_literal("the", "THE").with_literal("password", "[word]")
-    return _redacted(table(spark, sf_dir, "documents"), pack)
+    return _redacted(documents(spark, sf_dir), pack)
 
 
 @query("select o_orderkey as doc_id, (['清单如下','营运计财部','计财财务部','XXX'])[cast(o_orderkey % 4 as int)+1] as redacted from orders")
@@ -308,12 +312,12 @@ l as (select lang, 'email' as rule_id, 'EMAIL' as category, e as n from c union
 
 @query(f"with {_COUNT} select rule_id, category, cast(sum(n) as bigint) as n from l where n > 0 group by all")
 def count_by_rule(spark, sf_dir):
-    return counts.by_rule(table(spark, sf_dir, "documents"), g2().only("email", "ipv4", "mac"))
+    return counts.by_rule(documents(spark, sf_dir), g2().only("email", "ipv4", "mac"))
 
 
 @query(f"with {_COUNT} select lang, rule_id, category, cast(sum(n) as bigint) as n from l where n > 0 group by all")
 def count_by_rule_lang(spark, sf_dir):
-    return counts.by_rule(table(spark, sf_dir, "documents"), g2().only("email", "ipv4", "mac"), "text", "lang")
+    return counts.by_rule(documents(spark, sf_dir), g2().only("email", "ipv4", "mac"), "text", "lang")
 
 
 @query(f"with {_COUNT} select rule_id, category, cast(sum(n) as bigint) as n from l where n > 0 group by all order by n desc, rule_id limit 2")
@@ -323,7 +327,7 @@ def top_labels(spark, sf_dir):
 
 @query(f"with r as (select doc_id, {_sub('text', _EMAIL, 'XXXXX@XXXXX')} as redacted, text from documents) select doc_id, redacted from r where redacted <> text")
 def changed_only(spark, sf_dir):
-    return counts.changed(table(spark, sf_dir, "documents"), g2().only("email")).select("doc_id", "redacted")
+    return counts.changed(documents(spark, sf_dir), g2().only("email")).select("doc_id", "redacted")
 
 
 # numbers that touch Chinese characters stay after the default pack; the audit by digit boundaries finds them
@@ -412,7 +416,7 @@ def merge_counts_map(spark, sf_dir):
 
 @query("with p as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as node_idx, unnest(string_split(text, chr(10))) as text from documents) select doc_id, cast(node_idx as int) as node_idx, cast(coalesce(sum(length(text) + 1) over (partition by doc_id order by node_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as start, length(text) as n_chars from p")
 def paragraph_offsets(spark, sf_dir):
-    paras = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("node_idx", "text"))
+    paras = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("node_idx", "text"))
     return span_ops.offsets(paras, ["doc_id"], ["node_idx"], separator=1).select("doc_id", "node_idx", "start", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -480,7 +484,7 @@ def config_lexicon(spark, sf_dir):
 @query(f"select doc_id, {_sub(_sub('text', _EMAIL, 'XXXXX@XXXXX'), _IP, 'X.X.X.X')} as redacted from documents")
 def sql_function(spark, sf_dir):
     sql.register(spark, g2().only("email", "ipv4"), "redact_contacts")
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "redact_contacts(text) as redacted")
+    return documents(spark, sf_dir).selectExpr("doc_id", "redact_contacts(text) as redacted")
 
 
 @query("select o_orderkey as doc_id, (['logo_a','XX银行_XXXX/XX/XX'])[cast(o_orderkey % 2 as int)+1] || '.png' as name, true as logo from orders")
@@ -511,13 +515,13 @@ w as (select doc_id, para, n as size, 0 as batch from p where para = 0 union all
  select p.doc_id, p.para, case when w.size + p.n > 200 then p.n else w.size + p.n end, w.batch + case when w.size + p.n > 200 then 1 else 0 end from w join p on p.doc_id = w.doc_id and p.para = w.para + 1)
 select doc_id, cast(para as bigint) as para, batch from w""")
 def batch_pack_200(spark, sf_dir):
-    paras = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para", "text"))
+    paras = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para", "text"))
     return span_ops.packed(paras, ["doc_id"], "para")
 
 
 @query("with c as (select doc_id, text, unnest(range(0, greatest(length(text) - 201, 0) + 1, 5800)) as s from documents) select doc_id, cast(s / 5800 as int) as chunk, substr(text, s + 1, 6000) as chunk_text from c")
 def overlapping_chunks(spark, sf_dir):
-    return span_ops.chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk", "chunk_text")
+    return span_ops.chunks(documents(spark, sf_dir)).select("doc_id", "chunk", "chunk_text")
 
 
 # ---- detection
@@ -574,7 +578,7 @@ def llm_json_parse(spark, sf_dir):
 @query("select doc_id, replace(replace(text, 'password', '***'), 'pass', '+') as redacted from documents")
 def entities_longest_first(spark, sf_dir):
     found = F.expr("array(struct('pass' as text, '+' as replacement), struct('password' as text, '***' as replacement), struct('the' as text, cast(null as string) as replacement))")
-    return table(spark, sf_dir, "documents").select("doc_id", detect.entities_replaced(F.col("text"), found).alias("redacted"))
+    return documents(spark, sf_dir).select("doc_id", detect.entities_replaced(F.col("text"), found).alias("redacted"))
 
 
 @query("""select o_orderkey as doc_id, '{"doc_id":' || o_orderkey || ',"entities":[{"text":"****","replacement":"XXX","category":"NAME","confidence":0.85,"source":"role_word"},{"text":"'

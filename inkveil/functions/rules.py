@@ -31,8 +31,9 @@ class Rule:
 
     @property
     def compiled(self) -> str:
-        """With Unicode classes and line feed as the only line end, as texts from many systems need."""
-        return f"(?Ud{'i' if self.ignore_case else ''}){self.pattern}"
+        """With line feed as the only line end, as texts from many systems need, and with Unicode classes where the pattern has any (they are slower)."""
+        classes = self.ignore_case or re.search(r"\\[bBdDsSwW]", self.pattern)
+        return f"(?{'U' if classes else ''}d{'i' if self.ignore_case else ''}){self.pattern}"
 
     def apply(self, text: Column) -> Column:
         if self.literal:

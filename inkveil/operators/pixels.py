@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.rules import RulePack
+from inkveil.operators.boxes import padded
+
 METHODS = ("mosaic", "blur", "black", "whole")
 
 
@@ -64,6 +67,61 @@ def statistics(picture: np.ndarray) -> tuple[float, float, float, int]:
     return float(grey.std()), float((np.hypot(gx, gy) > 50).mean()), float(fill), int((levels > 0).sum())
 
 
+def joined(boxes: list[tuple[int, int, int, int]], gap: int = 50) -> list[tuple[int, int, int, int]]:
+    """Boxes in the order of their left sides; one that begins within `gap` of the last one's right side and meets it in height becomes part of it."""
+    out: list[tuple[int, int, int, int]] = []
+    for x1, y1, x2, y2 in sorted(boxes, key=lambda b: b[0]):
+        a = out[-1] if out else None
+        if a is not None and x1 - a[2] < gap and y2 >= a[1] and y1 <= a[3]:
+            out[-1] = a[0], min(a[1], y1), max(a[2], x2), max(a[3], y2)
+        else:
+            out.append((x1, y1, x2, y2))
+    return out
+
+
+def is_logo(region: np.ndarray, least_std: int = 60) -> bool:
+    """Whether a region looks like a logo, as `logo_region` says of statistics."""
+    if not region.size:
+        return False
+    std, edges, fill, _ = statistics(region)
+    return std < least_std or (edges > 0.05 and fill > 0.3) or fill > 0.6
+
+
+def _redacted(frames: Iterator[pd.DataFrame], method: str) -> Iterator[pd.DataFrame]:
+    plain = lambda boxes: [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in (boxes if boxes is not None else ())]
+    for frame in frames:
+        out = []
+        for r in frame.itertuples():
+            data, texts, logos = r.data, plain(r.boxes), []
+            if r.height > 0:
+                picture = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                logos = joined([b for b in plain(r.marks) if is_logo(picture[b[1] : b[3], b[0] : b[2]])])
+                data = masked(masked(picture, texts, method), logos, "mosaic").tobytes()
+            out.append((r.path, r.height, r.width, r.nChannels, data, len(texts), len(logos)))
+        yield pd.DataFrame(out, columns=["path", "height", "width", "nChannels", "data", "n_texts", "n_logos"])
+
+
+def redacted(pictures: DataFrame, ocr: DataFrame, pack: RulePack, method: str = "mosaic", pad: int = 3) -> DataFrame:
+    """path, height, width, nChannels, data, n_texts, n_logos: pictures (of sources.pictures.read) with the text boxes that `pack` changes masked, and a mosaic over the logos beside texts that name a bank.
+
+    ocr: path, text, left, top, width, height of the text boxes that a reader outside Spark has found. Logos are looked for in the pixels as they were; those that are near each other become one region.
+    """
+    if method not in METHODS[:3]:
+        raise ValueError(f"method is none of {METHODS[:3]}")
+    sizes = pictures.select("path", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+    page = F.col("page_width"), F.col("page_height")
+    place = [F.col(c) for c in ("left", "top", "width", "height")]
+    rows = ocr.join(sizes, "path").withColumn("masked", pack.apply(F.trim("text")))
+    box = F.when((F.trim("text") != "") & (F.col("masked") != F.trim("text")), padded(*place, pad, *page))
+    mark = F.when(F.col("text").contains("银行"), logo_box(*place, *page))
+    found = rows.select("path", F.struct("top", "left", "text").alias("at"), box.alias("box"), mark.alias("mark")).filter("box is not null or mark is not null")
+    listed = lambda c: F.filter(F.transform(F.sort_array(F.collect_list(F.struct("at", c))), lambda x: x[c]), lambda x: x.isNotNull()).alias(f"{c}s")
+    regions = found.groupBy("path").agg(listed("box"), listed("mark"))
+    regions = regions.select("path", F.col("boxs").alias("boxes"), "marks")
+    columns = "path string, height int, width int, nChannels int, data binary, n_texts int, n_logos int"
+    return pictures.join(regions, "path", "left").mapInPandas(partial(_redacted, method=method), columns)
+
+
 def _masked(frames: Iterator[pd.DataFrame], method: str) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []

@@ -14,6 +14,12 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for costly expressions: a table that would be read by fewer tasks than there are cores (one with few row groups) is dealt out to all; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path is one file."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,6 +50,11 @@ def output_path(path: Column, folder: str, mark: str = lx.OUTPUT_SUFFIX, root: s
     return F.concat(F.lit(folder.rstrip("/") + "/"), below, F.regexp_replace(name, r"(\.[^.]*)?$", ""), F.lit(mark), F.regexp_extract(name, r"(\.[^.]*)$", 1))
 
 
+def picture_path(path: Column) -> Column:
+    """The path with the ending of the form in which pictures are saved."""
+    return F.concat(F.regexp_replace(path, r"\.[^./\\]*$", ""), F.lit(".png"))
+
+
 def routed(files: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Files of known type (of `types`, if given), with file_type."""
     rows = files.withColumn("file_type", file_type(F.col("path"))).filter("file_type is not null")

@@ -67,20 +67,24 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str | None, str, str | None, int]]
 
 
-class OfficeWriter(DataSourceWriter):
-    """Options: path (the target folder), report (optional: a file that gets a JSON line with path, save_error and duration_ms for each document)."""
+class CommittedWriter(DataSourceWriter):
+    """Writes a file for each row (path, output_path, ...) that `made` turns into bytes. Options: path (the target folder), report (optional: a file that gets a JSON line with path,
+    save_error and duration_ms for each row). A row that fails is a line of the report."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.root, self.report = options["path"].rstrip("/"), options.get("report")
         self.hidden = f"{self.root}/_temporary/{uuid.uuid4().hex}"
 
+    def made(self, row: Row) -> bytes:
+        raise NotImplementedError
+
     def write(self, rows: Iterator[Row]) -> Written:
         done = []
         for row in rows:
             began, error, part = time.monotonic(), None, f"{self.hidden}/{uuid.uuid4().hex}"
             try:
-                store.write(part, ooxml.changed_archive(bytes(row.content), [c.asDict() for c in row.changes or []]))
-            except ooxml.BROKEN as e:  # a document that fails is a line of the report
+                store.write(part, self.made(row))
+            except ooxml.BROKEN as e:
                 part, error = None, f"{type(e).__name__}: {e}"
             done.append((row.path, part, row.output_path, error, int((time.monotonic() - began) * 1000)))
         return Written(done)
@@ -116,6 +120,11 @@ class OfficeWriter(DataSourceWriter):
                 where.delete_dir(above)
 
 
+class OfficeWriter(CommittedWriter):
+    def made(self, row: Row) -> bytes:
+        return ooxml.changed_archive(bytes(row.content), [c.asDict() for c in row.changes or []])
+
+
 class OfficeDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
