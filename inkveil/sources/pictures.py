@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource
 from pyspark.sql.types import StructType
 
 from inkveil.sources.office import CommittedWriter
+from inkveil.sources.raster import png
 
 PICTURE = "path string, height int, width int, nChannels int, data binary"
 ROWS = f"{PICTURE}, output_path string"
@@ -23,40 +21,6 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
     return found.selectExpr("regexp_replace(image.origin, '^file:/+', 'file:/') as path", "image.height as height", "image.width as width", "image.nChannels as nChannels", "image.data as data")
 
 
-def png(picture: np.ndarray) -> bytes:
-    """A picture of 1 (grey), 3 or 4 channels (blue first, as Spark's image source gives them) as a PNG file."""
-    height, width, channels = picture.shape
-    kind = {1: 0, 3: 2, 4: 6}[channels]
-    pixels = picture if channels == 1 else picture[:, :, [2, 1, 0, 3][:channels]]
-    lines = np.zeros((height, 1 + width * channels), np.uint8)  # each line begins with its filter: none
-    lines[:, 1:] = pixels.reshape(height, -1)
-
-    def chunk(name: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-
-    head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
-
-
-def size(data: bytes) -> tuple[int, int] | None:
-    """Width and height of a PNG, GIF, BMP or JPEG file, from its header; none for others."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:3] == b"GIF" and len(data) >= 10:
-        return struct.unpack("<HH", data[6:10])
-    if data[:2] == b"BM" and len(data) >= 26:
-        width, height = struct.unpack("<ii", data[18:26])
-        return width, abs(height)
-    at = 2
-    while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
-        mark, length = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-            return width, height
-        at += 2 + length
-    return None
-
-
 class PictureWriter(CommittedWriter):
     def made(self, row: Row) -> bytes:
         if row.height <= 0 or row.width <= 0:
