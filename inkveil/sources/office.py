@@ -125,6 +125,25 @@ class OfficeWriter(CommittedWriter):
         return ooxml.changed_archive(bytes(row.content), [c.asDict() for c in row.changes or []])
 
 
+class TextWriter(CommittedWriter):
+    def made(self, row: Row) -> bytes:
+        return row.text.encode()
+
+
+class TextFiles(DataSource):
+    """df.write.format("text_files"): rows (path, output_path, text) become files of their own."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_files"
+
+    def schema(self) -> str:
+        return "path string, output_path string, text string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> TextWriter:
+        return TextWriter(self.options)
+
+
 class OfficeDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -141,5 +160,6 @@ class OfficeDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session."""
+    """Makes the formats known to the session."""
     spark.dataSource.register(OfficeDataSource)
+    spark.dataSource.register(TextFiles)
