@@ -704,6 +704,97 @@ def pdf_overlays(spark, sf_dir):
     return made.select("path", "block", F.col("box.x0").alias("x0"), "redacted", "font_size")
 
 
+# ---- rules that the forms above do not hold
+
+_ID15 = "'证 110101' || lpad(o_custkey % 100, 2, '0') || lpad(o_orderkey % 14, 2, '0') || '05' || lpad(o_orderkey % 1000, 3, '0') || (['。',' x','9'])[o_orderkey % 3 + 1]"
+
+
+@query(f"select o_orderkey as doc_id, case when o_orderkey % 14 between 1 and 12 and o_orderkey % 3 <> 2 then '证 ' || repeat('X', 18) || substr(t, 18) else t end as redacted from (select o_orderkey, {_ID15.replace('lpad(', 'lpad((').replace(', 2', ')::varchar, 2').replace(', 3', ')::varchar, 3')} as t from orders)")
+def redact_id15(spark, sf_dir):
+    text = F.expr(_ID15.replace("(['。',' x','9'])[o_orderkey % 3 + 1]", "array('。',' x','9')[o_orderkey % 3]"))
+    return _redacted(files.spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), g2().only("id15"))
+
+
+@query("select event_id as doc_id, case when event_id % 3 = 0 then '于' || strftime(ts, '%Y年%-m月%-d日') || '办' when event_id % 3 = 1 then '于YYYY/MM/DD月办' else '于YYYY/MM/DD' end as redacted from events")
+def redact_month(spark, sf_dir):
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "'于'yyyy年M月d日'办'")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "'于'yyyy年M月'办'")).otherwise(F.date_format("ts", "'于'yyyy年M"))
+    return _redacted(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("text")), g2().only("month"))
+
+
+_FORMS = ["PWD：", "passwd ", "口令:", "pin码：", "Pin: "]
+
+
+@query("select o_orderkey as doc_id, case when o_orderkey % 5 = 2 or length(o_orderkey::varchar) >= case when o_orderkey % 5 < 2 then 6 else 4 end then '******' else (['PWD：','passwd ','口令:','pin码：','Pin: '])[o_orderkey % 5 + 1] || o_orderkey end || case when o_orderkey % 5 = 2 and length(o_orderkey::varchar) < 4 then '!' else ' ok' end as redacted from (select case when o_orderkey % 5 = 2 then o_orderkey + 10000 else o_orderkey end as o_orderkey from orders)")
+def redact_secret_forms(spark, sf_dir):
+    key = F.when(F.col("o_orderkey") % 5 == 2, F.col("o_orderkey") + 10000).otherwise(F.col("o_orderkey"))
+    rows = files.spread(table(spark, sf_dir, "orders")).select(key.alias("doc_id"))
+    text = F.concat(F.get(F.array(*map(F.lit, _FORMS)), (F.col("doc_id") % 5).cast("int")), F.col("doc_id").cast("string"), F.lit(" ok"))
+    return _redacted(rows.withColumn("text", text), g2().only("pwd", "passwd", "passphrase_cn", "pin"))
+
+
+_PHONE = "'call 0' || (20 + c_custkey % 900) || (['-',' ','','/'])[c_custkey % 4 + 1] || lpad((c_custkey * 7919)::varchar, 8, '1') || ' now'"
+
+
+@query(f"select c_custkey as doc_id, {_sub(_PHONE, '0[0-9]{2,3}[- ]?[0-9]{7,8}', '0XX-XXXXXXXX')} as redacted from customer")
+def redact_landline(spark, sf_dir):
+    parts = F.concat(F.lit("call 0"), (20 + F.col("c_custkey") % 900).cast("string"), F.get(F.array(*map(F.lit, ["-", " ", "", "/"])), (F.col("c_custkey") % 4).cast("int")), F.lpad((F.col("c_custkey") * 7919).cast("string"), 8, "1"), F.lit(" now"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), parts.alias("text"))
+    one = _redacted(rows, g1().only("landline"))
+    return one.join(_redacted(rows, g3_text().only("landline")).select("doc_id", "redacted"), ["doc_id", "redacted"], "left_semi")  # both packs agree on each
+
+
+@query("select c_custkey as doc_id, case when c_custkey % 4 = 3 then '(no street ' || c_custkey || ')' else '(XX省XX市XX区XXXX ' || c_custkey || ')' end as redacted from customer")
+def redact_address_g1(spark, sf_dir):
+    places = F.array(*map(F.lit, ["福建省福州市鼓楼区东街", "厦门市思明区湖滨南路", "龙岩新罗大道", "no street"]))
+    text = F.concat(F.lit("("), F.get(places, (F.col("c_custkey") % 4).cast("int")), F.lit(" "), F.col("c_custkey").cast("string"), F.lit(")"))
+    return _redacted(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")), g1().only("address"))
+
+
+@query("select event_id as doc_id, 'YYYY/MM/DD' || case when event_id % 3 = 2 then '，方案介绍' else ' ' || strftime(ts, '%-H:%M-%-H:%M') || '，XXXX' end as redacted from events")
+def redact_meeting_times_g3(spark, sf_dir):
+    kind, day = F.col("event_id") % 3, F.date_format("ts", "yyyy年M月d日")
+    spell = F.date_format("ts", "H:mm-H:mm")
+    text = F.when(kind == 0, F.concat(day, spell, F.lit("，方案"))).when(kind == 1, F.concat(day, F.lit(" "), spell, F.lit("，方案"))).otherwise(F.concat(F.date_format("ts", "yyyy.M.d"), F.lit("，方案介绍")))
+    return _redacted(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("text")), g3_text().only("date_time", "date_space_time", "date", "plan"))
+
+
+@query(f"""with h as (select doc_id, regexp_split_to_array(text, '{_EMAIL}') as p, regexp_extract_all(text, '{_EMAIL}') as m from documents),
+i as (select doc_id, p, m, unnest(range(1, len(m) + 1)) as i from h)
+select doc_id, cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as int) as start, m[i] as found from i""")
+def spans_in_sql(spark, sf_dir):
+    sql.register_spans(spark, g2().only("email", "mac"), "contact_spans")
+    documents(spark, sf_dir).createOrReplaceTempView("span_documents")
+    return spark.sql("select d.doc_id, s.start, s.found from span_documents d, lateral contact_spans(d.text) s where s.rule_id = 'email'")
+
+
+_BOXES = "select event_id, user_id % 20 as pic, cast(event_id % 977 as int) as x1, cast(user_id % 613 as int) as y1, cast(event_id % 977 + 1 + user_id % 90 as int) as x2, cast(user_id % 613 + 1 + event_id % 50 as int) as y2 from events"
+
+
+@query(f"with b as ({_BOXES}) select l.event_id as text_box, r.event_id as region from b l join b r on l.pic = r.pic and l.event_id % 2 = 0 and r.event_id % 2 = 1 and l.x1 < r.x2 and r.x1 < l.x2 and l.y1 < r.y2 and r.y1 < l.y2")
+def box_overlaps(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("box_events")
+    found = spark.sql(_BOXES.replace("from events", "from box_events"))
+    pairs = boxes.overlaps(found.filter("event_id % 2 = 0"), found.filter("event_id % 2 = 1"), ["pic"], 64)
+    return pairs.select(F.col("left.event_id").alias("text_box"), F.col("right.event_id").alias("region"))
+
+
+@query("""with m as (select o_orderkey as k, o_orderkey % 4 as i, o_custkey % 1400 as w, o_orderkey % 450 as h, case when o_orderkey % 2 = 0 then 'docx' else 'pptx' end as form from orders)
+select k as doc_id, (['logo_','XX银行_','photo_','Brand'])[i + 1] || k || '.png' as name, w > 0 and h > 0 and (i in (0, 1, 3) or form = 'pptx' and (w > 300 and h < 200 and w / h::double > 3 or w < 1000 and h < 300)) as black
+from m where i = 1 or (w > 0 and h > 0 and (i in (0, 1, 3) or form = 'pptx' and (w > 300 and h < 200 and w / h::double > 3 or w < 1000 and h < 300)))""")
+def document_media(spark, sf_dir):
+    names = F.concat(F.get(F.array(*map(F.lit, ["logo_", "中国银行_", "photo_", "Brand"])), (F.col("o_orderkey") % 4).cast("int")), F.col("o_orderkey").cast("string"), F.lit(".png"))
+    place = F.struct((F.col("o_custkey") % 1400).alias("begin"), (F.col("o_orderkey") % 450).alias("stop"), F.lit(-1).cast("long").alias("tag"), F.lit("media").alias("form"), F.lit(None).cast("string").alias("encoding"))
+    path = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".docx").otherwise(".pptx"))
+    found = batch.media(table(spark, sf_dir, "orders").select(path.alias("path"), F.lit("p").alias("part"), names.alias("text"), place.alias("place")))
+    return found.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("doc_id"), F.col("text").alias("name"), (F.col("place.form") == "black").alias("black"))
+
+
+# the whole picture of 8 x 8 becomes one cell
+@query(f"with {_PIXELS} select vec_id, md5(array_to_string(list_transform(range(0, 192), lambda k: d[k % 3 + 1]), ',')) as digest from d")
+def whole_pictures(spark, sf_dir):
+    return _digest(pixels.mask(pictures(spark, sf_dir), "whole"))
+
+
 # ---- documents and streams
 
 

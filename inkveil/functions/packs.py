@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import lexicon as lx
 from inkveil.functions.lexicon import Lexicon
-from inkveil.functions.rules import Rule, RulePack, alternation, char_class, let
+from inkveil.functions.rules import Rule, RulePack, alternation, between, char_class, let
 
 # ---- fixed values: the patterns here and in the packs below are those that results must match ----
 
@@ -176,7 +176,7 @@ class NamePass:
         return text.rlike(self.pattern)
 
     def _walked(self, text: Column, body: Callable[[Column, Column], Column]) -> Column:
-        both = F.struct(F.split(text, self.pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)).alias("hits"))
+        both = F.struct(between(text, self.pattern).alias("pieces"), F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)).alias("hits"))
         return let(both, lambda b: body(b["pieces"], b["hits"]))
 
     def _shown(self, pieces: Column, hits: Column) -> Callable[[Column, Column], Column]:

@@ -52,17 +52,21 @@ class Rule:
     def trace(self, text: Column) -> Column:
         """TRACE of this rule over a text: split and the extraction of groups walk the same matches as the replacement does."""
         lengths = lambda texts: F.transform(texts, lambda x: F.coalesce(F.length(x), F.lit(0)))
-        if self.literal:
-            gaps = lengths(F.split(text, f"\\Q{self.pattern}\\E", -1))
-            same = lambda n: F.array_repeat(F.lit(n), F.size(gaps) - 1)
-            return F.struct(gaps.alias("gaps"), same(len(self.pattern)).alias("sizes"), same(len(self.replacement)).alias("news"))
-        group = lambda n: lengths(F.regexp_extract_all(text, F.lit(self.compiled), F.lit(n)))
-        groups = [int(n) for n in re.findall(r"\$(\d+)", self.replacement)]
-        fixed = len(re.sub(r"\$\d+", "", self.replacement))
-        news = F.transform(group(0), lambda _: F.lit(fixed))
-        for n in groups:
-            news = F.zip_with(news, group(n), lambda a, b: a + b)
-        return F.struct(lengths(F.split(text, self.compiled, -1)).alias("gaps"), group(0).alias("sizes"), news.alias("news"))
+        groups = [] if self.literal else [int(n) for n in re.findall(r"\$(\d+)", self.replacement)]
+        fixed = len(self.replacement if self.literal else re.sub(r"\$\d+", "", self.replacement))
+        found = [between(text, f"\\Q{self.pattern}\\E" if self.literal else self.compiled).alias("pieces")]
+        if not self.literal:
+            found += [F.regexp_extract_all(text, F.lit(self.compiled), F.lit(n)).alias(f"g{n}") for n in sorted({0, *groups})]
+
+        def traced(v: Column) -> Column:
+            same = lambda n: F.array_repeat(F.lit(n), F.size(v["pieces"]) - 1)
+            news = same(fixed)
+            for n in groups:
+                news = F.zip_with(news, lengths(v[f"g{n}"]), lambda a, b: a + b)
+            sizes = same(len(self.pattern)) if self.literal else lengths(v["g0"])
+            return F.struct(lengths(v["pieces"]).alias("gaps"), sizes.alias("sizes"), news.alias("news"))
+
+        return let(F.struct(*found), traced)
 
 
 @dataclass(frozen=True)
@@ -156,6 +160,18 @@ def _tree(words: Sequence[str]) -> str:
     return "|".join(branches)
 
 
+#: A character of private use, which marks matches.
+MARK = "\ue0ff"
+
+
+def between(text: Column, pattern: str) -> Column:
+    """The texts between the matches of a pattern, as split() gives them.
+
+    split() compiles its pattern anew for every row, which takes longer than the search where a pattern holds word lists; replacing compiles it once. Texts that hold the mark are split.
+    """
+    return F.when(text.contains(MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK)), MARK, -1))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with `value` computed once, however often the body (or a lambda in it) uses it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkveil.functions.rules import RulePack, let
+from inkveil.functions.rules import RulePack, between, let
 
 SPAN = "struct<start:int,end:int,replacement:string>"
 
 
 def found(text: Column, pattern: str | Column, replacement: str | Column) -> Column:
     """All matches of a pattern: offsets add up from the texts between the matches and the matches themselves."""
+    pieces = between(text, pattern) if isinstance(pattern, str) else F.split(text, pattern, -1)
     pattern, replacement = (F.lit(x) if isinstance(x, str) else x for x in (pattern, replacement))
     empty = F.array().cast(f"array<{SPAN}>")
 
@@ -26,7 +27,7 @@ def found(text: Column, pattern: str | Column, replacement: str | Column) -> Col
             lambda a: a["spans"],
         )
 
-    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"))
+    both = F.struct(pieces.alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"))
     return F.when(F.rlike(text, pattern), let(both, lambda b: walked(b["pieces"], b["hits"]))).otherwise(empty)
 
 
