@@ -101,10 +101,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     base_failed: fewer than 50 words, or more than half of the words in repeated windows. Null and empty texts have
     no words and fail. Repeated rows and null ids are judged like any other; an empty table gives no rows.
     """
-    rows = measured(docs.select(id_col, text_col), text_col, id_col)
+    rows = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "doc_id")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("broken", compiled(THRESHOLDS if thresholds is None else thresholds)).select(
-        F.col(id_col).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (F.size("broken") == 0)).alias("kept"),
         "broken",

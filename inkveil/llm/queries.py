@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkveil.llm import chat, exact_dedup, langid, lm, mixing, near_dedup, phrases, quality, secrets, spm, sql, trie, urls, warc
 
@@ -68,6 +69,18 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.rebuilt(trie.ordered(_read(spark, sf_dir, "conversations"))))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op 7 says before any mining: host, path and listed rule of every page."""
+    host, path = urls.parts(F.col("url"))
+    rows = _read(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return rows.withColumn("rule", urls.listed_rule(F.col("host"), F.col("path"), urls.RULES)[0])
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op 5 finds by fixed forms: numbers of spans of every document, and a hash of the list."""
+    return secrets.digest(secrets.scanned(_read(spark, sf_dir, "documents"))).drop("spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, op11_warc, op12_phrases, op13_trie, pipeline)
+    found = (op1_exact_dedup, op2_near_dedup, op3_lm_scores, op4_chat_format, op5_secrets, op6_quality, op7_url_filter, op8_sentencepiece, op9_language_id, op10_mixing, op11_warc, op12_phrases, op13_trie, url_rules, secret_counts, pipeline)
     return {q.__name__: q for q in found}
 
 

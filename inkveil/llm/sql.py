@@ -92,4 +92,26 @@ select v.conv_id, v.depth, w.conv_id as parent_conv_id, v.n_convs, coalesce(k.n,
 from v join u on u.pre = v.pre left join k on k.pre = v.pre left join v w on v.depth > 0 and w.pre = v.pre[1:v.depth - 1]
 """
 
-ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY, "op11_warc": WARC, "op12_phrases": PHRASES, "op13_trie": TRIE}
+URL_RULES = """
+with p as (select page_id, coalesce(url, '') as u from pages),
+q as (select page_id, case when strpos(u, '://') > 0 then substr(u, strpos(u, '://') + 3) else '' end as rest from p),
+r as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from q),
+k as (select * from (values ('com', '/en/'), ('example.com', '/en/7'), ('net', '/de/'), ('example.net', '/de/8'), ('org', '/es/')) as t(h, s))
+select page_id, host, path, (select arg_max(h || s, length(h || s)) from k where (host = h or ends_with(host, '.' || h)) and starts_with(path, s)) as rule from r
+"""
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+SECRETS = rf"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+k as (select * from (values ('assign', 0), ('access', 1), ('hex', 2)) as t(kind, o)),
+h as (select doc_id, kind, o, case o when 0 then regexp_split_to_array(text, '{_ASSIGN}') when 1 then regexp_split_to_array(text, 'AKIA[A-Z0-9]+') else regexp_split_to_array(text, '[0-9a-f]+') end as p,
+    case o when 0 then regexp_extract_all(text, '{_ASSIGN}') when 1 then regexp_extract_all(text, 'AKIA[A-Z0-9]+') else regexp_extract_all(text, '[0-9a-f]+') end as m from d, k),
+l as (select doc_id, kind, o, m, list_transform(p, lambda x: length(x)) as g, list_transform(m, lambda x: length(x)) as w,
+    case o when 0 then list_transform(m, lambda x: length(regexp_extract(x, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8) when 1 then list_transform(m, lambda x: length(x) >= 16) else list_transform(m, lambda x: length(x) >= 32) end as good from h),
+s as (select doc_id, kind, o, i, list_sum(g[1:i]) + coalesce(list_sum(w[1:i - 1]), 0) as a, w[i] as n from (select *, unnest(list_filter(range(1, len(m) + 1), lambda i: good[i])) as i from l)),
+r as (select doc_id, count(*) filter (where o = 0) as n_assign, count(*) filter (where o = 1) as n_access, count(*) filter (where o = 2) as n_hex,
+    string_agg(kind || ':' || cast(a as bigint) || ':' || cast(a + n as bigint), ',' order by a, o) as spans from s group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join r on r.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_exact_dedup": EXACT, "op4_chat_format": CHAT, "op6_quality": QUALITY, "op11_warc": WARC, "op12_phrases": PHRASES, "op13_trie": TRIE, "url_rules": URL_RULES, "secret_counts": SECRETS}
