@@ -1,6 +1,7 @@
 """Corpus pipeline: each stage works on all that the one before kept, written as Parquet and read again.
 
 Stage functions take (spark, docs, sf_dir). All but the last return the columns of `documents`; the last adds the pieces' ids.
+An empty table gives an empty table. Rows with a null id, and repeated rows, are rows like any other.
 """
 
 from __future__ import annotations
@@ -15,27 +16,27 @@ from inkveil.llm.common import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those that noise explains better than any set of languages."""
+    """Rejects documents without a letter (null and empty texts too), and those that noise explains better than any set of languages."""
     return langid.accepted(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the largest id of each group of equal texts."""
+    """Keeps the document with the largest id of each group of equal texts; null and empty texts are equal, a null id is the smallest, and of repeated rows one stays."""
     return exact_dedup.deduplicated(docs, keep="largest")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of similar texts."""
+    """Keeps one document of each class of similar texts; texts without words are in no class with others that have any."""
     return near_dedup.deduplicated(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by the calibrated probability of their source, language and topic."""
+    """Samples documents by the calibrated probability of their source, language and topic; nulls are values of their own, and equal ids are kept or left out together within a cell."""
     return mixing.sampled(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes the texts and checks that decoding gives them back."""
+    """Encodes the texts and checks that decoding gives them back; null and empty texts have no pieces. Keeps every row."""
     return spm.encoded(docs)
 
 
