@@ -34,10 +34,11 @@ class Archives(InputPartition):
 
 
 class OfficeReader(DataSourceReader):
-    """Options: path (a file or folder), partitionBytes."""
+    """Options: path (a file or folder), partitionBytes, media (true: a row for each picture too)."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.size = options["path"], int(options.get("partitionBytes", PARTITION))
+        self.media = options.get("media", "false").lower() == "true"
 
     def partitions(self) -> list[Archives]:
         parts: list[Archives] = []
@@ -55,7 +56,7 @@ class OfficeReader(DataSourceReader):
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
         names = _NODE.names
         for path in partition.paths:
-            rows = [dict(zip(names, r, strict=True)) for r in ooxml.archive_nodes(path, store.read(path))]
+            rows = [dict(zip(names, r, strict=True)) for r in ooxml.archive_nodes(path, store.read(path), self.media)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
 
