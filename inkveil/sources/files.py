@@ -70,10 +70,12 @@ def is_logo(name: Column) -> Column:
     return F.lower(name).rlike("bank|logo|银行|brand|icon")
 
 
-def readable_size(size: Column) -> Column:
-    """1.5 KB and the like, rounded half to even."""
+def readable_size(size: Column, largest: str = "TB") -> Column:
+    """1.5 KB and the like, rounded half to even; `largest` is the unit of all that is too large for those before it."""
+    units = ("B", "KB", "MB", "GB", "TB")
     shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(size / F.lit(1024.0**power), 1))
-    text = shown(4, "TB")
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
+    last = units.index(largest)
+    text = shown(last, largest)
+    for power, unit in reversed(list(enumerate(units[:last]))):
         text = F.when(size < 1024 ** (power + 1), shown(power, unit)).otherwise(text)
     return text

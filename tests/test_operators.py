@@ -7,6 +7,7 @@ import zipfile
 import numpy as np
 from pyspark.sql import functions as F
 
+from inkveil import catalog
 from inkveil.operators import boxes, counts, detect, pixels
 from inkveil.operators import spans as span_ops
 from inkveil.plans import batch, report
@@ -171,3 +172,15 @@ def test_counts_add_up(spark):
     whole = {r.rule_id: r.n for r in counts.by_rule(docs, pack).collect()}
     parts = {r.rule_id: r.n for r in counts.by_rule(docs, pack, "text", "lang").groupBy("rule_id").agg(F.sum("n").alias("n")).collect()}
     assert whole == parts
+
+
+def test_size_in_the_largest_unit(spark):
+    rows = spark.createDataFrame([(1023,), (1536,), (1 << 30,), (3095205 * 512,), (5 << 40,)], "n long")
+    got = rows.select(files.readable_size(F.col("n")), files.readable_size(F.col("n"), "MB")).collect()
+    assert [tuple(r) for r in got] == [("1023.0 B", "1023.0 B"), ("1.5 KB", "1.5 KB"), ("1.0 GB", "1024.0 MB"), ("1.5 GB", "1511.3 MB"), ("5.0 TB", "5242880.0 MB")]
+
+
+def test_format_size_beyond_a_gigabyte(spark, tmp_path):
+    spark.createDataFrame([(2097151,), (3095205,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.queries()["format_size"](spark, str(tmp_path)).collect()
+    assert sorted(r["size"] for r in got) == ["1024.0 MB", "1511.3 MB"]
