@@ -127,13 +127,31 @@ def quoted(word: str) -> str:
 
 
 def char_class(chars: Iterable[str], fan: int = 6) -> str:
-    """A class of many characters, as a tree of ranges: a test then takes some 20 comparisons instead of one for each character."""
+    """A class of many characters, as a tree of ranges: a test then takes some 20 comparisons instead of one for each character, and one outside the range of all of them."""
     chars = sorted(set(chars))
     if len(chars) <= fan:
         return f"[{''.join(map(quoted, chars))}]"
     size = -(-len(chars) // fan)
     parts = [chars[k : k + size] for k in range(0, len(chars), size)]
-    return "[" + "".join(f"[{quoted(x[0])}-{quoted(x[-1])}&&{char_class(x, fan)}]" for x in parts) + "]"
+    return f"[{_range(chars)}&&[{''.join(f'[{_range(x)}&&{_narrow(x, fan)}]' for x in parts)}]]"
+
+
+def _range(chars: Sequence[str]) -> str:
+    return f"{quoted(chars[0])}-{quoted(chars[-1])}"
+
+
+def _narrow(chars: Sequence[str], fan: int) -> str:
+    """char_class of sorted characters whose range has been tested."""
+    if len(chars) <= fan:
+        return f"[{''.join(map(quoted, chars))}]"
+    size = -(-len(chars) // fan)
+    parts = [chars[k : k + size] for k in range(0, len(chars), size)]
+    return f"[{''.join(f'[{_range(x)}&&{_narrow(x, fan)}]' for x in parts)}]"
+
+
+def starts(words: Iterable[str]) -> str:
+    """Looks ahead for the first character of one of the words."""
+    return f"(?={char_class(w[0] for w in words)})"
 
 
 def alternation(words: Sequence[str]) -> str:

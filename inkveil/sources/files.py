@@ -14,10 +14,15 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows for costly expressions: a table that would be read by fewer tasks than there are cores (one with few row groups) is dealt out to all; larger tables stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+#: Rows of a costly expression for each task.
+TASK_ROWS = 100_000
+
+
+def spread(rows: DataFrame, most: int = TASK_ROWS) -> DataFrame:
+    """Rows for costly expressions, dealt out where they would be read by fewer tasks than there are cores or than hold `most` rows each (a table with few row groups), so that no task grows with the table."""
+    parts, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-rows.count() // most))  # tables are counted by their footers
+    return rows.repartition(tasks) if parts < tasks else rows
 
 
 def is_file(spark: SparkSession, path: str) -> bool:

@@ -1,11 +1,15 @@
 """Documented examples, dialect cases and properties of the rule packs."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions import packs, spans
 from inkveil.functions.lexicon import Lexicon
 from inkveil.functions.packs import g1, g2, g3_text
+from inkveil.sources import files
 
 GOLDEN = [
     ("zhangsan@bank.com", "XXXXX@XXXXX"), ("192.168.1.1", "X.X.X.X"), ("AA:BB:CC:DD:EE:FF", "XX:XX:XX:XX:XX:XX"), ("310101199001011234", "X" * 18), ("13812345678", "X" * 11),
@@ -74,3 +78,32 @@ def test_positions_map_through_replacements(spark):
     cut = F.expr("array(struct(2 as start, 5 as end, 'xy' as replacement), struct(7 as start, 8 as end, '' as replacement))")
     got = spark.range(10).select(spans.mapped(F.col("id").cast("int"), cut).alias("p")).collect()
     assert [r.p for r in got] == [0, 1, 2, 3, 4, 4, 5, 6, 6, 7]
+
+
+def test_time_grows_with_the_text(spark):
+    """Runs of mail characters without @ and Chinese text without a street, on which every place was tried in many ways."""
+    rows = spark.createDataFrame([("x1" * 400_000,), ("中文字，" * 100_000,)], "text string")
+    began = time.monotonic()
+    got = rows.select(F.col("text"), packs.g1().only("email", "address").apply(F.col("text")).alias("new")).collect()
+    assert all(r["text"] == r["new"] for r in got) and time.monotonic() - began < 20
+
+
+def test_quick_forms_find_what_plain_forms_find(spark):
+    plain = {
+        ("g2", "email"): r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
+        ("g1", "address"): r"[^\x00-\xFF]{2,6}(?:省|自治区|市)?[^\x00-\xFF]{0,10}(?:市|区)?[^\x00-\xFF]{0,10}(?:街|路|道|巷|弄|号|大道|大街|东路|西路|南路|北路)[^\x00-\xFF]{0,30}",
+        ("g2", "mobile"): r"(?Ud)\b1[3-9]\d{9}\b",
+        ("g2", "month_cn"): r"(?Ud)[〇二三四五六七八九0-9]{4}年(?:(?:0?[1-9]|1[0-2])|(?:[一二三四五六七八九十正]|十一|十二)(?=月))(?![\s\d一-鿿日])",
+    }
+    draw = random.Random(5)
+    words = ["a@b.com", "_", "1", "@", "x.y", "-", "中", "文字", "路", "号", "大道", "自治区", "，", " ", "\n", "13812345678", "2024", "〇二", "年", "3", "十一", "月", "日"]
+    rows = spark.createDataFrame([("".join(draw.choices(words, k=draw.randint(1, 60))),) for _ in range(3000)], "text string").repartition(8)
+    rules = {(p.name, r.rule_id): r for p in (packs.g1(), packs.g2()) for r in p.rules}
+    same = [rules[k].apply(F.col("text")) == F.regexp_replace("text", F.lit(x), F.lit(rules[k].replacement)) for k, x in plain.items()]
+    assert rows.filter(~F.forall(F.array(*same), lambda x: x)).count() == 0
+
+
+def test_no_task_grows_with_the_table(spark, tmp_path):
+    spark.range(9 * 100_000 + 1).coalesce(1).write.parquet(str(tmp_path / "t"))
+    parts = files.spread(spark.read.parquet(str(tmp_path / "t"))).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(p["count"] for p in parts) == 900_001 and max(p["count"] for p in parts) < 110_000
