@@ -24,8 +24,6 @@ from inkveil.sources import ooxml, store
 PARTITION = 32 << 20
 ROWS = f"path string, output_path string, content binary, changes array<{ooxml.CHANGE}>"
 REPORT = "path string, save_error string, duration_ms long"
-_PLACE = pa.struct([("begin", pa.int64()), ("stop", pa.int64()), ("tag", pa.int64()), ("form", pa.string()), ("encoding", pa.string())])
-_NODE = pa.schema([("path", pa.string()), ("part", pa.string()), ("para_idx", pa.int32()), ("node_idx", pa.int32()), ("text", pa.string()), ("place", _PLACE), ("error", pa.string())])
 
 
 @dataclass
@@ -54,11 +52,7 @@ class OfficeReader(DataSourceReader):
         return parts or [Archives([])]
 
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
-        names = _NODE.names
-        for path in partition.paths:
-            rows = [dict(zip(names, r, strict=True)) for r in ooxml.archive_nodes(path, store.read(path), self.media)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
+        return ooxml.node_batches(((path, store.read(path)) for path in partition.paths), self.media)
 
 
 @dataclass

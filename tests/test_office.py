@@ -140,3 +140,18 @@ def test_store(tmp_path):
 def test_stretches_count_once():
     trace = {"gaps": [2, 0], "sizes": [3], "news": [1]}
     assert pieces.composed([trace, {"gaps": [1, 0], "sizes": [2], "news": [5]}]) == [(1, 5, 1, 6)]
+
+
+def test_nodes_of_small_archives_share_batches(monkeypatch):
+    files = [(f"/{k}.docx", archive({"word/document.xml": HEAD + runs(f"no {k}", "é") + "</w:body></w:document>"})) for k in range(30)] + [("/b.docx", b"bad")]
+    want = [[(f"/{k}.docx", "word/document.xml", 0, n, t, "text", None) for n, t in enumerate((f"no {k}", "é"))] for k in range(30)]
+    rows = lambda batches: [(r["path"], r["part"], r["para_idx"], r["node_idx"], r["text"], r["place"] and r["place"]["form"], r["error"]) for b in batches for r in b.to_pylist()]
+    (batch_,) = ooxml.node_batches(files)
+    got = rows([batch_])
+    assert got[:-1] == sum(want, []) and got[-1][:-1] == ("/b.docx", None, None, None, None, None) and "BadZipFile" in got[-1][-1]
+    for name, most in (("BATCH_ROWS", 7), ("BATCH_CHARS", 20)):
+        with monkeypatch.context() as m:
+            m.setattr(ooxml, name, most)
+            batches = list(ooxml.node_batches(files))
+        assert len(batches) > 3 and rows(batches) == got
+    assert not list(ooxml.node_batches([]))
