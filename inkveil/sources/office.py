@@ -22,6 +22,8 @@ from inkveil.sources import ooxml, store
 
 #: Bytes of archives for each task that reads.
 PARTITION = 32 << 20
+#: Bytes that a file counts for at least, as opening it takes time too.
+OPEN = 32 << 10
 ROWS = f"path string, output_path string, content binary, changes array<{ooxml.CHANGE}>"
 REPORT = "path string, save_error string, duration_ms long"
 
@@ -44,6 +46,7 @@ class OfficeReader(DataSourceReader):
         for path, size in sorted(store.listed(self.path)):
             name = path.rpartition("/")[2]
             if re.search(r"\.(docx|xlsx|pptx)$", name, re.IGNORECASE) and not name.startswith((".", "_", "~$")) and "/_temporary/" not in path:
+                size = max(size, OPEN)
                 if held + size > self.size:
                     parts.append(Archives([]))
                     held = 0

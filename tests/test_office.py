@@ -7,7 +7,7 @@ import pytest
 
 from inkveil.functions import pieces
 from inkveil.plans import batch
-from inkveil.sources import office, ooxml, store
+from inkveil.sources import files, office, ooxml, store
 
 HEAD = (
     '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n<!-- kept --><w:document xmlns:w="http://w" xmlns:mc="http://mc" xmlns:w14="http://w14" xmlns:unused="http://u" mc:Ignorable="w14 unused"'
@@ -155,3 +155,17 @@ def test_nodes_of_small_archives_share_batches(monkeypatch):
             batches = list(ooxml.node_batches(files))
         assert len(batches) > 3 and rows(batches) == got
     assert not list(ooxml.node_batches([]))
+
+
+def test_small_files_are_read_by_many_tasks(tmp_path):
+    for k in range(40):
+        (tmp_path / f"{k}.docx").write_bytes(b"small")
+    parts = office.OfficeReader({"path": str(tmp_path), "partitionBytes": str(10 * office.OPEN)}).partitions()
+    assert [len(p.paths) for p in parts] == [10] * 4 and len({x for p in parts for x in p.paths}) == 40
+
+
+def test_a_scan_of_many_partitions_is_read_by_fewer_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 5000, 1, 100 * cores)
+    assert files.gathered(many).rdd.getNumPartitions() == -(-100 * cores // files.SCAN_PARTS) and files.gathered(many).distinct().count() == 5000
+    assert files.gathered(spark.range(0, 10, 1, 5)).rdd.getNumPartitions() == 5

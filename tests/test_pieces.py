@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,11 @@ def test_configuration_keys(spark):
     text = spark.createDataFrame([("经办人：汪晶晶 ，中国工商银行 ，网点 ，分行 ",)], "t string")
     assert text.select(packs.redact(F.col("t"), "g2", read)).first()[0] == "经办人：[N] ，[B] ，XX网点 ，分行 "
     assert config.lexicon({"bank_branch_suffixes": [], "replacement": None}).bare_branches == ("分行", "支行", "营业部")
+
+
+def test_traces_leave_arrow_as_columns():
+    kind = pa.list_(pa.struct([(k, pa.list_(pa.int32())) for k in ("gaps", "sizes", "news")]))
+    one, two = {"gaps": [1, 2], "sizes": [3], "news": [4]}, {"gaps": [5, 6, 7], "sizes": [8, 8], "news": [0, 1]}
+    traces = pa.array([[], [one, {"gaps": [9], "sizes": [], "news": []}], [two], [], [two, one]], kind)
+    for begin, stop in ((0, 5), (1, 3), (2, 4), (4, 5), (3, 3)):
+        assert list(pieces._steps(traces[begin:stop])) == traces[begin:stop].to_pylist()
