@@ -111,3 +111,13 @@ def test_manifests_beside_documents(spark, tmp_path, form):
     text = (tmp_path / "out" / f"a_脱敏.docx_manifest.{ending}").read_text()
     assert "some****" in text and "someone" not in text and "RULE" in text
     assert form == "markdown" or json.loads(text)["stats"] == {"RULE": 1}
+
+
+def test_overlaps_of_equal_corners_in_many_tasks(spark):
+    draw = random.Random(5)
+    rows = [[(1, k, x := draw.randint(0, 9), y := draw.randint(0, 9), x + draw.randint(0, 3), y + draw.randint(0, 3)) for k in range(150)] for _ in range(2)]
+    left, right = (spark.createDataFrame(r, "pic int, k int, x1 int, y1 int, x2 int, y2 int") for r in rows)
+    got = boxes.overlaps(left, right, ["pic"], 8)
+    want = sorted((a[1], b[1]) for a in rows[0] for b in rows[1] if max(a[2], b[2]) < min(a[4], b[4]) and max(a[3], b[3]) < min(a[5], b[5]))
+    assert sorted((r.left.k, r.right.k) for r in got.collect()) == want and got.columns == ["pic", "left", "right"] and got.schema["left"].dataType.names == ["k", "x1", "y1", "x2", "y2"]
+    assert got.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism  # few rows, many pairs: not one task
