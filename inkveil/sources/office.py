@@ -6,6 +6,7 @@ every task writes below a hidden folder of the job, and the commit gives all fil
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import time
@@ -30,7 +31,13 @@ REPORT = "path string, save_error string, duration_ms long"
 
 @dataclass
 class Archives(InputPartition):
-    paths: list[str]
+    """Files of folders, a line for each folder: its address and the names of files in it, with slashes between. The driver holds no more of them than that."""
+
+    folders: list[tuple[str, str]]
+
+    @property
+    def paths(self) -> list[str]:
+        return [f"{folder}/{name}" for folder, names in self.folders for name in names.split("/")]
 
 
 class OfficeReader(DataSourceReader):
@@ -42,16 +49,26 @@ class OfficeReader(DataSourceReader):
 
     def partitions(self) -> list[Archives]:
         parts: list[Archives] = []
-        held = self.size
-        for path, size in sorted(store.listed(self.path)):
-            name = path.rpartition("/")[2]
+        held, names, at = self.size, [], None
+
+        def close() -> None:
+            if names:
+                parts[-1].folders.append((at, "/".join(names)))
+                names.clear()
+
+        for path, size in store.listed(self.path):
+            folder, _, name = path.rpartition("/")
             if re.search(r"\.(docx|xlsx|pptx)$", name, re.IGNORECASE) and not name.startswith((".", "_", "~$")) and "/_temporary/" not in path:
                 size = max(size, OPEN)
+                if folder != at or held + size > self.size:
+                    close()
+                    at = folder
                 if held + size > self.size:
                     parts.append(Archives([]))
                     held = 0
-                parts[-1].paths.append(path)
+                names.append(name)
                 held += size
+        close()
         return parts or [Archives([])]
 
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
@@ -60,9 +77,10 @@ class OfficeReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """path, hidden name (or none), final name, error (or none) and milliseconds of the files of a task."""
+    """Where a task has left JSON lines of its files: path, hidden name (or none), final name, error (or none) and milliseconds. Where it could not, the lines themselves."""
 
-    files: list[tuple[str, str | None, str, str | None, int]]
+    at: str | None
+    lines: str = ""
 
 
 class CommittedWriter(DataSourceWriter):
@@ -84,38 +102,37 @@ class CommittedWriter(DataSourceWriter):
                 store.write(part, self.made(row))
             except ooxml.BROKEN as e:
                 part, error = None, f"{type(e).__name__}: {e}"
-            done.append((row.path, part, row.output_path, error, int((time.monotonic() - began) * 1000)))
-        return Written(done)
+            done.append(json.dumps((row.path, part, row.output_path, error, int((time.monotonic() - began) * 1000))))
+        lines, at = "\n".join(done), f"{self.hidden}/{uuid.uuid4().hex}"
+        try:
+            store.write(at, lines.encode())
+        except OSError:  # the target is no folder: no row was written
+            return Written(None, lines)
+        return Written(at)
 
     def commit(self, messages: list[Written | None]) -> None:
-        lines, folders = [], set()
-        for path, part, final, error, spent in (f for m in messages if m is not None for f in m.files):
-            if part is not None:
-                try:
-                    where, target = store.opened(final)
-                    if (folder := target.rpartition("/")[0]) not in folders:
-                        where.create_dir(folder, recursive=True)
-                        folders.add(folder)
-                    store.move(part, final)
-                except OSError as e:
-                    error = f"{type(e).__name__}: {e}"
-            lines.append(json.dumps({"path": path, "save_error": error, "duration_ms": spent}, ensure_ascii=False))
-        if self.report:
-            store.write(self.report, "\n".join(lines).encode())
+        folders = set()
+        with store.created(self.report) if self.report else contextlib.nullcontext() as report:
+            for m in (m for m in messages if m is not None):  # the files of one task at a time
+                for path, part, final, error, spent in map(json.loads, (store.read(m.at).decode() if m.at else m.lines).splitlines()):
+                    if part is not None:
+                        try:
+                            where, target = store.opened(final)
+                            if (folder := target.rpartition("/")[0]) not in folders:
+                                where.create_dir(folder, recursive=True)
+                                folders.add(folder)
+                            store.move(part, final)
+                        except OSError as e:
+                            error = f"{type(e).__name__}: {e}"
+                    if report is not None:
+                        report.write(json.dumps({"path": path, "save_error": error, "duration_ms": spent}, ensure_ascii=False).encode() + b"\n")
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
 
     def _clear(self) -> None:
-        from pyarrow import fs
-
-        where, path = store.opened(self.hidden)
-        if where.get_file_info(path).type == fs.FileType.Directory:
-            where.delete_dir(path)
-            above = path.rpartition("/")[0]
-            if not where.get_file_info(fs.FileSelector(above)):  # no other job writes here
-                where.delete_dir(above)
+        store.clear(self.hidden)
 
 
 class OfficeWriter(CommittedWriter):

@@ -1,9 +1,12 @@
 """Office files: bytes outside changed texts stay, the data source reads and writes, failures leave no file."""
 
 import io
+import pickle
 import zipfile
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from inkveil.functions import pieces
 from inkveil.plans import batch
@@ -169,3 +172,60 @@ def test_a_scan_of_many_partitions_is_read_by_fewer_tasks(spark):
     many = spark.range(0, 5000, 1, 100 * cores)
     assert files.gathered(many).rdd.getNumPartitions() == -(-100 * cores // files.SCAN_PARTS) and files.gathered(many).distinct().count() == 5000
     assert files.gathered(spark.range(0, 10, 1, 5)).rdd.getNumPartitions() == 5
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a.docx", "b c%20.docx", "sub/deep/d.pptx", "sub/é.xlsx", "_state/x.docx", ".hidden/x.docx", "_x.docx", ".y.docx", "k=1/_z=1.docx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345"[: len(name) % 4 + 1])
+    (tmp_path / "none.docx").write_bytes(b"")
+    for path in (str(tmp_path), f"file://{tmp_path}/sub", str(tmp_path / "a.docx"), f"{tmp_path}/*.docx"):
+        want = sorted(map(tuple, files.scan(spark, path).select("path", "length").collect()))
+        assert sorted(map(tuple, files.listing(spark, path).select("path", "length").collect())) == want and want
+
+
+def test_the_driver_gets_no_row_for_each_file(tmp_path):
+    def written(n, report):
+        writer = office.OfficeWriter({"path": str(tmp_path / "out"), "report": str(tmp_path / report)})
+        content = archive({"word/document.xml": HEAD + runs("x") + "</w:body></w:document>"})
+        message = writer.write(iter([Row(path=f"/{k}", output_path=f"{tmp_path}/out/{n}-{k}.docx", content=content, changes=None) for k in range(n)]))
+        size = len(pickle.dumps(message))
+        writer.commit([message, None])
+        return size
+
+    assert written(200, "b.json") == written(2, "a.json")
+    assert len(list((tmp_path / "out").iterdir())) == 202 and len((tmp_path / "b.json").read_text().splitlines()) == 200
+    folder = tmp_path / "a long name of a folder that would stand in each of the paths"
+    folder.mkdir()
+    for k in range(300):
+        (folder / f"{k}.docx").write_bytes(b"small")
+    (part,) = office.OfficeReader({"path": str(folder)}).partitions()
+    assert len(part.paths) == 300 and len(pickle.dumps(part)) < 300 * 12
+
+
+def test_documents_are_edited_without_a_shuffle(spark):
+    content = {f"/{k}.docx": archive({"word/document.xml": HEAD + runs("x ", "138123", "45678") * k + runs("none") + "</w:body></w:document>", "word/b.xml": HEAD + runs("a@b.cc") + "</w:body></w:document>"}) for k in range(40)}
+    rows = spark.createDataFrame([(p, bytearray(c)) for p, c in content.items()] + [("/empty.docx", bytearray(archive({"x": "y"})))], "path string, content binary")
+    made = ooxml.put_in(batch.edited(rows))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    changed = batch.redacted_nodes(batch.paragraphs(ooxml.nodes(rows)))
+    want = {r.path: (parts(r.content), r.n_changed) for r in ooxml.rewritten(rows, changed).collect()}
+    assert {r.path: (parts(r.content), r.n_changed) for r in made.collect()} == want and len(want) == 41 and max(n for _, n in want.values()) == 79
+
+
+def test_rows_of_a_document_that_stand_apart_stop_the_job(spark):
+    rows = spark.createDataFrame([(f"/{k}.docx", bytearray(archive({"word/document.xml": HEAD + runs("a@b.cc") * 3 + "</w:body></w:document>"}))) for k in range(2)], "path string, content binary")
+    (b,) = batch.edited(rows.coalesce(1)).toArrow().combine_chunks().to_batches()
+    assert [len(d.changes) for d in ooxml.edits(iter([b]))] == [3, 3]
+    for order in ([0, 3, 1, 2, 4, 5], [1, 0, 2, 3, 4, 5], [0, 1, 2, 3, 4]):
+        with pytest.raises(RuntimeError, match="stand together|missing"):
+            list(ooxml.edits(iter([b.take(pa.array(order))])))
+
+
+def test_naming_again_after_an_attempt(tmp_path):
+    store.write(f"{tmp_path}/a", b"x")
+    store.name(f"{tmp_path}/a", f"{tmp_path}/b")
+    store.name(f"{tmp_path}/a", f"{tmp_path}/b")
+    with pytest.raises(FileNotFoundError):
+        store.name(f"{tmp_path}/a", f"{tmp_path}/c")
+    assert store.read(f"{tmp_path}/b") == b"x"
