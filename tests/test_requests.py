@@ -121,3 +121,17 @@ def test_overlaps_of_equal_corners_in_many_tasks(spark):
     want = sorted((a[1], b[1]) for a in rows[0] for b in rows[1] if max(a[2], b[2]) < min(a[4], b[4]) and max(a[3], b[3]) < min(a[5], b[5]))
     assert sorted((r.left.k, r.right.k) for r in got.collect()) == want and got.columns == ["pic", "left", "right"] and got.schema["left"].dataType.names == ["k", "x1", "y1", "x2", "y2"]
     assert got.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism  # few rows, many pairs: not one task
+
+
+def test_overlaps_shuffle_each_box_once(spark, monkeypatch):
+    draw = random.Random(7)
+    rows = [[(draw.choice("ab"), k, x := draw.randint(-20, 100), y := draw.randint(0, 100), x + draw.randint(0, 40), y + draw.randint(0, 40)) for k in range(120)] + [("a", 1000 + k, 5, 5, 9, 9) for k in range(60)] for _ in range(2)]
+    left, right = (spark.createDataFrame(r, "pic string, k int, x1 int, y1 int, x2 int, y2 int") for r in rows)
+    monkeypatch.setattr(boxes, "INDEX_ROWS", 25)  # the equal boxes do not fit one index
+    monkeypatch.setattr(boxes, "BLOCK", 2)
+    got = boxes.overlaps(left, right, ["pic"], 16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("REPARTITION_BY_NUM") == 2  # before: two in each of four cases, of boxes that were dealt to fine cells
+    want = sorted((a[1], b[1]) for a in rows[0] for b in rows[1] if a[0] == b[0] and max(a[2], b[2]) < min(a[4], b[4]) and max(a[3], b[3]) < min(a[5], b[5]))
+    assert sorted((r.left.k, r.right.k) for r in got.collect()) == want and len(want) > 3600
+    assert boxes.overlaps(left, right.filter("k < 0"), ["pic"]).count() == boxes.overlaps(left.filter("k < 0"), right, ["pic"]).count() == 0
